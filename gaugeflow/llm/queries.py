@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linedup
+from . import linedup, packing, substring, token_rollup, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_rollup": token_rollup.op1_token_rollup,
+    "op2_substring_dedup": substring.op2_substring_dedup,
+    "op4_packing": packing.op4_packing,
+    "op7_decontamination": winnow.op7_decontamination,
     "op9_line_dedup": linedup.op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring.OP2_SQL,
+    "op7_decontamination": winnow.OP7_SQL,
     "op9_line_dedup": linedup.OP9_SQL,
 }
