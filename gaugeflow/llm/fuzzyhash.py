@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
 from .shared import settle, workdir
-from .textkit import U, fmix64, words
+from .textkit import U, fmix64, slices, words
 
 SEGMENTS, BITS = 5, 128
 PROBES, DISTANCE, LEAST_WORDS = 3, 20, 16
@@ -136,7 +136,7 @@ def fingerprint_keys(ones: np.ndarray, distinct: np.ndarray, probes: int):
 
 def _signed(docs: DataFrame, kind: str) -> DataFrame:
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             distinct, sets, ones = signatures(b["text"])
             ok = np.flatnonzero(distinct)
             bits = 2 * ones[ok] > distinct[ok, None]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import settle, workdir
-from .textkit import _IS_WORD, CHUNK_BYTES, U, fmix64, lowered, utf8_bytes
+from .textkit import _IS_WORD, CHUNK_BYTES, U, fmix64, lowered, slices, utf8_bytes
 
 N = 4
 PROBES = 3
@@ -132,7 +132,7 @@ def train(docs: DataFrame, least_count: int = 5, least_share: float = 0.02, leas
                 )
 
         rows = 0
-        for b in batches:
+        for b in slices(batches):
             names = b["lang"].dictionary_encode()
             of = names.indices.to_numpy()
             for i, j, codes, text in grams(b["text"]):
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageFilter, least_hit: float = 0.3) ->
 
     def scan(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             share, total = m.shares(b["text"])
             n = b.num_rows
             if not m.languages:

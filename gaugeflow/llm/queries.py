@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fuzzyhash, langmask, linedup, packing, substring, token_rollup, winnow
+from . import cotrain, fuzzyhash, langmask, linedup, packing, substring, token_rollup, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_simhash_near_dedup": fuzzyhash.op5_simhash_near_dedup,
+    "op6_quality": cotrain.op6_quality,
     "op7_decontamination": winnow.op7_decontamination,
     "op9_line_dedup": linedup.op9_line_dedup,
     "op10_language_id": langmask.op10_language_id,

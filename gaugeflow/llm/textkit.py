@@ -63,6 +63,7 @@ class Words:
 
     hashes: np.ndarray
     offsets: np.ndarray
+    prefixes: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -90,6 +91,20 @@ def utf8_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: str = "text", limit: int = 4 << 20):
+    """The record batches in slices of whole rows of about ``limit`` bytes of text, which
+    bounds a worker's memory whatever the rows of a batch."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b[column]), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def lowered(texts) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(as_array(texts), ""))
 
@@ -103,10 +118,11 @@ def _chunks(offsets: np.ndarray):
         i = min(j, n)
 
 
-def words(texts, lower: bool = True) -> Words:
-    """Hashes of all words of a batch of texts."""
+def words(texts, lower: bool = True, prefix: int = 0) -> Words:
+    """Hashes of all words of a batch of texts, and of their first ``prefix`` bytes if
+    that is not 0."""
     raw, offsets = utf8_bytes(lowered(texts) if lower else texts)
-    out, counts = [], np.zeros(len(offsets) - 1, dtype=np.int64)
+    out, heads, counts = [], [], np.zeros(len(offsets) - 1, dtype=np.int64)
     for i, j in _chunks(offsets):
         piece = raw[offsets[i] : offsets[j]]
         size = len(piece)
@@ -129,10 +145,14 @@ def words(texts, lower: bool = True) -> Words:
         sums[0] = 0
         np.cumsum((piece.astype(U) + U(1)) * up[:size], out=sums[1:])
         out.append(fmix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)))
+        if prefix:
+            stop = np.minimum(ends, starts + prefix)
+            heads.append(fmix64((sums[stop] - sums[starts]) * down[starts] + U(1 << 32)))
         text = np.searchsorted(offsets[i : j + 1] - offsets[i], starts, side="right") - 1
         counts[i:j] = np.bincount(text, minlength=j - i)[: j - i]
     hashes = np.concatenate(out) if out else np.zeros(0, U)
-    return Words(hashes, np.concatenate([[0], np.cumsum(counts)]))
+    prefixes = (np.concatenate(heads) if heads else np.zeros(0, U)) if prefix else None
+    return Words(hashes, np.concatenate([[0], np.cumsum(counts)]), prefixes)
 
 
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .textkit import U, minimizers, window_starts, windows, words
+from .textkit import U, minimizers, slices, window_starts, windows, words
 
 K, WINDOW = 8, 6
 BROADCAST_LIMIT = 4_000_000
@@ -117,7 +117,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window
 
     def scan(batches):
         test = shared.value
-        for b in batches:
+        for b in slices(batches):
             ids = b["doc_id"]
             rows = [(ids[t].as_py(), test.ids[i], s, at, n) for t, i, s, at, n in test.spans(b["text"])]
             if rows:
@@ -130,7 +130,7 @@ def _printed(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             h, text, pos, _ = fingerprints(b["text"], k, window)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b[key].take(pa.array(text)), pa.array(pos.astype(np.int32))], names=["h", key, "pos"])
 
@@ -172,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
 
     def scan(batches):
         test = shared.value
-        for b in batches:
+        for b in slices(batches):
             keep = np.ones(b.num_rows, dtype=bool)
             keep[[t for t, *_ in test.spans(b.column(at))]] = False
             yield b.filter(pa.array(keep))
