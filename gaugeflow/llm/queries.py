@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, fuzzyhash, langmask, linedup, packing, substring, token_rollup, winnow
+from . import cotrain, crosspoly, fuzzyhash, langmask, linedup, packing, substring, token_rollup, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": fuzzyhash.op5_simhash_near_dedup,
     "op6_quality": cotrain.op6_quality,
     "op7_decontamination": winnow.op7_decontamination,
+    "op8_nearest_neighbours": crosspoly.op8_nearest_neighbours,
     "op9_line_dedup": linedup.op9_line_dedup,
     "op10_language_id": langmask.op10_language_id,
 }
