@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import remove, settle, workdir
-from .textkit import U, fmix64, minimizers, powers, window_starts, windows, words
+from .textkit import U, fmix64, minimizers, powers, slices, window_starts, windows, words
 
 MIN_WORDS = 50
 
@@ -56,7 +56,7 @@ def _scan(docs: DataFrame, base: int, least: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             w = words(b["text"])
             cls = content_hashes(w)
             long = w.counts >= least
@@ -95,7 +95,7 @@ def _regions(found: DataFrame, base: int, least: int, ddl: str) -> DataFrame:
     """The stretches around repeated anchors, as word hashes, one row per document."""
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             w = words(b["text"])
             cls = content_hashes(w).view(np.int64)
             rows = []
@@ -142,32 +142,19 @@ def _windows_of(regions: DataFrame, length: int) -> DataFrame:
     kind = regions.schema["doc_id"].dataType.simpleString()
 
     def emit(batches):
-        for b in batches:
-            for doc, s, e, blob in zip(b["doc_id"], b["starts"], b["ends"], b["words"]):
-                hs, ps = [], []
-                for start, end, h in _split(s.values.to_numpy(), e.values.to_numpy(), blob.as_py()):
-                    x = windows(h, length)
-                    hs.append(x)
-                    ps.append(np.arange(start, start + len(x)))
-                if not hs:
-                    continue
-                x, p = np.concatenate(hs), np.concatenate(ps).astype(np.int32)
-                for i in range(0, len(x), 1 << 18):
-                    y = x[i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([_signed(y), pa.repeat(doc, len(y)), pa.array(p[i : i + (1 << 18)])], names=["h", "doc_id", "pos"])
-
-    def joined(batches):
-        held, size = [], 0
-        for b in emit(batches):
-            held.append(b)
-            size += b.num_rows
-            if size >= 1 << 16:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        for b in slices(batches, "words", 2 << 20):
+            h = np.frombuffer(b"".join(b["words"].to_pylist()), dtype=U)
+            starts, ends = b["starts"].flatten().to_numpy(), b["ends"].flatten().to_numpy()
+            counts = (ends - starts).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            at, region = window_starts(counts, offsets, length)
+            if not len(at):
+                continue
+            row = np.repeat(np.arange(b.num_rows), np.diff(b["starts"].offsets.to_numpy()))[region]
+            pos = (at - offsets[region] + starts[region]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_signed(windows(h, length)[at]), b["doc_id"].take(pa.array(row)), pa.array(pos)], names=["h", "doc_id", "pos"])
 
-    return regions.mapInArrow(joined, f"h bigint, doc_id {kind}, pos int")
+    return regions.mapInArrow(emit, f"h bigint, doc_id {kind}, pos int")
 
 
 def _runs(regions: DataFrame, hits: DataFrame, length: int) -> DataFrame:
@@ -175,7 +162,7 @@ def _runs(regions: DataFrame, hits: DataFrame, length: int) -> DataFrame:
     kind = regions.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, "words"):
             rows, runs = [], []
             for doc, s, e, blob, pos, own in zip(b["doc_id"], b["starts"], b["ends"], b["words"], b["pos"], b["own"]):
                 p = np.sort(pos.values.to_numpy())
