@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, crosspoly, fuzzyhash, langmask, linedup, packing, substring, token_rollup, winnow
+from . import cotrain, crosspoly, fuzzyhash, langmask, linedup, packing, substring, token_rollup, winnow, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_html_extraction": wrappers.op3_html_extraction,
     "op4_packing": packing.op4_packing,
     "op5_simhash_near_dedup": fuzzyhash.op5_simhash_near_dedup,
     "op6_quality": cotrain.op6_quality,
