@@ -1,10 +1,63 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage is one operator of ``gaugeflow.llm`` over all documents that the stage before
+it kept; all but the last give rows of ``documents``. Each result is written below
+``spark.checkpoint.dir`` and read again, so that a lost executor costs its tasks only and
+no stage is computed twice.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from gaugeflow.llm import cotrain, fuzzyhash, linedup, packing, winnow
+from gaugeflow.llm.shared import remove, settle, workdir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return cotrain.drop_rejected(docs, cotrain.train(docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the first copy of every line only."""
+    return linedup.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return fuzzyhash.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of a fixed token count over the documents left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
+    for name, stage in STAGES[:-1]:
+        at = workdir(spark, f"pipeline-{name.replace(' ', '-')}")
+        docs = settle(stage(spark, docs, sf_dir), at)
+        if last is not None:
+            remove(spark, last)
+        last = at
+    return STAGES[-1][1](spark, docs, sf_dir)
