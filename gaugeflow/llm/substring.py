@@ -17,8 +17,9 @@ tasks first, so a passage that a million documents share is one row per task.
 
 Defined cases: null, empty and short texts (under ``min_words`` words) have no window;
 rows without doc_id are left out, as no span could be attributed; rows that share doc_id
-and text are copies of each other and listed once; an empty table gives no span; other
-columns are ignored. Words are those of ``textkit``.
+and words are copies of each other and listed once; rows that share only the doc_id are
+documents of their own, whose spans are all listed under it; an empty table gives no
+span; other columns are ignored. Words are those of ``textkit``.
 """
 
 from __future__ import annotations
@@ -230,7 +231,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     at = workdir(spark, "substring")
     least, base = min_words, max(1, min_words // 2)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    # a document is known by its id and its words, as ids may repeat
+    kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},cls:bigint>"
+    known = F.struct("doc_id", "cls").alias("doc_id")
 
     scan = settle(_scan(docs, base, least), f"{at}/scan")
     classes = scan.where("pos = -1").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -239,7 +242,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
     hits = anchors.join(again, "h").groupBy("cls", "n").agg(F.collect_set("pos").alias("anchors"))
     wanted = hits.join(classes, ["cls", "n"]).select(F.col("rep").alias("__gf_rep"), "cls", "anchors")
-    found = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__gf_rep")).select("doc_id", "text", "cls", "anchors")
+    found = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__gf_rep")).select(known, "text", "cls", "anchors")
     regions = settle(_regions(found, base, least, f"doc_id {kind}, starts array<int>, ends array<int>, words binary"), f"{at}/regions-{least}")
 
     runs, length = None, least
@@ -264,10 +267,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         out = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), whole.cast("int").alias("level"), (F.col("n") - least + 1).alias("n_windows"), F.when(F.col("doc_id") == F.col("rep"), F.col("n") - least + 1).otherwise(0).alias("n_first"))
     else:
         spans = _spans(runs.distinct(), least)
-        lost = spans.groupBy("doc_id").agg(F.sum(F.col("n_windows") - F.col("n_first")).cast("int").alias("lost")).withColumnRenamed("doc_id", "rep")
+        lost = spans.groupBy("doc_id").agg(F.sum(F.col("n_windows") - F.col("n_first")).cast("int").alias("lost")).select(F.col("doc_id.doc_id").alias("rep"), "doc_id.cls", "lost")
         first = F.when(F.col("doc_id") == F.col("rep"), F.col("n") - least + 1 - F.coalesce("lost", F.lit(0))).otherwise(0)
-        full = copies.join(lost, "rep", "left").select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), whole.cast("int").alias("level"), (F.col("n") - least + 1).alias("n_windows"), first.alias("n_first"))
-        single = members.where("copies = 1").select("doc_id").join(spans, "doc_id")
+        full = copies.join(lost, ["rep", "cls"], "left").select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), whole.cast("int").alias("level"), (F.col("n") - least + 1).alias("n_windows"), first.alias("n_first"))
+        flat = spans.select("doc_id.doc_id", "doc_id.cls", "start_word", "end_word", "level", "n_windows", "n_first")
+        single = members.where("copies = 1").select("doc_id", "cls").join(flat, ["doc_id", "cls"]).drop("cls")
         out = full.unionByName(single)
     ints = ["start_word", "end_word", "n_words", "level", "n_windows", "n_first"]
     return out.withColumn("n_words", F.col("end_word") - F.col("start_word")).select("doc_id", *[F.col(c).cast("int").alias(c) for c in ints]).distinct()
