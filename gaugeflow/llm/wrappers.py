@@ -23,7 +23,8 @@ pages are joined with them by host.
 Defined cases: a null html gives null text and slots and trains nothing; one without
 tokens gives an empty text; pages with a null url (or one without a host) are one group
 of their own; rows that repeat a page_id are extracted each and a null page_id is
-carried; of equal pages one decides; an empty table gives no row; a slot's white space
+carried; a wrapper without slots (of one page, or of equal ones) gives all its texts, as
+nothing tells data from template there; an empty table gives no row; a slot's white space
 is collapsed; other columns are ignored. Which of several possible wrappers is found
 depends on how the scan splits the table; that it accepts every page doesn't.
 """
@@ -319,7 +320,9 @@ class Automaton:
                 self.before[q] |= 1 << p
         self._next: dict[tuple[int, int], int] = {}
         self._reach: dict[int, int] = {}
-        self.number = {p: k for k, p in enumerate(self._bits(self.slots))}
+        # without any slot nothing tells data from template: all texts are given
+        data = self.slots or sum(1 << p for p, s in enumerate(self.symbol) if s == "T")
+        self.number = {p: k for k, p in enumerate(self._bits(data))}
 
     @staticmethod
     def _bits(x: int):
