@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import settle, workdir
 
-K, TABLES, PROBES, AXES, BLOCK = 10, 18, 3, 1, 4096
+K, TABLES, PROBES, AXES, BLOCK = 10, 24, 4, 1, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
