@@ -41,7 +41,7 @@ def audit_suite(spark: SparkSession, source, *, model_a: str | None = None, mode
     return A.suite(data, _config(config, **settings), model_a, model_b)
 
 
-def audit_run_level(spark: SparkSession, path: str, *, model_a: str | None = None, model_b: str | None = None, alpha: float = 0.05, confidence: float = 0.95, n_resamples: int = 10_000, seed: int = 0) -> list[Finding]:
+def audit_run_level(spark: SparkSession, path: str, *, model_a: str | None = None, model_b: str | None = None, seed: int = 0, n_resamples: int = 10_000, confidence: float = 0.95, alpha: float = 0.05) -> list[Finding]:
     runs, a, b = L.load_run_level(spark, path, model_a, model_b)
     return A.run_level(runs, a, b, alpha, confidence, n_resamples, seed)
 

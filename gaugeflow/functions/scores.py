@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRUE_WORDS = ("pass", "passed", "true", "yes", "correct", "success", "y", "t", "1", "win", "accept", "positive", "good", "won")
-FALSE_WORDS = ("fail", "failed", "false", "no", "incorrect", "failure", "n", "f", "0", "loss", "reject", "negative", "bad", "lost")
+TRUE_WORDS = tuple("1 accept correct good pass passed positive success t true win won y yes".split())
+FALSE_WORDS = tuple("0 bad f fail failed failure false incorrect loss lost n negative no reject".split())
 _DIGITS = r"[0-9](?:_?[0-9])*"
 NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 SPECIAL = r"^[+-]?(?:inf|infinity|nan)$"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = {"LOW": 0, "MODERATE": 1, "HIGH": 2}
-OUTCOMES = {"inconclusive": 0, "equivalent": 1, "significant": 2}
+LEVELS = {name: i for i, name in enumerate("LOW MODERATE HIGH".split())}
+OUTCOMES = {name: i for i, name in enumerate("inconclusive equivalent significant".split())}
 
 
 def _rank(value: Column, ranks: dict[str, int]) -> Column:

@@ -36,8 +36,8 @@ class Report:
 
     def to_dict(self) -> dict:
         return plain({
-            "schema_version": SCHEMA_VERSION, "methodology_version": METHODOLOGY_VERSION, "models": self.models, "source_format": self.source_format,
-            "verdict": self.verdict.to_dict(), "findings": [f.to_dict() for f in self.findings],
+            "models": self.models, "verdict": self.verdict.to_dict(), "source_format": self.source_format, "findings": [f.to_dict() for f in self.findings],
+            "methodology_version": METHODOLOGY_VERSION, "schema_version": SCHEMA_VERSION,
         })
 
     def raise_if_below(self, minimum: str) -> None:
@@ -66,8 +66,8 @@ class SuiteReport:
 
     def to_dict(self) -> dict:
         return plain({
-            "schema_version": SCHEMA_VERSION, "methodology_version": METHODOLOGY_VERSION, "overall_level": self.level, "correction": self.correction, "applied_weights": {},
-            "applied_gates": sorted(self.gates & set(self.reports)), "tests": self.tests, "metrics": {m: r.to_dict() for m, r in self.reports.items()},
+            "overall_level": self.level, "tests": self.tests, "applied_gates": sorted(self.gates & set(self.reports)), "applied_weights": {}, "correction": self.correction,
+            "metrics": {name: report.to_dict() for name, report in self.reports.items()}, "methodology_version": METHODOLOGY_VERSION, "schema_version": SCHEMA_VERSION,
         })
 
     def raise_if_below(self, minimum: str) -> None:

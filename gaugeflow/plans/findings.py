@@ -23,10 +23,8 @@ class Finding:
     details: dict = field(default_factory=dict)
 
     def to_dict(self) -> dict:
-        return {
-            "pillar": self.pillar, "title": self.title, "status": self.status.upper(), "why": self.why,
-            "how_detected": self.how_detected, "how_to_fix": self.how_to_fix, "details": plain({"check": self.check} | self.details),
-        }
+        texts = {k: getattr(self, k) for k in ("pillar", "title", "why", *(f"how_{x}" for x in ("detected", "to_fix")))}
+        return texts | {"status": self.status.upper(), "details": plain({"check": self.check} | self.details)}
 
 
 def plain(value):
@@ -53,7 +51,8 @@ class Verdict:
     drivers: list[Finding]
 
     def to_dict(self) -> dict:
-        return {"level": self.level, "label": f"{self.level.capitalize()} Confidence", "summary": self.summary, "drivers": [f.title for f in self.drivers]}
+        titles = [f.title for f in self.drivers]
+        return {"label": f"{self.level.capitalize()} Confidence", "drivers": titles, "level": self.level, "summary": self.summary}
 
     def raise_if_below(self, minimum: str, where: str = "") -> None:
         want = minimum.strip().upper()
@@ -80,5 +79,5 @@ def verdict(findings: list[Finding]) -> Verdict:
     if text is None and "threshold" in by_check:
         text = _BY_THRESHOLD.get(by_check["threshold"].details.get("outcome"))
     elif text is None and "single_precision" in by_check:
-        text = "The score is measured precisely enough." if by_check["single_precision"].details.get("precise") else "The score is too imprecise yet."
+        text = "The score is measured precisely enough." if by_check["single_precision"].details.get("precise") else "More examples are needed to pin the score down."
     return Verdict(level, text or _BY_LEVEL[level], fails or warns)

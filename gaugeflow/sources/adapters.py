@@ -68,8 +68,10 @@ def _first(rows) -> dict:
 
 
 def _promptfoo_rows(raw):
-    inner = raw.get("results") if isinstance(raw, dict) else None
-    return inner.get("results", []) if isinstance(inner, dict) else inner if isinstance(inner, list) else []
+    raw = raw if isinstance(raw, dict) else {}
+    for _ in range(2):  # the list is one or two levels down
+        raw = raw.get("results", []) if isinstance(raw, dict) else raw if isinstance(raw, list) else []
+    return raw if isinstance(raw, list) else []
 
 
 def promptfoo(doc: DataFrame) -> DataFrame:
@@ -95,10 +97,18 @@ def deepeval(doc: DataFrame) -> DataFrame:
 
 
 def openevals(doc: DataFrame) -> DataFrame:
-    example = F.coalesce(*[at(f"$.{k}") for k in ("id", "example_id", "test_id", "case_id", "index", "idx")], _place())
+    example = F.coalesce(*[at(f"$.{k}") for k in "id example_id test_id case_id index idx".split()], _place())
     return _raw(elements(doc), F.coalesce(at("$.key"), F.lit("score")), example, F.lit("model"), at("$.score"))
 
 
+def _inspect_detect(raw) -> bool:
+    """A log has a model, and a sample with a score that is an object with a value."""
+    if not isinstance(raw, dict) or "model" not in (raw.get("eval") or {}):
+        return False
+    scores = [s.get("scores") for s in raw.get("samples") or [] if isinstance(s, dict)]
+    return any("value" in v for x in scores if isinstance(x, dict) for v in x.values() if isinstance(v, dict))
+
+
 def inspect(doc: DataFrame) -> DataFrame:
     model = doc.select(F.coalesce(F.get_json_object("value", "$.eval.model"), F.lit("model")).alias("m"))
     rows = _of(doc, "samples").join(F.broadcast(model))
@@ -142,19 +152,18 @@ def langsmith(doc: DataFrame) -> DataFrame:
     return _raw(rows, F.lit("score"), at("$.reference_example_id"), F.lit("model"), _mean_of(averages))
 
 
-RAGAS_INPUTS = {"question", "user_input", "contexts", "retrieved_contexts", "reference_contexts", "answer", "response", "ground_truth", "ground_truths", "reference", "id"}
-RAGAS_METRICS = (
-    "faithfulness", "answer_relevancy", "context_precision", "context_recall", "context_relevancy", "context_utilization", "context_entity_recall", "answer_similarity", "semantic_similarity",
-    "answer_correctness", "factual_correctness", "noise_sensitivity_relevant", "noise_sensitivity_irrelevant", "summarization_score", "coherence", "conciseness", "harmfulness", "maliciousness",
-    "rouge_score", "bleu_score", "string_present", "exact_match",
-)
+RAGAS_INPUTS = set("answer contexts ground_truth ground_truths id question reference reference_contexts response retrieved_contexts user_input".split())
+RAGAS_METRICS = tuple(sorted(
+    "answer_correctness answer_relevancy answer_similarity bleu_score coherence conciseness context_entity_recall context_precision context_recall context_relevancy context_utilization".split()
+    + "exact_match factual_correctness faithfulness harmfulness maliciousness noise_sensitivity_irrelevant noise_sensitivity_relevant rouge_score semantic_similarity string_present summarization_score".split()
+))
 
 
 def ragas(doc: DataFrame) -> DataFrame:
     return _raw(elements(doc), F.lit("score"), _place(), F.lit("model"), _mean_of(F.array(*[at(f"$.{m}") for m in RAGAS_METRICS])))
 
 
-HELM_BOOKKEEPING = ("num_trials", "num_prompt_tokens", "num_output_tokens", "num_references", "num_completions", "num_instances", "num_train_instances", "prompt_truncated")
+HELM_BOOKKEEPING = tuple("num_completions num_instances num_output_tokens num_prompt_tokens num_references num_train_instances num_trials prompt_truncated".split())
 
 
 def helm(doc: DataFrame) -> DataFrame:
@@ -254,13 +263,13 @@ ADAPTERS = (
     Adapter("promptfoo", lambda r: "provider" in _first(_promptfoo_rows(r)), promptfoo),
     Adapter("deepeval", lambda r: bool({"metrics_data", "metricsData"} & set(_first(_deepeval_rows(r)))) or ("success" in _first(_deepeval_rows(r)) and bool({"name", "input"} & set(_first(_deepeval_rows(r))))), deepeval),
     Adapter("openevals", lambda r: {"key", "score"} <= set(_first(_rows(r))), openevals),
-    Adapter("inspect", lambda r: isinstance(r, dict) and isinstance(r.get("eval"), dict) and "model" in r["eval"] and any(isinstance(v, dict) and "value" in v for s in r.get("samples") or [] if isinstance(s, dict) and isinstance(s.get("scores"), dict) for v in s["scores"].values()), inspect),
+    Adapter("inspect", _inspect_detect, inspect),
     Adapter("langfuse", lambda r: any(_langfuse_row(x) for x in (r.get("data") or [] if isinstance(r, dict) and isinstance(r.get("data"), list) else _rows(r))), langfuse),
     Adapter("langsmith", lambda r: {"reference_example_id", "feedback_stats"} <= set(_first(_rows(r))), langsmith),
     Adapter("ragas", lambda r: "model" not in _first(_rows(r)) and bool(RAGAS_INPUTS & set(_first(_rows(r)))) and bool(set(RAGAS_METRICS) & set(_first(_rows(r)))), ragas),
-    Adapter("helm", lambda r: any(isinstance(x, dict) and "instance_id" in x and any(isinstance(s, dict) and isinstance(s.get("name"), dict) for s in x.get("stats") or []) for x in _rows(r)[:10]), helm, ("exact_match", "quasi_exact_match", "f1_score", "rouge_l", "bleu_1")),
+    Adapter("helm", lambda r: any(isinstance(x, dict) and "instance_id" in x and any(isinstance(s, dict) and isinstance(s.get("name"), dict) for s in x.get("stats") or []) for x in _rows(r)[:10]), helm, tuple("exact_match quasi_exact_match f1_score rouge_l bleu_1".split())),
     Adapter("mlflow_evaluate", lambda r: bool(_mlflow_columns(r)), mlflow),
-    Adapter("lighteval", _lighteval_detect, lighteval, ("acc", "exact_match", "em", "qem", "pass@1", "maj@1")),
+    Adapter("lighteval", _lighteval_detect, lighteval, tuple("acc exact_match em qem pass@1 maj@1".split())),
     Adapter("native", lambda r: isinstance(r, dict) and "scores" in _first(r.get("examples") if isinstance(r.get("examples"), list) else []), native),
     Adapter("generic", lambda r: bool(_first(_list_of(r))), generic),
 )
@@ -275,7 +284,7 @@ def detect(raw) -> Adapter:
 
 # logs with one event a line
 
-LM_EVAL_RESERVED = {"doc_id", "doc", "target", "arguments", "resps", "filtered_resps", "filter", "metrics", "doc_hash", "prompt_hash", "target_hash", "model", "task_name"}
+LM_EVAL_RESERVED = set("arguments doc doc_hash doc_id filter filtered_resps metrics model prompt_hash resps target target_hash task_name".split())
 _STAMP = re.compile(r"(?P<task>.+)_(?P<stamp>\d{4}-\d\d-\d\dT[\d.:-]+)")
 
 

@@ -131,8 +131,8 @@ def load_comparison(spark: SparkSession, path_a: str, path_b: str, label_a: str
     return EvalFrames(cells, models, join(one.runs, two.runs), join(one.judges, two.judges), source_format=one.source_format, metadata=about)
 
 
-RUN_META = {"run", "run_id", "seed", "iteration", "trial", "index"}
-RUN_MODEL, RUN_SCORE = ("model", "name", "provider", "system", "variant"), ("score", "value", "result", "accuracy", "pass_rate")
+RUN_META = set("index iteration run run_id seed trial".split())
+RUN_MODEL, RUN_SCORE = ("model", "name", *"provider system variant".split()), tuple("score value result accuracy pass_rate".split())
 
 
 def load_run_level(spark: SparkSession, path: str, a: str | None = None, b: str | None = None) -> tuple[DataFrame, str, str]:

@@ -9,12 +9,12 @@ from ..functions.scores import coerce_score
 from .rows import columns_of
 
 #: Names of each role, the preferred ones first; case doesn't matter.
-ID = ("id", "example_id", "test_id", "case_id", "sample_id", "item_id", "testidx", "test_idx", "index", "idx", "input", "question", "prompt", "test", "query")
-MODEL = ("model", "provider", "system", "variant", "candidate", "engine", "providerid", "provider_id", "model_name", "system_name", "hypothesis", "label", "name")
-SCORE = ("score", "pass", "passed", "success", "correct", "result", "value", "metric_score", "rating", "grade", "reward", "accuracy", "pass_rate")
-JUDGE = ("judge", "evaluator", "grader", "rater", "judge_model")
+ID = tuple("id example_id test_id case_id sample_id item_id testidx test_idx index idx input question prompt test query".split())
+MODEL = tuple("model provider system variant candidate engine providerid provider_id model_name system_name hypothesis label name".split())
+SCORE = tuple("score pass passed success correct result value metric_score rating grade reward accuracy pass_rate".split())
+JUDGE = tuple("judge evaluator grader rater judge_model".split())
 PREFERENCE = ("preference", "winner")
-METRIC = ("metric", "metric_name", "criterion", "dimension", "check_name", "aspect", "task", "skill")
+METRIC = tuple("metric metric_name criterion dimension check_name aspect task skill".split())
 
 
 def role(columns: list[str], names: tuple[str, ...]) -> str | None:

@@ -8,7 +8,7 @@ from pathlib import PurePath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIST_WRAPPERS = ("results", "data", "rows", "outputs", "samples", "records", "predictions", "evaluations")
+LIST_WRAPPERS = tuple("results data rows outputs samples records predictions evaluations".split())
 
 
 class UnknownFormat(ValueError):
