@@ -70,9 +70,10 @@ class TokenRollup:
         if batch_id in self.committed():
             return False
         at = f"{self.path}/batches/{batch_id}"
-        rows = self._counted(changes)
-        last = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("seq", "op", "source", "lang", "n")).alias("r")).select("doc_id", "r.*")
-        live = last.unionByName(rows.where("doc_id IS NULL")).where("op <> 'delete'")
+        # split before the texts are tokenized: a filter behind that would tokenize all twice
+        named, nameless = self._counted(changes.where("doc_id IS NOT NULL")), self._counted(changes.where("doc_id IS NULL"))
+        last = named.groupBy("doc_id").agg(F.max(F.struct("seq", "op", "source", "lang", "n")).alias("r")).select("doc_id", "r.*")
+        live = last.unionByName(nameless).where("op <> 'delete'")
         versions = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"n.t{i}").alias("tokens")) for i, name in enumerate(self.tokenizers)])
         signed = live.select("doc_id", "source", "lang", F.lit(1).cast("long").alias("docs"), F.inline(versions)).select("doc_id", *GROUP, "docs", "tokens")
         ledger = self._read("ledger")
