@@ -5,15 +5,15 @@ its distinct words. 115 of them are five segments of 23 bits. The (23, 12) Golay
 perfect: every segment lies within 3 bits of exactly one codeword. A segment's keys are
 the 12-bit index of its own codeword and of codewords that its neighbours at one bit
 belong to; there are at most five of these, and two segments at most 2 bits apart have a
-key in common if all are used. ``probes`` keys are taken, those first that the bits with
-the least majority lead to. Of 128 differing bits a few segments have most, so a pair of
-near copies has at least two segments that share a key: two documents are candidates if
-keys of the same two segments agree (24 bits; by pigeonhole certain, with probes = 6, up
-to 11 differing bits among the 115). Candidates are verified on all 128 bits.
+key in common, as all six are used (fewer ``probes`` take those first that the bits with
+the least majority lead to). Two documents are candidates if keys of the same two
+segments agree (24 bits): by pigeonhole certain up to 11 differing bits among the 115,
+very likely beyond (README). Candidates are verified on all 128 bits.
 
 Documents of equal word sets are one class with one representative before any key is
-made, so thousands of copies cost one document. Candidates are compared within sorted
-shuffle partitions, all pairs of a bucket, and only links that join two groups of a large
+made, so thousands of copies cost one document. A row for each key of a segment, with
+the keys of the segments after it, is shuffled by the former and spread to key pairs
+where it arrives. Candidates are compared within sorted shuffle partitions, all pairs of a bucket, and only links that join two groups of a large
 bucket leave it; groups are the connected components.
 
 Defined cases: null texts and texts without a word are in no group; texts of fewer than
@@ -38,7 +38,7 @@ from .shared import settle, workdir
 from .textkit import U, fmix64, slices, words
 
 SEGMENTS, BITS = 5, 128
-PROBES, DISTANCE, LEAST_WORDS = 3, 20, 16
+PROBES, DISTANCE, LEAST_WORDS = 6, 20, 16
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
 
@@ -169,18 +169,38 @@ def _keyed(reps: DataFrame, kind: str, probes: int) -> DataFrame:
             prints = np.packbits(bits, axis=1).view(np.int64).reshape(n, 2)
             weights = (1 << np.arange(23)).astype(np.int32)
             each = [segment_keys(bits[:, 23 * s : 23 * s + 23] @ weights, margin[:, 23 * s : 23 * s + 23], probes) for s in range(SEGMENTS)]
-            for number, (i, j) in enumerate(combinations(range(SEGMENTS), 2)):
-                a = np.repeat(each[i], probes, axis=1).ravel()
-                z = np.tile(each[j], (1, probes)).ravel()
-                row = np.repeat(np.arange(n), probes * probes)
-                ok = (a >= 0) & (z >= 0)
-                row = row[ok]
+            for i in range(SEGMENTS - 1):
+                later = np.concatenate(each[i + 1 :], axis=1).astype(np.int16)
+                row, p = np.nonzero(each[i] >= 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(((number << 24) | (a[ok] << 12) | z[ok]).astype(np.int32)), b["doc_id"].take(pa.array(row)), pa.array(prints[row, 0]), pa.array(prints[row, 1])],
-                    names=["key", "doc_id", "f1", "f2"],
+                    [
+                        pa.array((i << 12) | each[i][row, p], pa.int32()),
+                        b["doc_id"].take(pa.array(row)),
+                        pa.array(prints[row, 0]),
+                        pa.array(prints[row, 1]),
+                        pa.array([x.tobytes() for x in later], pa.binary()).take(pa.array(row)),
+                    ],
+                    names=["key", "doc_id", "f1", "f2", "later"],
                 )
 
-    return reps.select("doc_id", "bits", "margin").mapInArrow(make, f"key int, doc_id {kind}, f1 bigint, f2 bigint")
+    return reps.select("doc_id", "bits", "margin").mapInArrow(make, f"key int, doc_id {kind}, f1 bigint, f2 bigint, later binary")
+
+
+def _spread(key: np.ndarray, later: list[bytes], probes: int):
+    """Rows and pair keys (segments, 12 bits each), sorted by pair key."""
+    rows, keys = [], []
+    for i in range(SEGMENTS - 1):
+        own = np.flatnonzero(key >> 12 == i)
+        if not len(own):
+            continue
+        others = np.frombuffer(b"".join(later[r] for r in own.tolist()), dtype=np.int16).reshape(len(own), -1)
+        row, at = np.nonzero(others >= 0)
+        number = i * SEGMENTS + i + 1 + at // probes
+        rows.append(own[row])
+        keys.append((number.astype(np.int64) << 24) | ((key[own[row]].astype(np.int64) & 0xFFF) << 12) | others[row, at])
+    row, pair = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(pair, kind="stable")
+    return row[order], pair[order]
 
 
 def _bucket_links(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, distance: int, large: int = 64):
@@ -217,17 +237,20 @@ def _bucket_links(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, distance: int
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _links(keyed: DataFrame, kind, distance: int) -> DataFrame:
+def _links(keyed: DataFrame, kind, distance: int, probes: int) -> DataFrame:
     arrow = to_arrow_type(kind)
 
     def compare(batches):
         held = None
 
         def found(t: pa.Table):
-            key = t["key"].to_numpy()
-            a, b = _bucket_links(key, t["f1"].to_numpy().view(U), t["f2"].to_numpy().view(U), distance)
+            row, pair = _spread(t["key"].to_numpy(), t["later"].to_pylist(), probes)
+            if not len(row):
+                return None
+            a, b = _bucket_links(pair, t["f1"].to_numpy().view(U)[row], t["f2"].to_numpy().view(U)[row], distance)
             if not len(a):
                 return None
+            a, b = row[a], row[b]
             codes = t["doc_id"].combine_chunks().dictionary_encode()
             codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
             ix = codes.indices.to_numpy()
@@ -238,7 +261,7 @@ def _links(keyed: DataFrame, kind, distance: int) -> DataFrame:
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 1 << 17:
+            if held.num_rows < 1 << 14:
                 continue
             key = held["key"].to_numpy()
             cut = int(np.searchsorted(key, key[-1], side="left"))
@@ -264,7 +287,7 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, probes: int = PROBES,
     signed = settle(_signed(docs, kind.simpleString()), f"{at}/signed")
     classes = signed.groupBy("words", "n").agg(F.min(F.struct("doc_id", "bits", "margin")).alias("r"))
     reps = settle(classes.select("words", "n", "r.*"), f"{at}/classes")
-    links = settle(_links(_keyed(reps.where(F.col("n") >= least_words), kind.simpleString(), probes), kind, distance).distinct(), f"{at}/links")
+    links = settle(_links(_keyed(reps.where(F.col("n") >= least_words), kind.simpleString(), probes), kind, distance, probes).distinct(), f"{at}/links")
     roots = components(links, at)
     members = signed.select("doc_id", "words", "n").distinct().join(reps.select("words", "n", F.col("doc_id").alias("node")), ["words", "n"])
     grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group_id")).distinct()

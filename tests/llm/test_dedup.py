@@ -219,6 +219,29 @@ def test_near_copies_are_grouped_and_clean_documents_left_alone(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 62, 63]
 
 
+def test_near_copies_in_groups_of_two_are_found_by_distance(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(500):
+        w = [f"p{i}x{j}" for j in range(200)]
+        other = list(w)
+        for j in range(2 + i % 30):
+            other[j] = f"q{i}x{j}"
+        rng.shuffle(other)
+        texts += [" ".join(w), " ".join(other)]
+    distinct, _, ones = fuzzyhash.signatures(pa.array(texts))
+    bits = 2 * ones > distinct[:, None]
+    apart = (bits[::2] != bits[1::2]).sum(axis=1)
+    together = {tuple(sorted((r["doc_id"], r["group_id"]))) for r in fuzzyhash.near_groups(table(spark, texts)).where("NOT keep").collect()}
+    found = np.array([(2 * i, 2 * i + 1) in together for i in range(500)])
+    assert len(together) == found.sum()
+    assert found[apart <= 11].all() and not found[apart > fuzzyhash.DISTANCE].any()
+    far = (apart > 15) & (apart <= fuzzyhash.DISTANCE)
+    assert far.sum() >= 80 and found[far].mean() >= 0.93
+
+
 def test_simhash_links_equal_brute_force_within_buckets():
     rng = np.random.default_rng(5)
     key = np.repeat(np.arange(3), (5, 90, 1))
