@@ -10,7 +10,8 @@ words are left out, so the result is exactly the set of maximal shared spans tha
 The benchmark is sent to every worker while its fingerprints are at most
 ``broadcast_limit``: then documents are fingerprinted and tested in the scan and nothing
 is shuffled. A larger one is joined by shuffling fingerprints (16 bytes per selected
-k-gram, about 2 in ``window + 1`` words) and then the texts of the candidate pairs only.
+k-gram, about 2 in ``window + 1`` words) and then the texts of the candidate pairs only;
+rows are known by a hash of id and text there, so both ways give the same rows.
 
 Defined cases: null and empty texts share nothing; texts of fewer than
 ``k + window - 1`` words can't hold a span that long; whole texts are read; rows that
@@ -112,7 +113,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window
     words from 0."""
     ddl, d_type, i_type = _types(docs, benchmark)
     if not _small(benchmark, broadcast_limit):
-        return _spans_by_shuffle(docs, benchmark, k, window, ddl, d_type, i_type)
+        return _spans_by_shuffle(docs, benchmark, k, window, ddl, d_type, i_type).drop("doc_row")
     shared = docs.sparkSession.sparkContext.broadcast(_collected(benchmark, k, window))
 
     def scan(batches):
@@ -126,6 +127,11 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window
     return docs.select("doc_id", "text").mapInArrow(scan, ddl)
 
 
+def _rows(df: DataFrame, key: str, row: str) -> DataFrame:
+    """The ids and texts of ``df`` with a number of each row, the same for equal rows."""
+    return df.where("text IS NOT NULL").select(F.xxhash64(key, "text").alias(row), key, "text")
+
+
 def _printed(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
@@ -138,35 +144,39 @@ def _printed(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
 
 
 def _spans_by_shuffle(docs, benchmark, k, window, ddl, d_type, i_type) -> DataFrame:
-    a = _printed(docs, "doc_id", k, window)
-    b = _printed(benchmark, "item_id", k, window).withColumnRenamed("pos", "item_pos")
-    pairs = a.join(b, "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    docs, benchmark = _rows(docs, "doc_id", "doc_row"), _rows(benchmark, "item_id", "item_row")
+    a = _printed(docs, "doc_row", k, window)
+    b = _printed(benchmark, "item_row", k, window).withColumnRenamed("pos", "item_pos")
+    pairs = a.join(b, "h").select("doc_row", "item_row", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     both = (
-        pairs.join(docs.select("doc_id", "text"), "doc_id")
-        .join(benchmark.select("item_id", F.col("text").alias("item_text")), "item_id")
-        .select("doc_id", "item_id", "diagonal", "text", "item_text")
+        pairs.join(docs, "doc_row")
+        .join(benchmark.withColumnRenamed("text", "item_text"), "item_row")
+        .select("doc_row", "doc_id", "item_id", "diagonal", "text", "item_text")
     )
     least = k + window - 1
 
     def extend(batches):
         for batch in batches:
             mine, other = words(batch["text"]), words(batch["item_text"])
-            rows = []
+            rows, places = [], []
             for r, (doc, item, diagonal) in enumerate(zip(batch["doc_id"].to_pylist(), batch["item_id"].to_pylist(), batch["diagonal"].to_pylist())):
                 x = mine.hashes[mine.offsets[r] : mine.offsets[r + 1]]
                 y = other.hashes[other.offsets[r] : other.offsets[r + 1]]
                 rows += [(doc, item, s, at, n) for s, at, n in _diagonal_spans(x, y, diagonal, least)]
+                places += [r] * (len(rows) - len(places))
             if rows:
-                yield _span_batch(rows, d_type, i_type)
+                found = _span_batch(rows, d_type, i_type)
+                yield pa.RecordBatch.from_arrays([batch["doc_row"].take(pa.array(places)), *found.columns], names=["doc_row", *found.schema.names])
 
-    return both.mapInArrow(extend, ddl)
+    return both.mapInArrow(extend, f"doc_row bigint, {ddl}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """The documents that share no span with the benchmark, all columns as they are."""
     if not _small(benchmark, broadcast_limit):
-        bad = contaminated_spans(docs, benchmark, k, window, broadcast_limit).select(F.col("doc_id").alias("__gf_bad")).distinct()
-        return docs.join(bad.hint("shuffle_hash"), F.col("doc_id") == F.col("__gf_bad"), "left_anti")
+        bad = _spans_by_shuffle(docs, benchmark, k, window, *_types(docs, benchmark)).select(F.col("doc_row").alias("__gf_row"), F.col("doc_id").alias("__gf_bad")).distinct()
+        same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__gf_row")) & docs["doc_id"].eqNullSafe(F.col("__gf_bad"))
+        return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(_collected(benchmark, k, window))
     at = docs.columns.index("text")
 

@@ -1,5 +1,6 @@
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -252,6 +253,21 @@ def test_winnowing_finds_every_shared_span(spark, limit):
     assert winnow.decontaminate(d, b.limit(0), 4, 5, limit).count() == 27 and winnow.contaminated_spans(d.limit(0), b, 4, 5, limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_winnowing_knows_rows_without_an_id_or_with_a_repeated_one(spark, limit):
+    rng = np.random.default_rng(6)
+    first, second, clean = prose(rng, 12, 9000), prose(rng, 12, 9000), prose(rng, 12, 9000)
+    docs = [(None, first), (None, clean), (1, second), (1, clean), (1, None), (2, first), (2, first)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, first), (7, second), (7, first), (8, None)], "item_id bigint, text string")
+    got = Counter(tuple(r) for r in winnow.contaminated_spans(d, b, 4, 5, limit).collect())
+    want = [(None, None), (None, 7), (1, 7), (2, None), (2, None), (2, 7), (2, 7)]
+    assert got == Counter((x, y, 0, 0, 12) for x, y in want)
+    kept = winnow.decontaminate(d, b, 4, 5, limit)
+    assert kept.columns == d.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(None, clean), (1, clean), (1, None)])
+
+
 # neighbours
 
 
