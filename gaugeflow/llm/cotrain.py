@@ -6,15 +6,16 @@ it: source, language, length, and its layout (lines, capitals, digits, symbols,
 separators). Each view is a logistic regression over hashed binary features.
 
 A document is good if its label says quality 1 and not toxic. Both views are fitted on
-labelled documents; then, in each round, each labels the documents of a pool of
-unlabelled ones of which it is confident, these join the other view's training set, and
-both are fitted again. At last each view is calibrated on labelled documents that no fit
+labelled documents; then, in each round, each labels the unlabelled documents of which it
+is confident, these join the other view's training set, and both are fitted again. At last each view is calibrated on labelled documents that no fit
 has seen (Platt scaling), and a regression over the two calibrated scores and the lesser
 of them combines the views.
 
-Fitting uses bounded samples, by hash of doc_id: ``max_labelled`` labelled documents (a
-fifth of them held out) and a pool of ``max_pool`` unlabelled ones, as in the original
-algorithm; both bounds are parameters, and only feature numbers reach the driver. Scoring
+Labelled documents are a bounded sample by hash of doc_id (``max_labelled``, a fifth of
+them held out), whose feature numbers reach the driver. Unlabelled ones all take part:
+their feature numbers are written once; each round scans them to label them and count
+their features, then for each but the first of ``SCANS`` steps for the gradient over all
+confident ones, of which only sums reach the driver. A confident document weighs half a labelled one. Scoring
 reads the whole text of every document once, in the scan, without a shuffle.
 
 Defined cases: a null text counts as empty; null sources and languages are values of
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .shared import remove, settle, workdir
 from .textkit import CHUNK_BYTES, U, fmix64, slices, utf8_bytes, words
 
 TEXT_BITS, META_BITS = 18, 12
-MAX_LABELLED, MAX_POOL, ROUNDS, CONFIDENT = 16_000, 8_000, 2, 0.97
+MAX_LABELLED, ROUNDS, SCANS, CONFIDENT = 16_000, 2, 16, 0.97
+SLICE = 1 << 14  # feature sums are added up in pieces of so many
 
 
 @dataclass
@@ -138,30 +141,40 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: Sparse, y: np.ndarray, size: int, weight: np.ndarray | None = None, steps: int = 40, ridge: float = 1.0, least_rows: int = 3, rate: float = 0.1) -> np.ndarray:
+def fit(x: Sparse, y: np.ndarray, size: int, more: tuple | None = None, steps: int = 40, ridge: float = 1.0, least_rows: int = 3, rate: float = 0.1):
     """Logistic regression by full-batch Adagrad; the last weight is the intercept.
 
     Each feature is scaled by the square of its log odds ratio (add-one smoothed), and
     those of fewer than ``least_rows`` rows by 0: otherwise the fit explains its rows by
-    the words that only they have."""
-    weight = np.ones(len(y)) if weight is None else weight
+    the words that only they have. ``more`` has the sums (good, bad) over further rows by
+    feature, the numbers of rows last. A generator: it gives the weights after each step
+    that needs the gradient over further rows, which is to be sent, and after the last."""
     each = np.diff(x.offsets)
-    good = np.bincount(x.index, weights=np.repeat(weight * y, each), minlength=size)
-    bad = np.bincount(x.index, weights=np.repeat(weight * (1 - y), each), minlength=size)
-    n_good, n_bad = (weight * y).sum(), (weight * (1 - y)).sum()
+    good = np.bincount(x.index, weights=np.repeat(y, each), minlength=size).astype(float)
+    bad = np.bincount(x.index, weights=np.repeat(1 - y, each), minlength=size).astype(float)
+    n_good, n_bad, rows, n = y.sum(), (1 - y).sum(), good + bad, len(y)
+    if more is not None:
+        rows = rows + more[0][:-1] + more[1][:-1]
+        good, bad = good + 0.5 * more[0][:-1], bad + 0.5 * more[1][:-1]
+        n_good, n_bad = n_good + 0.5 * more[0][-1], n_bad + 0.5 * more[1][-1]
+        n = n_good + n_bad
     scale = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
     scale = np.append(scale * scale, 1.0)
-    scale[:-1][np.bincount(x.index, minlength=size) < least_rows] = 0
-    weight = weight / weight.sum()
+    scale[:-1][rows < least_rows] = 0
     v, seen = np.zeros(size + 1), np.full(size + 1, 1e-8)
-    for _ in range(steps):
+    for step in range(steps):
         w = v * scale
-        error = (_sigmoid(x.dot(w[:-1]) + w[-1]) - y) * weight
-        g = np.append(np.bincount(x.index, weights=np.repeat(error, each), minlength=size), error.sum()) * scale
-        g[:-1] += ridge * v[:-1] / len(y)
+        if more is not None:  # all weights are 0 at first, and the sums give the gradient
+            further = (yield w) if step else 0.5 * (more[1] - more[0])
+        error = _sigmoid(x.dot(w[:-1]) + w[-1]) - y
+        g = np.append(np.bincount(x.index, weights=np.repeat(error, each), minlength=size), error.sum())
+        if more is not None:
+            g += 0.5 * further
+        g = g / n * scale
+        g[:-1] += ridge * v[:-1] / n
         seen += g * g
         v -= rate * g / np.sqrt(seen)
-    return v * scale
+    yield v * scale
 
 
 def score(x: Sparse, w: np.ndarray) -> np.ndarray:
@@ -205,35 +218,90 @@ def _hash_below(column: str, share: float):
     return unit < share
 
 
-def _features(docs: DataFrame, ids: DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
-    """Features of the documents in ``ids`` (doc_id, y), a bounded number: sent to the
-    scan, which returns feature numbers only."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _sparse(column) -> Sparse:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return Sparse(column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+
+
+def _featured(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, t, m, ...): the feature numbers of both views, and ``columns``."""
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def scan(batches):
         for b in slices(batches):
             t, m = text_view(b["text"]), metadata_view(b["text"], b["source"], b["lang"])
             lists = [pa.ListArray.from_arrays(pa.array(v.offsets.astype(np.int32)), pa.array(v.index)) for v in (t, m)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *lists, b["y"]], names=["doc_id", "t", "m", "y"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *lists, *[b[c] for c in columns]], names=["doc_id", "t", "m", *columns])
 
-    chosen = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "source", "lang", "y")
-    table = chosen.mapInArrow(scan, f"doc_id {kind}, t array<int>, m array<int>, y int").toArrow().combine_chunks()
-    order = np.argsort(np.array(table["doc_id"].to_pylist()), kind="stable")
+    return docs.select("doc_id", "text", "source", "lang", *columns).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t array<int>, m array<int>{kinds}")
 
-    def sparse(name):
-        column = table[name].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        return Sparse(column.values.to_numpy()[: column.offsets[-1].as_py()], column.offsets.to_numpy().astype(np.int64)).take(order)
 
+def _labelled(docs: DataFrame, ids: DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
+    """Features of the documents in ``ids`` (doc_id, y), a bounded number: sent to the
+    scan, which returns feature numbers only."""
+    table = _featured(docs.join(F.broadcast(ids), "doc_id"), "y").toArrow().combine_chunks()
     if not table.num_rows:
         empty = Sparse(np.zeros(0, np.int32), np.zeros(1, np.int64))
         return empty, empty, np.zeros(0)
-    return sparse("t"), sparse("m"), table["y"].to_numpy()[order]
+    order = np.argsort(np.array(table["doc_id"].to_pylist()), kind="stable")
+    return _sparse(table["t"]).take(order), _sparse(table["m"]).take(order), table["y"].to_numpy()[order]
+
 
+VIEWS = {"text": 1 << TEXT_BITS, "meta": 1 << META_BITS}
+OTHER = {"text": "meta", "meta": "text"}
 
-def train(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS, confident: float = CONFIDENT
-) -> QualityModel | None:
+
+def _sums(free: DataFrame, givers: dict, confident: float, takers: dict | None = None) -> dict[str, list[np.ndarray]]:
+    """Sums over the unlabelled documents of which a view's giver (weights, calibration) is
+    confident, by feature, that over the documents themselves last: how many are good and
+    bad, or, with the weights of ``takers``, the gradient."""
+    spark = free.sparkSession
+    shared = spark.sparkContext.broadcast((givers, takers))
+    parts = 2 if takers is None else 1
+    at, ends = 0, {}
+    for k, size in VIEWS.items():
+        ends[k] = (at, at + parts * (size + 1))
+        at = ends[k][1]
+
+    def scan(batches):
+        givers, takers = shared.value
+        total = np.zeros(at)
+        for batch in batches:
+            for b in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                x = {"text": _sparse(b["t"]), "meta": _sparse(b["m"])}
+                for k, size in VIEWS.items():
+                    w, calibration = givers[OTHER[k]]
+                    p = _sigmoid(score(x[OTHER[k]], w) * calibration[0] + calibration[1])
+                    sure = np.flatnonzero((p >= confident) | (p <= 1 - confident))
+                    mine, y = x[k].take(sure), (p[sure] >= 0.5).astype(float)
+                    each = np.diff(mine.offsets)
+                    values = [y, 1 - y] if takers is None else [_sigmoid(score(mine, takers[k])) - y]
+                    for j, value in enumerate(values):
+                        lo = ends[k][0] + j * (size + 1)
+                        total[lo : lo + size] += np.bincount(mine.index, weights=np.repeat(value, each), minlength=size)
+                        total[lo + size] += value.sum()
+        pieces = range(0, at, SLICE)
+        yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in pieces], pa.int32()), pa.array([total[i : i + SLICE].tobytes() for i in pieces], pa.binary())], names=["piece", "sums"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, sums in zip(b["piece"].to_pylist(), b["sums"].to_pylist()):
+                total[piece] = total.get(piece, 0) + np.frombuffer(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["piece", "sums"])
+
+    ddl = "piece int, sums binary"
+    found = free.select("t", "m").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(scan, ddl).repartition("piece").mapInArrow(add, ddl).collect()
+    shared.unpersist()
+    total = np.zeros(at)
+    for piece, sums in found:
+        total[piece * SLICE : piece * SLICE + len(sums) // 8] = np.frombuffer(sums)
+    return {k: np.split(total[lo:hi], parts) for k, (lo, hi) in ends.items()}
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> QualityModel | None:
     """Fit both views; None without labelled documents of both kinds."""
     rated = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
@@ -241,44 +309,39 @@ def train(
         .agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("y"))
     )
     n_labels = rated.count()
-    n_docs = docs.count()
-    if not n_labels or not n_docs:
+    if not n_labels:
         return None
-    sample = rated.where(_hash_below("doc_id", min(1.0, max_labelled / n_labels)))
-    unlabelled = docs.where("doc_id IS NOT NULL").select("doc_id").where(_hash_below("doc_id", min(1.0, max_pool / max(1, n_docs - n_labels))))
-    pool = unlabelled.join(rated, "doc_id", "left_anti").distinct().withColumn("y", F.lit(-1))
-    t, m, y = _features(docs, sample.unionByName(pool))
-    known = np.flatnonzero(y >= 0)
-    if len(np.unique(y[known])) < 2:
+    t, m, y = _labelled(docs, rated.where(_hash_below("doc_id", min(1.0, max_labelled / n_labels))))
+    known = np.arange(len(y))
+    if len(np.unique(y)) < 2:
         return None
-    held, used, free = known[::5], np.delete(known, np.s_[::5]), np.flatnonzero(y < 0)
+    held, used = known[::5], np.delete(known, np.s_[::5])
     if len(np.unique(y[used])) < 2 or len(np.unique(y[held])) < 2:
         held = used = known
-    views = {"text": (t, 1 << TEXT_BITS), "meta": (m, 1 << META_BITS)}
-    extra = {"text": (np.zeros(0, np.int64), np.zeros(0)), "meta": (np.zeros(0, np.int64), np.zeros(0))}
+    views = {"text": t, "meta": m}
+    at = workdir(docs.sparkSession, "unlabelled")
+    free = settle(_featured(docs.where("doc_id IS NOT NULL")).join(rated.select("doc_id"), "doc_id", "left_anti").select("t", "m"), at)
 
-    def fitted(name):
-        x, size = views[name]
-        rows, guess = extra[name]
-        target = np.concatenate([y[used], guess])
-        weight = np.concatenate([np.ones(len(used)), np.full(len(rows), 0.5)])
-        return fit(x.take(np.concatenate([used, rows])), target, size, weight)
+    def fits(sums):
+        schedule = {} if sums is None else {"steps": SCANS, "rate": 0.17}  # as far in all as 40 steps of 0.1
+        return {k: fit(views[k].take(used), y[used], VIEWS[k], sums[k] if sums else None, **schedule) for k in VIEWS}
 
     def calibrated(name, w):
-        z = score(views[name][0], w)
-        return z, _dense_fit(z[held, None], y[held])
-
-    models = {k: fitted(k) for k in views}
-    for _ in range(rounds if len(free) else 0):
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            z, scale = calibrated(giver, models[giver])
-            p = _sigmoid(z[free] * scale[0] + scale[1])
-            sure = (p >= confident) | (p <= 1 - confident)
-            extra[taker] = free[sure], (p[sure] >= 0.5).astype(float)
-        models = {k: fitted(k) for k in views}
+        z = score(views[name].take(held), w)
+        return z, _dense_fit(z[:, None], y[held])
+
+    models = {k: next(f) for k, f in fits(None).items()}
+    for _ in range(rounds):
+        givers = {k: (w, calibrated(k, w)[1]) for k, w in models.items()}
+        going = fits(_sums(free, givers, confident))
+        models = {k: next(f) for k, f in going.items()}
+        for _ in range(SCANS - 1):
+            gradients = _sums(free, givers, confident, models)
+            models = {k: f.send(gradients[k][0]) for k, f in going.items()}
+    remove(docs.sparkSession, at)
     zt, st = calibrated("text", models["text"])
     zm, sm = calibrated("meta", models["meta"])
-    zt, zm = zt[held] * st[0] + st[1], zm[held] * sm[0] + sm[1]
+    zt, zm = zt * st[0] + st[1], zm * sm[0] + sm[1]
     return QualityModel(models["text"], models["meta"], st, sm, _dense_fit(np.column_stack([zt, zm, np.minimum(zt, zm)]), y[held]))
 
 

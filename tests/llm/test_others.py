@@ -208,6 +208,21 @@ def test_cotraining_scores_held_out_documents(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["keep"]}
 
 
+def test_cotraining_learns_from_every_unlabelled_document(spark):
+    from gaugeflow.llm import textkit
+
+    docs, y = corpus(np.random.default_rng(1), 12_000)
+    rare = ["gadfly", "hornet", "locust", "mosquito", "termite", "weevil"]
+    bad = [i for i in range(250, 12_000) if not y[i]][:: 12_000 // 50][: 3 * len(rare)]
+    for k, i in enumerate(bad):
+        docs[i] = (i, f"{rare[k // 3]} {docs[i][1]}", *docs[i][2:])
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    labels = spark.createDataFrame([(i, y[i], 0) for i in range(250)], "doc_id bigint, quality int, toxic int")
+    model = cotrain.train(df, labels)
+    places = textkit.words(pa.array(rare)).hashes & np.uint64((1 << cotrain.TEXT_BITS) - 1)
+    assert (model.text[places.astype(np.int64)] < 0).all()
+
+
 def test_classifier_defined_cases(spark):
     ddl = "doc_id bigint, text string, lang string, source string, p_good int"
     df = spark.createDataFrame([(1, None, None, None, 1), (None, "a", "en", "s", 1), (1, "", "en", "s", 1)], ddl)
