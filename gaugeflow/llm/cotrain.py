@@ -7,16 +7,17 @@ separators). Each view is a logistic regression over hashed binary features.
 
 A document is good if its label says quality 1 and not toxic. Both views are fitted on
 labelled documents; then, in each round, each labels the unlabelled documents of which it
-is confident, these join the other view's training set, and both are fitted again. At last each view is calibrated on labelled documents that no fit
-has seen (Platt scaling), and a regression over the two calibrated scores and the lesser
-of them combines the views.
+is confident, these join the other view's training set, and both are fitted again. At
+last each view is calibrated on labelled documents that no fit has seen (Platt scaling),
+and a regression over the two calibrated scores and the lesser of them combines the views.
 
 Labelled documents are a bounded sample by hash of doc_id (``max_labelled``, a fifth of
 them held out), whose feature numbers reach the driver. Unlabelled ones all take part:
 their feature numbers are written once; each round scans them to label them and count
 their features, then for each but the first of ``SCANS`` steps for the gradient over all
-confident ones, of which only sums reach the driver. A confident document weighs half a labelled one. Scoring
-reads the whole text of every document once, in the scan, without a shuffle.
+confident ones, of which only sums reach the driver. A confident document weighs half a
+labelled one. Scoring takes the same feature numbers, or those of other documents, in
+the scan and without a shuffle.
 
 Defined cases: a null text counts as empty; null sources and languages are values of
 their own; labels with a null are not used, and of several labels of a document the worst
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import remove, settle, workdir
-from .textkit import CHUNK_BYTES, U, fmix64, slices, utf8_bytes, words
+from .textkit import CHUNK_BYTES, U, as_array, fmix64, slices, utf8_bytes, words
 
 TEXT_BITS, META_BITS = 18, 12
-MAX_LABELLED, ROUNDS, SCANS, CONFIDENT = 16_000, 2, 16, 0.97
+MAX_LABELLED, ROUNDS, SCANS, CONFIDENT, BROADCAST_LABELS = 16_000, 2, 16, 0.97, 4_000_000
 SLICE = 1 << 14  # feature sums are added up in pieces of so many
 
 
@@ -207,8 +208,11 @@ class QualityModel:
 
     def predict(self, texts, sources, langs):
         """Calibrated probabilities to be good: text view, metadata view, both."""
-        zt = score(text_view(texts), self.text) * self.text_scale[0] + self.text_scale[1]
-        zm = score(metadata_view(texts, sources, langs), self.meta) * self.meta_scale[0] + self.meta_scale[1]
+        return self.combine(text_view(texts), metadata_view(texts, sources, langs))
+
+    def combine(self, text: Sparse, meta: Sparse):
+        zt = score(text, self.text) * self.text_scale[0] + self.text_scale[1]
+        zm = score(meta, self.meta) * self.meta_scale[0] + self.meta_scale[1]
         both = np.column_stack([zt, zm, np.minimum(zt, zm), np.ones(len(zt))]) @ self.mix
         return _sigmoid(zt), _sigmoid(zm), _sigmoid(both)
 
@@ -219,29 +223,48 @@ def _hash_below(column: str, share: float):
 
 
 def _sparse(column) -> Sparse:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return Sparse(column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+    """Rows of feature numbers, each one binary value of 32-bit numbers."""
+    column = as_array(column).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return Sparse(raw.view(np.int32), (offsets - offsets[0]) // 4)
+
 
+def _blobs(v: Sparse) -> pa.Array:
+    offsets = pa.py_buffer((4 * v.offsets).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(v.offsets) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(v.index, dtype=np.int32).tobytes())])
 
-def _featured(docs: DataFrame, *columns: str) -> DataFrame:
-    """(doc_id, t, m, ...): the feature numbers of both views, and ``columns``."""
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, m): the feature numbers of both views."""
 
     def scan(batches):
         for b in slices(batches):
             t, m = text_view(b["text"]), metadata_view(b["text"], b["source"], b["lang"])
-            lists = [pa.ListArray.from_arrays(pa.array(v.offsets.astype(np.int32)), pa.array(v.index)) for v in (t, m)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *lists, *[b[c] for c in columns]], names=["doc_id", "t", "m", *columns])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], _blobs(t), _blobs(m)], names=["doc_id", "t", "m"])
+
+    return docs.select("doc_id", "text", "source", "lang").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t binary, m binary")
 
-    return docs.select("doc_id", "text", "source", "lang", *columns).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t array<int>, m array<int>{kinds}")
+
+def _prepared(docs: DataFrame, labels: DataFrame, at: str, broadcast_labels: int) -> tuple[DataFrame, int]:
+    """(doc_id, t, m, y) of every document, written below ``at``; y is null for unlabelled
+    ones. And how many documents the labels name. Labels are sent to the scan while they
+    are at most ``broadcast_labels`` rows, else joined by shuffle."""
+    rated = (
+        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("y"))
+    )
+    rated = settle(rated, f"{at}/rated")
+    n_labels = rated.count()
+    side = F.broadcast(rated) if n_labels <= broadcast_labels else rated
+    return settle(_featured(docs).join(side, "doc_id", "left").select("doc_id", "t", "m", "y"), f"{at}/features"), n_labels
 
 
-def _labelled(docs: DataFrame, ids: DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
-    """Features of the documents in ``ids`` (doc_id, y), a bounded number: sent to the
-    scan, which returns feature numbers only."""
-    table = _featured(docs.join(F.broadcast(ids), "doc_id"), "y").toArrow().combine_chunks()
+def _labelled(features: DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
+    """Feature numbers and labels of ``features``, a bounded number of rows, on the driver."""
+    table = features.select("doc_id", "t", "m", "y").toArrow().combine_chunks()
     if not table.num_rows:
         empty = Sparse(np.zeros(0, np.int32), np.zeros(1, np.int64))
         return empty, empty, np.zeros(0)
@@ -269,18 +292,18 @@ def _sums(free: DataFrame, givers: dict, confident: float, takers: dict | None =
         givers, takers = shared.value
         total = np.zeros(at)
         for batch in batches:
-            for b in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                x = {"text": _sparse(b["t"]), "meta": _sparse(b["m"])}
+            for b in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                x = {k: _sparse(b[c]) for k, c in (("text", "t"), ("meta", "m"))}
+                x = {k: Sparse(v.index.astype(np.intp), v.offsets) for k, v in x.items()}
                 for k, size in VIEWS.items():
                     w, calibration = givers[OTHER[k]]
                     p = _sigmoid(score(x[OTHER[k]], w) * calibration[0] + calibration[1])
-                    sure = np.flatnonzero((p >= confident) | (p <= 1 - confident))
-                    mine, y = x[k].take(sure), (p[sure] >= 0.5).astype(float)
-                    each = np.diff(mine.offsets)
-                    values = [y, 1 - y] if takers is None else [_sigmoid(score(mine, takers[k])) - y]
+                    sure, y = (p >= confident) | (p <= 1 - confident), p >= 0.5
+                    each = np.diff(x[k].offsets)
+                    values = [sure & y, sure & ~y] if takers is None else [np.where(sure, _sigmoid(score(x[k], takers[k])) - y, 0.0)]
                     for j, value in enumerate(values):
                         lo = ends[k][0] + j * (size + 1)
-                        total[lo : lo + size] += np.bincount(mine.index, weights=np.repeat(value, each), minlength=size)
+                        total[lo : lo + size] += np.bincount(x[k].index, weights=np.repeat(value, each), minlength=size)
                         total[lo + size] += value.sum()
         pieces = range(0, at, SLICE)
         yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in pieces], pa.int32()), pa.array([total[i : i + SLICE].tobytes() for i in pieces], pa.binary())], names=["piece", "sums"])
@@ -301,17 +324,10 @@ def _sums(free: DataFrame, givers: dict, confident: float, takers: dict | None =
     return {k: np.split(total[lo:hi], parts) for k, (lo, hi) in ends.items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> QualityModel | None:
-    """Fit both views; None without labelled documents of both kinds."""
-    rated = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("y"))
-    )
-    n_labels = rated.count()
+def _fitted(features: DataFrame, n_labels: int, max_labelled: int, rounds: int, confident: float) -> QualityModel | None:
     if not n_labels:
         return None
-    t, m, y = _labelled(docs, rated.where(_hash_below("doc_id", min(1.0, max_labelled / n_labels))))
+    t, m, y = _labelled(features.where(F.col("y").isNotNull() & _hash_below("doc_id", min(1.0, max_labelled / n_labels))))
     known = np.arange(len(y))
     if len(np.unique(y)) < 2:
         return None
@@ -319,8 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     if len(np.unique(y[used])) < 2 or len(np.unique(y[held])) < 2:
         held = used = known
     views = {"text": t, "meta": m}
-    at = workdir(docs.sparkSession, "unlabelled")
-    free = settle(_featured(docs.where("doc_id IS NOT NULL")).join(rated.select("doc_id"), "doc_id", "left_anti").select("t", "m"), at)
+    free = features.where("doc_id IS NOT NULL AND y IS NULL")
 
     def fits(sums):
         schedule = {} if sums is None else {"steps": SCANS, "rate": 0.17}  # as far in all as 40 steps of 0.1
@@ -338,29 +353,47 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         for _ in range(SCANS - 1):
             gradients = _sums(free, givers, confident, models)
             models = {k: f.send(gradients[k][0]) for k, f in going.items()}
-    remove(docs.sparkSession, at)
     zt, st = calibrated("text", models["text"])
     zm, sm = calibrated("meta", models["meta"])
     zt, zm = zt * st[0] + st[1], zm * sm[0] + sm[1]
     return QualityModel(models["text"], models["meta"], st, sm, _dense_fit(np.column_stack([zt, zm, np.minimum(zt, zm)]), y[held]))
 
 
-def score_all(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_text, p_meta, p_good, keep) of every document."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, broadcast_labels: int = BROADCAST_LABELS) -> QualityModel | None:
+    """Fit both views; None without labelled documents of both kinds."""
+    at = workdir(docs.sparkSession, "quality")
+    model = _fitted(*_prepared(docs, labels, at, broadcast_labels), max_labelled, rounds, confident)
+    remove(docs.sparkSession, at)
+    return model
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:
+    """``score_all`` by a model trained on the same documents, from the features that
+    training has written: texts are read once."""
+    features, n_labels = _prepared(docs, labels, workdir(docs.sparkSession, "quality"), broadcast_labels)
+    model = _fitted(features, n_labels, max_labelled, rounds, confident)
+    return _scored(features.select("doc_id", "t", "m"), docs, model, threshold, lambda q, b: q.combine(_sparse(b["t"]), _sparse(b["m"])))
+
+
+def _scored(rows: DataFrame, docs: DataFrame, model: QualityModel | None, threshold: float, predict) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = rows.columns[1]
 
     def scan(batches):
         q = shared.value
-        for b in slices(batches):
-            if q is None:
-                p = [np.full(b.num_rows, 0.5)] * 3
-            else:
-                p = q.predict(b["text"], b["source"], b["lang"])
+        for b in slices(batches, column):
+            p = [np.full(b.num_rows, 0.5)] * 3 if q is None else predict(q, b)
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(arrow), *[pa.array(np.round(x, 6)) for x in p], pa.array(p[2] >= threshold)], names=["doc_id", "p_text", "p_meta", "p_good", "keep"])
 
-    return docs.select("doc_id", "text", "source", "lang").mapInArrow(scan, f"doc_id {kind.simpleString()}, p_text double, p_meta double, p_good double, keep boolean")
+    return rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, p_text double, p_meta double, p_good double, keep boolean")
+
+
+def score_all(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, p_text, p_meta, p_good, keep) of every document."""
+    rows = docs.select("doc_id", "text", "source", "lang")
+    return _scored(rows, docs, model, threshold, lambda q, b: q.predict(b["text"], b["source"], b["lang"]))
 
 
 def drop_rejected(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:
@@ -378,4 +411,4 @@ def drop_rejected(docs: DataFrame, model: QualityModel | None, threshold: float
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_all(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
