@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import remove, settle, workdir
-from .textkit import CHUNK_BYTES, U, as_array, fmix64, slices, utf8_bytes, words
+from .textkit import U, as_array, fmix64, pieces, slices, utf8_bytes, words
 
 TEXT_BITS, META_BITS = 18, 12
 MAX_LABELLED, ROUNDS, SCANS, CONFIDENT, BROADCAST_LABELS = 16_000, 2, 16, 0.97, 4_000_000
@@ -113,17 +113,14 @@ for _c in ".,":
 
 
 def metadata_view(texts, sources, langs) -> Sparse:
-    raw, offsets = utf8_bytes(texts)
-    n = len(offsets) - 1
+    texts = as_array(texts)
+    n = len(texts)
     counts = np.zeros((n, 9), dtype=np.int64)
-    i = 0
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1))
-        piece = _CLASSES[raw[offsets[i] : offsets[j]]].astype(np.int64)
-        text = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
-        counts[i:j] = np.bincount(text * 9 + piece, minlength=9 * (j - i)).reshape(j - i, 9)
-        i = j
-    size = np.diff(offsets)
+    for i, j, part in pieces(texts):
+        raw, offsets = utf8_bytes(part)
+        text = np.repeat(np.arange(j - i), np.diff(offsets))
+        counts[i:j] += np.bincount(text * 9 + _CLASSES[raw], minlength=9 * (j - i)).reshape(j - i, 9)
+    size = counts.sum(axis=1)
     every = np.arange(n)
     index = [_hashed(10, _bucket(size), META_BITS), _hashed(11, _bucket(counts[:, 6]), META_BITS), _hashed(12, _bucket(size / (1 + counts[:, 6])), META_BITS)]
     for c in (1, 2, 3, 4, 5, 7, 8):

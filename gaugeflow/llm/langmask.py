@@ -14,8 +14,10 @@ order on ties; below ``least_hit`` of it, or without an n-gram, the language is
 
 N-grams are windows of four bytes of the lower-cased text with every byte that no word of
 ``textkit`` has replaced by a space; windows of two or more spaces are skipped. Both
-passes read whole texts of all documents; only counts leave the tasks. The model grows
-with the n-grams of a language that pass ``least_rate``: at most 1 / least_rate of them.
+passes read whole texts of all documents; only counts leave the tasks, and slots are put
+together where the counts are. The model grows with the n-grams of a language that pass
+``least_rate``, at most 1 / least_rate of them: it can't take more than 2 ** 24 slots (128
+MB for each 64 languages) with the default, whatever the corpus, and is sent to all workers.
 
 Defined cases: null and empty texts get a null language and share 0; documents without a
 known language don't train; without any training document every language is null; rows
@@ -33,32 +35,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import settle, workdir
-from .textkit import _IS_WORD, CHUNK_BYTES, U, fmix64, lowered, slices, utf8_bytes
+from .shared import remove, settle, workdir
+from .textkit import _IS_WORD, U, fmix64, lowered, pieces, slices, utf8_bytes
 
 N = 4
-PROBES = 3
+PROBES, BITS_PER_GRAM = 3, 12
 _FOLD = np.where(_IS_WORD, np.arange(256), 32).astype(np.uint32)
 
 
 def grams(texts):
-    """For runs of whole texts: first text, last text, n-grams, text of each (from first)."""
-    raw, offsets = utf8_bytes(lowered(texts))
-    n, i = len(offsets) - 1, 0
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1))
-        x = _FOLD[raw[offsets[i] : offsets[j]]]
+    """For runs of texts: first text, last text, n-grams, text of each (from first). A long
+    text comes in several runs."""
+    tail, last = np.zeros(0, np.uint32), -1
+    for i, j, part in pieces(texts):
+        raw, offsets = utf8_bytes(lowered(part))
+        x, ends = _FOLD[raw], offsets[1:]
+        if i == last:  # goes on within a text: with the bytes that no window has begun at
+            x, ends = np.concatenate([tail, x]), ends + len(tail)
+        tail, last = x[-(N - 1) :], i if j == i + 1 else -1
         if len(x) >= N:
             code = (x[:-3] << np.uint32(24)) | (x[1:-2] << np.uint32(16)) | (x[2:-1] << np.uint32(8)) | x[3:]
             space = (x == 32).astype(np.int8)
             ok = (space[:-3] + space[1:-2] + space[2:-1] + space[3:]) < 2
-            ends = offsets[i + 1 : j + 1] - offsets[i]
             for back in range(1, N):  # windows that run over the end of a text
                 over = ends[:-1] - back
                 ok[over[(over >= 0) & (over < len(ok))]] = False
             at = np.flatnonzero(ok)
             yield i, j, code[at], np.searchsorted(ends, at, side="right")
-        i = j
 
 
 @dataclass
@@ -70,17 +73,26 @@ class LanguageFilter:
     wrong: np.ndarray
 
     @classmethod
-    def build(cls, sets: dict[str, np.ndarray], bits_per_gram: int = 12) -> LanguageFilter:
+    def build(cls, sets: dict[str, np.ndarray]) -> LanguageFilter:
+        """From the n-grams of each language."""
         languages = sorted(sets)
-        most = max((len(s) for s in sets.values()), default=1)
-        size = 1 << max(10, (bits_per_gram * most - 1).bit_length())
+        size = cls.size_for(max((len(s) for s in sets.values()), default=1))
         slots = np.zeros((size, (max(1, len(languages)) + 63) // 64), dtype=U)
         for k, language in enumerate(languages):
             for at in cls._places(np.asarray(sets[language], dtype=np.uint32), size):
                 slots[at, k // 64] |= U(1) << U(k % 64)
+        return cls.of_slots(languages, slots)
+
+    @classmethod
+    def of_slots(cls, languages: list[str], slots: np.ndarray) -> LanguageFilter:
         fill = [((slots[:, k // 64] >> U(k % 64)) & U(1)).mean() for k in range(len(languages))]
         return cls(languages, slots, np.array(fill, dtype=float) ** PROBES)
 
+    @staticmethod
+    def size_for(most: int) -> int:
+        """Slots for languages of up to ``most`` n-grams."""
+        return 1 << max(10, (BITS_PER_GRAM * most - 1).bit_length())
+
     @staticmethod
     def _places(codes: np.ndarray, size: int):
         h = fmix64(codes.astype(U))
@@ -110,7 +122,7 @@ class LanguageFilter:
             first = np.searchsorted(text, has, side="left")
             for k in range(len(self.languages)):
                 bit = (masks[:, k // 64] >> U(k % 64)) & U(1)
-                hits[i + has, k] = np.add.reduceat(bit.astype(np.int32), first)
+                hits[i + has, k] += np.add.reduceat(bit.astype(np.int32), first)
         share = hits / np.maximum(total, 1)[:, None]
         return np.clip((share - self.wrong) / (1 - self.wrong), 0, 1), total
 
@@ -150,17 +162,32 @@ def train(docs: DataFrame, least_count: int = 5, least_share: float = 0.02, leas
     counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, code bigint, times bigint")
     counts = counts.groupBy("lang", "code").agg(F.sum("times").alias("times"))
     spark = docs.sparkSession
-    counts = settle(counts, f"{workdir(spark, 'langmask')}/counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("times").alias("n")).collect()}
+    at = workdir(spark, "langmask")
+    counts = settle(counts, f"{at}/counts")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("times").alias("n")).collect()}  # a row per language
     if not totals:
         return LanguageFilter.build({})
+    languages = sorted(totals)
     total = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])
+    number = F.create_map(*[x for k, v in enumerate(languages) for x in (F.lit(v), F.lit(k))])
     rated = counts.withColumn("rate", F.col("times") / total[F.col("lang")])
     best = rated.groupBy("code").agg(F.max("rate").alias("best"))
-    kept = rated.where((F.col("times") >= least_count) & (F.col("rate") >= least_rate)).join(best, "code").where(F.col("rate") >= least_share * F.col("best")).select("lang", "code")
-    table = kept.toArrow()
-    langs, codes = np.array(table["lang"].to_pylist(), dtype=object), table["code"].to_numpy().astype(np.uint32)
-    return LanguageFilter.build({k: codes[langs == k] for k in totals})
+    kept = rated.where((F.col("times") >= least_count) & (F.col("rate") >= least_rate)).join(best, "code").where(F.col("rate") >= least_share * F.col("best"))
+    kept = settle(kept.select(number[F.col("lang")].alias("k"), "code"), f"{at}/kept")
+    most = kept.groupBy("k").count().agg(F.max("count")).first()[0] or 1
+    size = LanguageFilter.size_for(most)
+
+    def places(batches):
+        for b in batches:
+            k, codes = b["k"].to_numpy(), b["code"].to_numpy().astype(np.uint32)
+            for at in LanguageFilter._places(codes, size):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k // 64), pa.array((U(1) << (k % 64).astype(U)).view(np.int64))], names=["slot", "word", "mask"])
+
+    set_ = kept.mapInArrow(places, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots = np.zeros((size, (len(languages) + 63) // 64), dtype=U)
+    slots[set_["slot"].to_numpy(), set_["word"].to_numpy()] = set_["mask"].to_numpy().view(U)
+    remove(spark, at)
+    return LanguageFilter.of_slots(languages, slots)
 
 
 def identify(docs: DataFrame, model: LanguageFilter, least_hit: float = 0.3) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import settle, workdir
-from .tokens import BYTE_BPE, token_counts
+from .textkit import slices
+from .tokens import BYTE_BPE, ship, token_counts
 
 FAN_IN = 16
 
@@ -121,13 +122,14 @@ def pack(docs: DataFrame, window: int = 2048, open_windows: int = 32, tokenizer_
     """Windows (window_id, n_tokens, pieces) over all documents."""
     spark = docs.sparkSession
     at = workdir(spark, "packing")
+    ship(spark, tokenizer_path)
     doc_type = docs.schema["doc_id"].dataType
     ddl = f"window_id string, n_tokens int, pieces array<struct<doc_id:{doc_type.simpleString()},start:bigint,places:int>>, open boolean"
     arrow_type = to_arrow_type(doc_type)
 
     def first(batches):
         def items():
-            for b in batches:
+            for b in slices(batches):
                 counts = token_counts(b["text"], tokenizer_path).tolist()
                 for doc_id, n in zip(b["doc_id"].to_pylist(), counts):
                     if n:

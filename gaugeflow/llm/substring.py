@@ -36,15 +36,17 @@ from .shared import remove, settle, workdir
 from .textkit import U, fmix64, minimizers, powers, slices, window_starts, windows, words
 
 MIN_WORDS = 50
+_TEXT_BASE, _STRETCH = 0xD6E8FEB86659FD93, 1 << 16
 
 
 def content_hashes(w) -> np.ndarray:
     """A hash of each text's whole word sequence."""
     out = np.zeros(len(w.counts), dtype=U)
+    up, _ = powers(_TEXT_BASE, _STRETCH)
     for i, (a, n) in enumerate(zip(w.offsets[:-1].tolist(), w.counts.tolist())):
-        if n:
-            up, _ = powers(0xD6E8FEB86659FD93, n)
-            out[i] = (fmix64(w.hashes[a : a + n]) * up[:n]).sum(dtype=U)
+        for at in range(0, n, _STRETCH):
+            part = fmix64(w.hashes[a + at : a + min(n, at + _STRETCH)])
+            out[i : i + 1] += (part * up[: len(part)]).sum(dtype=U, keepdims=True) * U(pow(_TEXT_BASE, at, 1 << 64))
     return fmix64(out + w.counts.astype(U))
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, BLOCK = 1 << 20, 1 << 20
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[ord("0") : ord("9") + 1] = True
@@ -109,31 +109,53 @@ def lowered(texts) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(as_array(texts), ""))
 
 
-def _chunks(offsets: np.ndarray):
-    """Runs of whole texts of about CHUNK_BYTES, so that the arrays stay in cache."""
-    i, n = 0, len(offsets) - 1
+def _cut(raw: np.ndarray, at: int, end: int) -> int:
+    """The first byte from ``at`` on that is in no word."""
+    while at < end:
+        found = np.flatnonzero(~_IS_WORD[raw[at : min(end, at + (1 << 16))]])
+        if len(found):
+            return at + int(found[0])
+        at += 1 << 16
+    return end
+
+
+def pieces(texts):
+    """(i, j, part): the texts i to j - 1 where they are short, in runs of about
+    CHUNK_BYTES, so that what is made of them stays in cache; a long text in several parts
+    (j = i + 1), cut where no word is."""
+    texts = pc.fill_null(as_array(texts), "").cast(pa.large_string())
+    raw, offsets = utf8_bytes(texts)
+    i, n = 0, len(texts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        if end - at <= 2 * CHUNK_BYTES:
+            j = max(i + 1, int(np.searchsorted(offsets, at + CHUNK_BYTES, side="right")) - 1)
+            yield i, j, texts.slice(i, j - i)
+            i = j
+            continue
+        while at < end:
+            to = _cut(raw, at + CHUNK_BYTES, end) if end - at > 2 * CHUNK_BYTES else end
+            yield i, i + 1, pa.array([raw[at:to].tobytes()], pa.large_binary()).cast(pa.large_string())
+            at = to
+        i += 1
 
 
 def words(texts, lower: bool = True, prefix: int = 0) -> Words:
     """Hashes of all words of a batch of texts, and of their first ``prefix`` bytes if
     that is not 0."""
-    raw, offsets = utf8_bytes(lowered(texts) if lower else texts)
-    out, heads, counts = [], [], np.zeros(len(offsets) - 1, dtype=np.int64)
-    for i, j in _chunks(offsets):
-        piece = raw[offsets[i] : offsets[j]]
+    texts = as_array(texts)
+    out, heads, counts = [], [], np.zeros(len(texts), dtype=np.int64)
+    for i, j, part in pieces(texts):
+        piece, offsets = utf8_bytes(lowered(part) if lower else part)
         size = len(piece)
         if not size:
             continue
         flags = np.zeros(size + 2, dtype=np.int8)
         flags[1:-1] = _IS_WORD[piece]
-        bounds = offsets[i + 1 : j] - offsets[i]
         edge = np.diff(flags)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # a word that runs over the border of two texts is two words
+        bounds = offsets[1:-1]
         inner = bounds[(bounds > 0) & (bounds < size)]
         cut = np.unique(inner[flags[inner].astype(bool) & flags[inner + 1].astype(bool)])
         if len(cut):
@@ -148,8 +170,8 @@ def words(texts, lower: bool = True, prefix: int = 0) -> Words:
         if prefix:
             stop = np.minimum(ends, starts + prefix)
             heads.append(fmix64((sums[stop] - sums[starts]) * down[starts] + U(1 << 32)))
-        text = np.searchsorted(offsets[i : j + 1] - offsets[i], starts, side="right") - 1
-        counts[i:j] = np.bincount(text, minlength=j - i)[: j - i]
+        text = np.searchsorted(offsets, starts, side="right") - 1
+        counts[i:j] += np.bincount(text, minlength=j - i)[: j - i]
     hashes = np.concatenate(out) if out else np.zeros(0, U)
     prefixes = (np.concatenate(heads) if heads else np.zeros(0, U)) if prefix else None
     return Words(hashes, np.concatenate([[0], np.cumsum(counts)]), prefixes)
@@ -201,6 +223,13 @@ def minimizers(values: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if width <= 1:
         return np.arange(n)
+    if n > 2 * BLOCK:  # in blocks with width - 1 neighbours either way, which hold every run of their values
+        out = []
+        for at in range(0, n, BLOCK):
+            lo, hi = max(0, at - width + 1), min(n, at + BLOCK + width - 1)
+            found = lo + minimizers(values[lo:hi], text[lo:hi], width)
+            out.append(found[(found >= at) & (found < at + BLOCK)])
+        return np.concatenate(out)
     top = U(0xFFFFFFFFFFFFFFFF)
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     size = np.diff(np.concatenate([first, [n]]))
