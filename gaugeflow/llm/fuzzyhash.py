@@ -10,16 +10,20 @@ the least majority lead to). Two documents are candidates if keys of the same tw
 segments agree (24 bits): by pigeonhole certain up to 11 differing bits among the 115,
 very likely beyond (README). Candidates are verified on all 128 bits.
 
-Documents of equal word sets are one class with one representative before any key is
-made, so thousands of copies cost one document. A row for each key of a segment, with
-the keys of the segments after it, is shuffled by the former and spread to key pairs
-where it arrives. Candidates are compared within sorted shuffle partitions, all pairs of a bucket, and only links that join two groups of a large
-bucket leave it; groups are the connected components.
+Documents of equal word sets are one class, known by a 64-bit hash of the set, before any
+key is made, so thousands of copies cost one document. A row for each key of a segment,
+with the keys of the segments after it, is shuffled by the former and spread to key pairs
+where it arrives. Candidates are compared within sorted shuffle partitions; of a bucket of
+up to 64 classes all pairs within the distance are links, of a larger one a spanning
+forest of them; groups are the connected components of all links. Keys that more than
+``hot`` classes have are shuffled by pair of keys instead, and pairs that more have in
+parts, any two of which meet in one task.
 
 Defined cases: null texts and texts without a word are in no group; texts of fewer than
 ``least_words`` distinct words are grouped only with those of the same word set; ties of
-a majority give 0; rows that share doc_id and text are one document; rows without doc_id
-are left out; an empty table gives no group; other columns are ignored.
+a majority give 0; rows that share doc_id and text are one document, rows that share the
+doc_id alone are documents of their own; rows without doc_id are left out (and kept by
+``drop_near_copies``); an empty table gives no group; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .shared import settle, workdir
+from .shared import remove, settle, workdir
 from .textkit import U, fmix64, slices, words
 
 SEGMENTS, BITS = 5, 128
-PROBES, DISTANCE, LEAST_WORDS = 6, 20, 16
+PROBES, DISTANCE, LEAST_WORDS, HOT = 6, 20, 16, 1 << 17
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
 
@@ -107,34 +110,20 @@ def signatures(texts):
         if len(has):
             first = (np.cumsum(size) - size)[has]
             sets[start + has] = np.add.reduceat(h, first)
-            both = np.stack([fmix64(h ^ U(0x5851F42D4C957F2D)), fmix64(h + U(0x14057B7EF767814F))], axis=1)
-            bits = np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1)
-            ones[start + has] = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+            for lo in range(0, len(h), step):
+                own, who = h[lo : lo + step], text[lo : lo + step]
+                both = np.stack([fmix64(own ^ U(0x5851F42D4C957F2D)), fmix64(own + U(0x14057B7EF767814F))], axis=1)
+                bits = np.unpackbits(both.view(np.uint8).reshape(len(own), 16), axis=1)
+                each = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                ones[start + who[each]] += np.add.reduceat(bits, each, axis=0, dtype=np.int32)
         start = end
     return distinct, fmix64(sets + distinct.astype(U)), ones
 
 
-def fingerprint_keys(ones: np.ndarray, distinct: np.ndarray, probes: int):
-    """Fingerprints (n, 2) and the bucket keys of each: (row, key) pairs."""
-    bits = 2 * ones > distinct[:, None]
-    margin = np.abs(2 * ones - distinct[:, None])
-    prints = np.packbits(bits, axis=1).view(U).reshape(len(ones), 2)
-    weights = (1 << np.arange(23)).astype(np.int32)
-    each = []
-    for s in range(SEGMENTS):
-        part = slice(23 * s, 23 * s + 23)
-        each.append(segment_keys(bits[:, part] @ weights, margin[:, part], probes))
-    rows, keys = [], []
-    for number, (i, j) in enumerate(combinations(range(SEGMENTS), 2)):
-        for a in range(probes):
-            for b in range(probes):
-                ok = np.flatnonzero((each[i][:, a] >= 0) & (each[j][:, b] >= 0))
-                rows.append(ok)
-                keys.append((number << 24) | (each[i][ok, a].astype(np.int64) << 12) | each[j][ok, b])
-    return prints, np.concatenate(rows), np.concatenate(keys)
-
-
-def _signed(docs: DataFrame, kind: str) -> DataFrame:
+def _signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, words, n, bits, margin): ``words`` is the hash of the word set."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def scan(batches):
         for b in slices(batches):
             distinct, sets, ones = signatures(b["text"])
@@ -145,20 +134,23 @@ def _signed(docs: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"].take(pa.array(ok)),
+                    b["text_hash"].take(pa.array(ok)),
                     pa.array(sets[ok].view(np.int64)),
                     pa.array(distinct[ok].astype(np.int32)),
                     pa.array([p.tobytes() for p in prints], pa.binary()),
                     pa.array([m.tobytes() for m in margin], pa.binary()),
                 ],
-                names=["doc_id", "words", "n", "bits", "margin"],
+                names=["doc_id", "text_hash", "words", "n", "bits", "margin"],
             )
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {kind}, words bigint, n int, bits binary, margin binary"
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        scan, f"doc_id {kind}, text_hash bigint, words bigint, n int, bits binary, margin binary"
     )
 
 
-def _keyed(reps: DataFrame, kind: str, probes: int) -> DataFrame:
+def _keyed(reps: DataFrame, probes: int) -> DataFrame:
+    """A row per class, segment and key of it, with the keys of the segments after it."""
+
     def make(batches):
         for b in batches:
             n = b.num_rows
@@ -174,21 +166,21 @@ def _keyed(reps: DataFrame, kind: str, probes: int) -> DataFrame:
                 row, p = np.nonzero(each[i] >= 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((i << 12) | each[i][row, p], pa.int32()),
-                        b["doc_id"].take(pa.array(row)),
+                        pa.array((i << 12) | each[i][row, p], pa.int64()),
+                        b["words"].take(pa.array(row)),
                         pa.array(prints[row, 0]),
                         pa.array(prints[row, 1]),
                         pa.array([x.tobytes() for x in later], pa.binary()).take(pa.array(row)),
                     ],
-                    names=["key", "doc_id", "f1", "f2", "later"],
+                    names=["key", "words", "f1", "f2", "later"],
                 )
 
-    return reps.select("doc_id", "bits", "margin").mapInArrow(make, f"key int, doc_id {kind}, f1 bigint, f2 bigint, later binary")
+    return reps.select("words", "bits", "margin").mapInArrow(make, "key bigint, words bigint, f1 bigint, f2 bigint, later binary")
 
 
 def _spread(key: np.ndarray, later: list[bytes], probes: int):
-    """Rows and pair keys (segments, 12 bits each), sorted by pair key."""
-    rows, keys = [], []
+    """Rows and their pair keys (segments, 12 bits each)."""
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(SEGMENTS - 1):
         own = np.flatnonzero(key >> 12 == i)
         if not len(own):
@@ -197,10 +189,59 @@ def _spread(key: np.ndarray, later: list[bytes], probes: int):
         row, at = np.nonzero(others >= 0)
         number = i * SEGMENTS + i + 1 + at // probes
         rows.append(own[row])
-        keys.append((number.astype(np.int64) << 24) | ((key[own[row]].astype(np.int64) & 0xFFF) << 12) | others[row, at])
-    row, pair = np.concatenate(rows), np.concatenate(keys)
-    order = np.argsort(pair, kind="stable")
-    return row[order], pair[order]
+        keys.append((number.astype(np.int64) << 24) | ((key[own[row]] & 0xFFF) << 12) | others[row, at])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+PAIR = 1 << 32  # added to the key of a row that stands for one pair of segments only
+
+
+def _paired(keyed: DataFrame, probes: int) -> DataFrame:
+    """A row for each pair of keys instead of one for each key."""
+
+    def spread(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                row, pair = _spread(part["key"].to_numpy(), part["later"].to_pylist(), probes)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(pair + PAIR), *[part[c].take(row) for c in ("words", "f1", "f2")], pa.nulls(len(row), pa.binary())], names=["key", "words", "f1", "f2", "later"])
+
+    return keyed.mapInArrow(spread, "key bigint, words bigint, f1 bigint, f2 bigint, later binary")
+
+
+def _blocked(keyed: DataFrame, probes: int, hot: int, at: str) -> DataFrame:
+    """``keyed`` with a block number: rows of one (key, block) are compared, at most about
+    2 ``hot`` of them. Keys with more than ``hot`` rows are split by their pairs; pairs with
+    more are cut into parts by hash, and each two parts meet in a block."""
+    many = [r["key"] for r in keyed.groupBy("key").count().where(F.col("count") > hot).select("key").collect()]  # of 4 * 4096 at most
+    if not many:
+        return keyed.withColumn("block", F.lit(0).cast("long"))
+    pairs = settle(_paired(keyed.where(F.col("key").isin(many)), probes), f"{at}/pairs")
+    parts = settle(pairs.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("long").alias("parts")), f"{at}/parts")
+    n = F.coalesce("parts", F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64("words"), n)
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda other: F.least(own, other) * n + F.greatest(own, other))
+    pairs = pairs.join(parts, "key", "left").select(*keyed.columns, F.explode(meet).alias("block"))
+    return keyed.where(~F.col("key").isin(many)).withColumn("block", F.lit(0).cast("long")).unionByName(pairs)
+
+
+def _forest(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``distance``: each row is compared with those
+    that no tree has reached, so that a crowd of near copies costs little more than a row."""
+    left, right = [], []
+    open_ = np.arange(len(x))
+    while len(open_) > 1:
+        reached, open_ = [int(open_[0])], open_[1:]
+        while reached and len(open_):
+            i = reached.pop()
+            near = np.bitwise_count(x[open_] ^ x[i]) + np.bitwise_count(y[open_] ^ y[i]) <= distance
+            if near.any():
+                found, open_ = open_[near], open_[~near]
+                left.append(np.full(len(found), i))
+                right.append(found)
+                reached += found.tolist()
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _bucket_links(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, distance: int, large: int = 64):
@@ -209,7 +250,7 @@ def _bucket_links(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, distance: int
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
     end = np.repeat(first + size, size)
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = np.flatnonzero(np.repeat(size, size) <= large)
     step = 1
     while True:
@@ -223,48 +264,41 @@ def _bucket_links(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, distance: int
         step += 1
     for b in np.flatnonzero(size > large).tolist():
         lo, n = first[b], size[b]
-        x, y = f1[lo : lo + n], f2[lo : lo + n]
-        group = np.arange(n)
-        for i in range(n - 1):
-            near = i + 1 + np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) + np.bitwise_count(y[i] ^ y[i + 1 :]) <= distance)
-            near = near[group[near] != group[i]]
-            if not len(near):
-                continue
-            others, pick = np.unique(group[near], return_index=True)
-            left.append(np.full(len(pick), lo + i))
-            right.append(lo + near[pick])
-            group[np.isin(group, others)] = group[i]
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        a, z = _forest(f1[lo : lo + n], f2[lo : lo + n], distance)
+        left.append(lo + a)
+        right.append(lo + z)
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _links(keyed: DataFrame, kind, distance: int, probes: int) -> DataFrame:
-    arrow = to_arrow_type(kind)
+def _links(rows: DataFrame, distance: int, probes: int) -> DataFrame:
+    """(u, v): classes within ``distance`` that share a key, by the hash of their words."""
 
     def compare(batches):
-        held = None
-
         def found(t: pa.Table):
-            row, pair = _spread(t["key"].to_numpy(), t["later"].to_pylist(), probes)
+            key, block, words_ = (t[c].to_numpy() for c in ("key", "block", "words"))
+            row, code = _spread(np.where(key < PAIR, key, -1), t["later"].to_pylist(), probes)
+            own = np.flatnonzero(key >= PAIR)
+            if len(own):  # these are in the order of their groups
+                group = np.cumsum(np.concatenate([[0], (key[own][1:] != key[own][:-1]) | (block[own][1:] != block[own][:-1])]))
+                row, code = np.concatenate([row, own]), np.concatenate([code, PAIR + group])
             if not len(row):
                 return None
-            a, b = _bucket_links(pair, t["f1"].to_numpy().view(U)[row], t["f2"].to_numpy().view(U)[row], distance)
+            order = np.argsort(code, kind="stable")
+            row, code = row[order], code[order]
+            a, b = _bucket_links(code, t["f1"].to_numpy().view(U)[row], t["f2"].to_numpy().view(U)[row], distance)
             if not len(a):
                 return None
-            a, b = row[a], row[b]
-            codes = t["doc_id"].combine_chunks().dictionary_encode()
-            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-            ix = codes.indices.to_numpy()
-            pairs = np.unique(np.stack([ix[a], ix[b]], axis=1), axis=0)
-            names = codes.dictionary
-            return pa.RecordBatch.from_arrays([names.take(pa.array(pairs[:, 0])).cast(arrow), names.take(pa.array(pairs[:, 1])).cast(arrow)], names=["u", "v"])
+            pairs = np.unique(np.stack([words_[row[a]], words_[row[b]]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
+        held = None
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 1 << 14:
                 continue
-            key = held["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1], side="left"))
+            key, block = held["key"].to_numpy(), held["block"].to_numpy()
+            cut = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))[-1])
             if cut:
                 out = found(held.slice(0, cut))
                 held = held.slice(cut)
@@ -275,30 +309,38 @@ def _links(keyed: DataFrame, kind, distance: int, probes: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    name = kind.simpleString()
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, f"u {name}, v {name}")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_groups(docs: DataFrame, distance: int = DISTANCE, probes: int = PROBES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, group_id, group_size, keep) of the documents that have near copies.
-    ``group_id`` is the least doc_id of the group, which is the document to keep."""
+def _grouped(docs: DataFrame, distance: int, probes: int, least_words: int, hot: int) -> DataFrame:
+    """(doc_id, text_hash, kept, group_size) of the documents that have near copies;
+    ``kept`` is the document (doc_id, text_hash) of the group to keep."""
     at = workdir(docs.sparkSession, "simhash")
-    kind = docs.schema["doc_id"].dataType
-    signed = settle(_signed(docs, kind.simpleString()), f"{at}/signed")
-    classes = signed.groupBy("words", "n").agg(F.min(F.struct("doc_id", "bits", "margin")).alias("r"))
-    reps = settle(classes.select("words", "n", "r.*"), f"{at}/classes")
-    links = settle(_links(_keyed(reps.where(F.col("n") >= least_words), kind.simpleString(), probes), kind, distance, probes).distinct(), f"{at}/links")
+    signed = settle(_signed(docs), f"{at}/signed")
+    reps = settle(signed.groupBy("words").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("margin").alias("margin")), f"{at}/classes")
+    keyed = _keyed(reps.where(F.col("n") >= least_words), probes)
+    links = settle(_links(_blocked(keyed, probes, hot, at), distance, probes).distinct(), f"{at}/links")
+    for part in ("classes", "pairs", "parts"):
+        remove(docs.sparkSession, f"{at}/{part}")
     roots = components(links, at)
-    members = signed.select("doc_id", "words", "n").distinct().join(reps.select("words", "n", F.col("doc_id").alias("node")), ["words", "n"])
-    grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group_id")).distinct()
-    sizes = grouped.groupBy("group_id").agg(F.count("*").cast("int").alias("group_size")).where("group_size > 1")
-    return grouped.join(sizes, "group_id").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    members = signed.select("doc_id", "text_hash", "words").distinct().join(roots.withColumnRenamed("node", "words"), "words", "left").select("doc_id", "text_hash", F.coalesce("root", "words").alias("root"))
+    groups = members.groupBy("root").agg(F.count("*").cast("int").alias("group_size"), F.min(F.struct("doc_id", "text_hash")).alias("kept")).where("group_size > 1")
+    return members.join(groups, "root").drop("root")
+
+
+def near_groups(docs: DataFrame, distance: int = DISTANCE, probes: int = PROBES, least_words: int = LEAST_WORDS, hot: int = HOT) -> DataFrame:
+    """(doc_id, group_id, group_size, keep) of the documents that have near copies.
+    ``group_id`` is the least doc_id of the group, which is the document to keep."""
+    own = F.struct("doc_id", "text_hash")
+    return _grouped(docs, distance, probes, least_words, hot).select("doc_id", F.col("kept.doc_id").alias("group_id"), "group_size", (own == F.col("kept")).alias("keep"))
 
 
-def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document, the least doc_id, of each group; all columns as they are."""
-    gone = near_groups(docs, **parameters).where("NOT keep").select(F.col("doc_id").alias("__gf_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gf_gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, probes: int = PROBES, least_words: int = LEAST_WORDS, hot: int = HOT) -> DataFrame:
+    """``docs`` with one document, of the least doc_id, of each group; all columns as they
+    are. Equal rows are one document, of which all stay if it is the one to keep."""
+    found = _grouped(docs, distance, probes, least_words, hot).where(F.struct("doc_id", "text_hash") != F.col("kept"))
+    gone = found.select(F.col("doc_id").alias("__gf_gone"), F.col("text_hash").alias("__gf_hash"))
+    return docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__gf_gone")) & (F.xxhash64("text") == F.col("__gf_hash")), "left_anti")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
