@@ -122,36 +122,66 @@ def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     pool = [prose(rng, 3, 30) for _ in range(25)] + ["", "  "]
     texts = {i: "\n".join(pool[j] for j in rng.integers(0, len(pool), int(rng.integers(1, 9)))) for i in range(60)} | {70: None, 71: ""}
-    df = table(spark, [])
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], DDL)
-    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(df, shards=4).collect()}
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(df, shard_keys=8).collect()}
     assert got == brute_lines(texts)
 
 
+def held_keys(index):
+    """The keys of the exact counts, each of which its shard's filter must hold."""
+    filters = {r["shard"]: linedup.CuckooFilter.from_bytes(bytes(r["blob"])) for r in index.filters().collect()}
+    shards = index.log.entries()[-1]["shards"]
+    refs = index.refs().collect()
+    for r in refs:
+        key = linedup.filter_keys(np.array([r["h1"]]), np.array([r["h2"]]))
+        assert filters[r["h2"] % shards].contains(key)[0]
+    held = sum(int((f.table != 0).sum()) + len(f.stash) for f in filters.values())
+    assert held == len(refs) == index.log.entries()[-1]["keys"]
+    return rows(index.refs().select("h1", "h2", "refs"))
+
+
 def test_line_index_is_reversible_and_incremental(spark):
     rng = np.random.default_rng(2)
     pool = [prose(rng, 3, 30) for _ in range(40)]
-    texts = {i: "\n".join(pool[j] for j in rng.integers(0, 40, 5)) for i in range(50)}
+    texts = {i: "\n".join(pool[j] for j in rng.integers(0, 40 if i >= 30 else 25, 5)) for i in range(50)}
     all_ = table(spark, [texts[i] for i in range(50)])
     first, second = all_.where("doc_id < 30"), all_.where("doc_id >= 30")
-    index = linedup.LineIndex(spark, workdir(spark, "t"), 4)
+    index = linedup.LineIndex(spark, workdir(spark, "t"), 16)
     index.insert(first)
-    before = rows(index.refs().select("h1", "h2", "refs", "owner.doc_id", "owner.line_no"))
+    before = held_keys(index)
     index.insert(second)
     index.insert(second)
-    whole = linedup.LineIndex(spark, workdir(spark, "t"), 4)
+    whole = linedup.LineIndex(spark, workdir(spark, "t"), 16)
     whole.insert(all_)
-    state = lambda x: rows(x.refs().select("h1", "h2", "refs", "owner.doc_id", "owner.line_no"))
-    assert state(index) == state(whole)
-    held = {r["shard"]: linedup.CuckooFilter.from_bytes(bytes(r["blob"])) for r in index.filters().collect()}
-    for r in index.refs().collect():
-        assert held[r["shard"]].contains(np.array([r["h1"]]).view(np.uint64))[0]
+    assert held_keys(index) == held_keys(whole) and rows(index.lines()) == rows(whole.lines())
+    assert {r["doc_id"]: r["text"] for r in index.apply(all_).collect()} == brute_lines(texts)
     index.delete(second.select("doc_id"))
-    assert state(index) == before
+    index.delete(spark.createDataFrame([(999,)], "doc_id bigint"))
+    assert held_keys(index) == before
+    index.compact()
+    assert held_keys(index) == before and len(index.log.entries()) == 1
     index.delete(first.where("doc_id < 10").select("doc_id"))
-    rest = linedup.LineIndex(spark, workdir(spark, "t"), 4)
+    rest = linedup.LineIndex(spark, workdir(spark, "t"), 16)
     rest.insert(first.where("doc_id >= 10"))
-    assert state(index) == state(rest)
+    assert held_keys(index) == held_keys(rest)
+    left = {i: t for i, t in texts.items() if 10 <= i < 30}
+    assert {r["doc_id"]: r["text"] for r in index.apply(all_.where("doc_id BETWEEN 10 AND 29")).collect()} == brute_lines(left)
+
+
+def test_line_index_of_two_writers(spark):
+    index = linedup.LineIndex(spark, workdir(spark, "t"))
+    one, two = table(spark, ["a\nb", "c"]), table(spark, ["b\nd"], 10)
+    inner = index._insert
+
+    def overtaken(entries, docs, at):
+        index._insert = inner
+        linedup.LineIndex(spark, index.path).insert(two)
+        return inner(entries, docs, at)
+
+    index._insert = overtaken
+    index.insert(one)
+    assert [e["number"] for e in index.log.entries()] == [1, 2]
+    assert held_keys(index) and {r["doc_id"] for r in index.lines().collect()} == {0, 1, 10}
 
 
 def test_line_dedup_defined_cases(spark):
@@ -161,6 +191,18 @@ def test_line_dedup_defined_cases(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["text"] is not None) == [(0, "a"), (1, "a\nb"), (4, "")]
     assert linedup.dedup_lines(df.limit(0)).count() == 0
     assert out.where("doc_id = 3").count() == 1
+    one_id = spark.createDataFrame([(7, "x\ny\nz"), (7, "p\nq\nonly here"), (7, "p\nq\nonly here"), (8, "z\nw")], "doc_id bigint, text string")
+    got = sorted(r["text"] for r in linedup.dedup_lines(one_id).collect())
+    assert got == ["p\nq\nonly here", "p\nq\nonly here", "w", "x\ny\nz"]
+
+
+def test_line_dedup_of_many_repeated_lines_is_quick(spark):
+    import time
+
+    many = "\n".join(f"line {i % 100_000}" for i in range(200_000))
+    began = time.time()
+    got = linedup.dedup_lines(table(spark, [many, "line 7\nmore"])).collect()
+    assert sorted(len(r["text"].split("\n")) for r in got) == [1, 100_000] and time.time() - began < 60
 
 
 def test_cuckoo_filter_under_load():
@@ -173,6 +215,12 @@ def test_cuckoo_filter_under_load():
     others = rng.integers(0, 2**63, 20000).astype(np.uint64)
     assert f.contains(others).mean() < 0.002
     again = linedup.CuckooFilter.from_bytes(f.to_bytes())
+    twice = linedup.CuckooFilter.for_keys(64)
+    twice.insert(np.repeat(keys[:1], 12))
+    twice.delete(np.repeat(keys[:1], 11))
+    assert twice.contains(keys[:1]).all()
+    twice.delete(keys[:1])
+    assert not twice.contains(keys[:1]).any() and not twice.table.any() and not twice.stash
     again.delete(keys[:1000])
     assert again.contains(keys[1000:]).all() and again.contains(keys[:1000]).mean() < 0.01
 
@@ -259,6 +307,27 @@ def test_simhash_links_equal_brute_force_within_buckets():
     assert groups(zip(a.tolist(), b.tolist())) == groups(brute)
 
 
+def test_crowded_keys_are_split_without_losing_links(spark):
+    rng = np.random.default_rng(8)
+    w = prose(rng, 60, 5000).split()
+    texts = []
+    for _ in range(80):  # near copies of one text: they share their keys
+        own = list(w)
+        own[int(rng.integers(0, 60))] = f"x{int(rng.integers(0, 99999))}"
+        texts.append(" ".join(own))
+    texts += [prose(rng, 60, 5000) for _ in range(40)]
+    df = table(spark, texts)
+    plain, split = rows(fuzzyhash.near_groups(df)), rows(fuzzyhash.near_groups(df, hot=7))
+    assert plain == split and len(plain) >= 78
+
+
+def test_near_copies_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    one, other = prose(rng, 40, 5000), prose(rng, 40, 5000)
+    df = table(spark, [one]).union(table(spark, [one + " tail", other], 1).withColumn("doc_id", F.lit(2).cast("bigint")))
+    assert sorted(r["text"] for r in fuzzyhash.drop_near_copies(df).collect()) == sorted([one, other])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(200, 200), (5, 4)]
     got = dict(rows(components(spark.createDataFrame(edges, "u bigint, v bigint"), workdir(spark, "c")).select("node", "root")))
