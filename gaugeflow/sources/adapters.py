@@ -3,7 +3,7 @@
 Each adapter turns JSON text into raw records (metric, example_id, model, judge, raw,
 row_ord, counted) with expressions that run in the scan; ``raw`` is the score as text, and
 ``counted`` says whether an unreadable one is reported as skipped. Detection looks at the
-first rows only, on the driver.
+document's outline (``rows.outline``), which has an element of every structure in a list.
 """
 
 from __future__ import annotations

@@ -14,29 +14,6 @@ from ..operators.pairing import merge_two
 from ..plans.data import EvalFrames, collapse_metrics
 from . import adapters, roles, rows
 
-HEAD = 8 << 20
-
-
-def _peek(doc: DataFrame):
-    """The document's structure for detection, from its head where it is long: lists are
-    cut after ten elements in the engine, so that no large document reaches the driver."""
-    size = doc.agg(F.max(F.length("value")).alias("n")).first()["n"] or 0
-    if size <= HEAD:
-        return json.loads(doc.first()["value"])
-    cut = lambda c: F.to_json(F.slice(F.from_json(c, "array<string>"), 1, 10))
-    if doc.select(F.ltrim("value").startswith("[").alias("l")).first()["l"]:
-        return [json.loads(x) for x in json.loads(doc.select(cut(F.col("value")).alias("v")).first()["v"])]
-    parts = doc.select(F.from_json("value", "map<string,string>").alias("m")).select(F.explode("m")).select("key", F.when(F.ltrim("value").startswith("["), cut(F.col("value"))).otherwise(F.substring("value", 1, HEAD)).alias("v"), F.ltrim("value").startswith("[").alias("l"))
-    out = {}
-    for r in parts.collect():
-        try:
-            value = json.loads(r["v"])
-            out[r["key"]] = [json.loads(x) for x in value] if r["l"] else value
-        except ValueError:
-            out[r["key"]] = r["v"]
-    return out
-
-
 def _frames(raw: DataFrame, prefs: DataFrame | None, name: str, metadata: dict, all_metrics: bool) -> EvalFrames:
     scored = raw.withColumn("score", coerce_score(F.col("raw")))
     counts = scored.agg(F.count_if(F.expr("score IS NULL AND counted")).alias("skipped"), F.count("score").alias("kept")).first()
@@ -81,7 +58,7 @@ def _lines(spark, path, all_metrics):
 
 def _document(spark, path, all_metrics):
     doc = rows.document(spark, path)
-    found = adapters.detect(_peek(doc))
+    found = adapters.detect(rows.peek(doc))
     if found.name == "generic":
         return _frames(*roles.extract(adapters._of(doc, *rows.LIST_WRAPPERS)), "generic", {}, all_metrics)
     raw = found.parse(doc)

@@ -40,8 +40,9 @@ def _is_preference(rows: DataFrame, name: str) -> bool:
 def extract(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Raw records (metric, example_id, model, judge, raw, row_ord, counted) and, if there
     is a column of winners, preferences. Long tables have a model and a score column; in
-    wide ones every column of scores is a model. ``counted`` says whether an unreadable
-    value is reported as a skipped row: in wide tables it isn't."""
+    wide ones every other field of a row is a model, also one that the first row, which
+    tells the roles, doesn't have. ``counted`` says whether an unreadable value is reported
+    as a skipped row: in wide tables it isn't."""
     columns = columns_of(rows)
     i, m, s, j, k, p = (role(columns, r) for r in (ID, MODEL, SCORE, JUDGE, METRIC, PREFERENCE))
     metric = F.coalesce(field(k), F.lit("score")) if k else F.lit("score")
@@ -51,10 +52,12 @@ def extract(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if m and s and m != s:
         raw = rows.select(metric.alias("metric"), example.alias("example_id"), field(m).alias("model"), judge.alias("judge"), field(s).alias("raw"), "row_ord", F.lit(True).alias("counted"))
     else:
-        taken = {i, j, k, p, *(c for c in columns if c.lower() in METRIC + JUDGE)}
-        models = [c for c in columns if c not in taken]
-        cells = F.array(*[F.struct(F.lit(c).alias("model"), field(c).alias("raw")) for c in models]) if models else F.array().cast("array<struct<model:string,raw:string>>")
-        raw = rows.select(metric.alias("metric"), example.alias("example_id"), judge.alias("judge"), "row_ord", F.inline(cells)).select("metric", "example_id", "model", "judge", "raw", "row_ord", F.lit(False).alias("counted"))
+        taken = [c for c in {i, j, k, p} if c]
+        fields = F.posexplode(F.map_entries(F.from_json("row", "map<string,string>")))
+        each = rows.select(metric.alias("metric"), example.alias("example_id"), judge.alias("judge"), "row_ord", fields.alias("place", "f"))
+        each = each.where(~F.col("f.key").isin(taken) & F.col("f.value").isNotNull()) if taken else each.where("f.value IS NOT NULL")
+        # models in the order of their columns, rows in theirs
+        raw = each.select("metric", "example_id", F.col("f.key").alias("model"), "judge", F.col("f.value").alias("raw"), (F.col("row_ord") * 1024 + F.least("place", F.lit(1023))).alias("row_ord"), F.lit(False).alias("counted"))
     prefs = None
     if p:
         value = F.trim(field(p))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import PurePath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,100 @@ def elements(doc: DataFrame, column: str = "value") -> DataFrame:
     return doc.select(F.posexplode(F.from_json(column, "array<string>")).alias("row_ord", "row")).select(F.col("row_ord").cast("long").alias("row_ord"), "row")
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+KEPT = 10
+
+
+def shape(value) -> object:
+    """The structure of a JSON value without its scalars: names and kinds."""
+    if isinstance(value, dict):
+        return tuple(sorted((k, shape(v)) for k, v in value.items()))
+    if isinstance(value, list):
+        return frozenset(map(shape, value))
+    return type(value).__name__
+
+
+def outline(text: str):
+    """A JSON document whose lists, down to the first ones inside of objects, have the
+    elements with which a new structure first comes up, and the first ten in any case. Of a
+    list one element is read at a time. What depends on the presence and kind of fields
+    anywhere in such a list can be told from the outline as from the whole."""
+    scan, skip = json.JSONDecoder().raw_decode, lambda i: _BLANK.match(text, i).end()
+
+    def fail(i: int):
+        raise json.JSONDecodeError("not a JSON document", text, i)
+
+    def members(i: int, end: str, one):
+        """Positions behind each element of a list or object that begins before ``i``."""
+        i = skip(i)
+        if text[i : i + 1] == end:
+            return i + 1
+        while True:
+            i = skip(one(skip(i)))
+            c = text[i : i + 1]
+            if c == end:
+                return i + 1
+            if c != ",":
+                fail(i)
+            i += 1
+
+    def read(i: int):
+        c = text[i : i + 1]
+        if c == "{":
+            found: dict = {}
+
+            def field(i: int) -> int:
+                if text[i : i + 1] != '"':
+                    fail(i)
+                key, i = scan(text, i)
+                i = skip(i)
+                if text[i : i + 1] != ":":
+                    fail(i)
+                found[key], i = read(skip(i + 1))
+                return i
+
+            return found, members(i + 1, "}", field)
+        if c == "[":
+            kept, seen = [], set()
+
+            def element(i: int) -> int:
+                value, i = scan(text, i)
+                known = shape(value)
+                if len(kept) < KEPT or known not in seen:
+                    kept.append(value)
+                seen.add(known)
+                return i
+
+            return kept, members(i + 1, "]", element)
+        return scan(text, i)
+
+    try:
+        value, i = read(skip(0))
+    except (StopIteration, RecursionError) as e:
+        raise json.JSONDecodeError("not a JSON document", text, 0) from e
+    if skip(i) != len(text):
+        fail(i)
+    return value
+
+
+def peek(doc: DataFrame):
+    """The outline of a document, taken where the document is."""
+
+    def scan(batches):
+        for b in batches:
+            for text in b["value"].to_pylist():
+                try:
+                    found = json.dumps(outline(text))
+                except ValueError as e:
+                    found = f"!{e}"
+                yield pa.RecordBatch.from_arrays([pa.array([found])], names=["v"])
+
+    rows = doc.select("value").mapInArrow(scan, "v string").collect()
+    if not rows or rows[0]["v"].startswith("!"):
+        raise ValueError(rows[0]["v"][1:] if rows else "there is no document")
+    return json.loads(rows[0]["v"])
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that aren't blank; a line that isn't a JSON object is an error with its number.
     Only line feeds and carriage returns end a line."""
