@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_index
 from ..functions.special import binomial_two_sided
 from .records import model_means, model_ranking
-from .resample import RESAMPLES, permutation_p
+from .resample import RESAMPLES, permutation_p, slots
 
 MIN_SLICE = 5
 
@@ -95,6 +96,19 @@ def occupancy(means: np.ndarray) -> tuple[np.ndarray, bool]:
     return out, tie
 
 
+def portable_occupancy(cells: DataFrame, times: int, seed: int = 0) -> DataFrame:
+    """(model, rank, occupancy) from ``times`` joint resamples by hash draws, the same in any
+    engine; ``cells`` are of one metric and whole-number examples."""
+    c = cells.select("example_id", "model", "score")
+    e = slots(c.select("example_id").distinct(), "example_id")
+    n = e.agg(F.count("*").alias("n"))
+    p = e.join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select("replicate", draw_index(seed, F.col("replicate"), F.col("slot"), F.col("n")).alias("slot"))
+    m = p.join(e, "slot").join(c, "example_id").groupBy("replicate", "model").agg(F.round(F.avg("score"), 9).alias("mean"))
+    o = m.withColumn("lo", F.rank().over(W.partitionBy("replicate").orderBy(F.desc("mean")))).withColumn("g", F.count("*").over(W.partitionBy("replicate", "mean")))
+    ranks = F.explode(F.sequence(F.col("lo").cast("long"), F.col("lo") + F.col("g") - 1)).alias("rank")
+    return o.select("model", "g", ranks).groupBy("model", "rank").agg((F.sum(1.0 / F.col("g")) / times).alias("occupancy"))
+
+
 def rank_stability(rows: np.ndarray, order: np.ndarray, times: int, seed: int, clusters: np.ndarray | None = None) -> dict:
     """Joint bootstrap of the models' means over shared examples (NaN: no score)."""
     n, m = rows.shape
@@ -121,23 +135,35 @@ def rank_stability(rows: np.ndarray, order: np.ndarray, times: int, seed: int, c
     return {"occupancy": total / times, "retention": kept / times, "top1": kept[0] / times, "full_order": full / times, "tie_resamples": ties, "units": units}
 
 
-def rank_stability_of(cells: DataFrame, times: int = RESAMPLES, seed: int = 0) -> DataFrame:
+def rank_stability_of(cells: DataFrame, times: int = RESAMPLES, seed: int = 0, groups: DataFrame | None = None) -> DataFrame:
     """(metric, model, observed_rank, rank, occupancy) with the retention of each place,
-    of the first and of the whole order; metrics of fewer than three models are left out."""
+    of the first and of the whole order, and the number of units drawn: examples, or
+    clusters of them if ``groups`` (example_id, group_id) has any. Metrics of fewer than
+    three models or two units are left out."""
+    cluster = F.lit(None).cast("string")
+    if groups is not None:
+        cells = cells.join(groups.select("example_id", "group_id"), "example_id", "left")
+        cluster = F.when(F.col("group_id").isNull(), F.concat(F.lit("i"), F.col("example_id").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("group_id").cast("string")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="ord", columns="model", values="score", aggfunc="first", sort=True)
+        # the same example may have come up at another place for each model
+        first = frame.groupby("example_id")["ord"].transform("min")
+        wide = frame.assign(ord=first).pivot_table(index=["ord", "example_id"], columns="model", values="score", aggfunc="first", sort=True)
         names = list(wide.columns)
-        empty = pd.DataFrame(columns=["metric", "model", "observed_rank", "rank", "occupancy", "retention", "top1", "full_order", "tie_resamples"])
-        if len(names) < 3 or len(wide) < 2:
+        empty = pd.DataFrame(columns=["metric", "model", "observed_rank", "rank", "occupancy", "retention", "top1", "full_order", "tie_resamples", "units"])
+        labels = None
+        if frame["cluster"].notna().any():
+            own = frame.drop_duplicates("example_id").set_index("example_id")["cluster"]
+            labels = pd.factorize(own.loc[wide.index.get_level_values("example_id")])[0]  # by first appearance
+        if len(names) < 3 or (len(wide) if labels is None else labels.max() + 1) < 2:
             return empty
         means = np.array([np.nanmean(wide[c]) for c in names])
         order = np.array(sorted(range(len(names)), key=lambda i: (-means[i], names[i])))
-        r = rank_stability(wide.to_numpy(dtype=float), order, times, seed)
+        r = rank_stability(wide.to_numpy(dtype=float), order, times, seed, labels)
         return pd.DataFrame([
-            [frame["metric"].iloc[0], names[i], place + 1, k + 1, r["occupancy"][i, k], r["retention"][place], r["top1"], r["full_order"], r["tie_resamples"]]
+            [frame["metric"].iloc[0], names[i], place + 1, k + 1, r["occupancy"][i, k], r["retention"][place], r["top1"], r["full_order"], r["tie_resamples"], r["units"]]
             for place, i in enumerate(order) for k in range(len(names))
         ], columns=empty.columns)
 
-    ddl = "metric string, model string, observed_rank int, rank int, occupancy double, retention double, top1 double, full_order double, tie_resamples bigint"
-    return cells.select("metric", "model", "ord", "score").groupBy("metric").applyInPandas(run, ddl)
+    ddl = "metric string, model string, observed_rank int, rank int, occupancy double, retention double, top1 double, full_order double, tie_resamples bigint, units bigint"
+    return cells.select("metric", "example_id", "model", "ord", "score", cluster.alias("cluster")).groupBy("metric").applyInPandas(run, ddl)

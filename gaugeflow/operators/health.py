@@ -49,6 +49,55 @@ def single_run_means(runs: DataFrame, model: str) -> DataFrame:
     return own.join(F.broadcast(shared), "metric").where("run_idx < r AND r >= 2").groupBy("metric", "run_idx").agg(F.avg("score").alias("mean_score"))
 
 
+REASONS = ("missing_runs_a", "missing_runs_b", "nonfinite_a", "nonfinite_b", "score_run_mean_disagreement", "singleton_in_mixed")
+
+
+def rerun_eligible(cells: DataFrame, runs: DataFrame, a: str, b: str) -> DataFrame:
+    """(metric, example_id, reason, k_a, k_b, m_a, m_b, v_a, v_b): every example with its
+    runs, and the first reason for which it can't take part in a prediction of reruns, if
+    any: no score or no run of a model, a run that isn't finite, a score that isn't the
+    mean of its runs, or a single run where others have more."""
+    finite = ~F.isnan("score") & (F.abs("score") < float("inf"))
+    streams = runs.where(F.col("model").isin(a, b)).groupBy("metric", "example_id").agg(*[
+        f(F.when(F.col("model") == m, x)).alias(f"{name}_{side}")
+        for side, m in (("a", a), ("b", b))
+        for name, f, x in (("k", F.count, F.lit(1)), ("m", F.avg, F.col("score")), ("v", F.var_samp, F.col("score")), ("f", F.min, finite))
+    ])
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("score")))
+    scores = cells.groupBy("metric", "example_id").agg(pick(a).alias("s_a"), pick(b).alias("s_b"))
+    each = scores.join(streams, ["metric", "example_id"], "full")
+    lacking = lambda side: F.col(f"s_{side}").isNull() | (F.coalesce(f"k_{side}", F.lit(0)) == 0)
+    apart = lambda side: F.abs(F.col(f"s_{side}") - F.col(f"m_{side}")) > 1e-12 + 1e-10 * F.abs(f"m_{side}")
+    first = (
+        F.when(lacking("a"), REASONS[0]).when(lacking("b"), REASONS[1]).when(~F.col("f_a"), REASONS[2]).when(~F.col("f_b"), REASONS[3]).when(apart("a") | apart("b"), REASONS[4])
+    )
+    each = each.withColumn("first", first)
+    least, most = F.least("k_a", "k_b"), F.greatest("k_a", "k_b")
+    mixed = each.where("first IS NULL").groupBy("metric").agg(((F.min(least) == 1) & (F.max(most) > 1)).alias("mixed"))
+    reason = F.coalesce("first", F.when(F.coalesce("mixed", F.lit(False)) & (least == 1), REASONS[5]))
+    return each.join(F.broadcast(mixed), "metric", "left").select("metric", "example_id", reason.alias("reason"), *[f"{n}_{s}" for n in "kmv" for s in "ab"])  # mixed: a row per metric
+
+
+def rerun_prediction(eligible: DataFrame, future: int) -> DataFrame:
+    """A row per metric: counts by reason, and over the eligible examples the mean gap b - a,
+    the variance of the mean gap of ``future`` new runs and its degrees of freedom. Without
+    a second run or any spread the variance is 0, and ``degenerate`` says which."""
+    ok = F.col("reason").isNull()
+    q = lambda s: F.col(f"v_{s}") * (1 / F.col(f"k_{s}") + F.lit(1.0 / future))
+    d = lambda s: F.try_divide(q(s) * q(s), F.col(f"k_{s}") - 1)
+    out = eligible.groupBy("metric").agg(
+        F.count("*").alias("n_total"), F.count_if(ok).alias("n"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS],
+        F.avg(F.when(ok, F.col("m_b") - F.col("m_a"))).alias("mean_gap"), F.max(F.when(ok, F.greatest("k_a", "k_b"))).alias("most"),
+        F.sum(F.when(ok, F.coalesce(q("a"), F.lit(0.0)) + F.coalesce(q("b"), F.lit(0.0)))).alias("q"), F.sum(F.when(ok, F.coalesce(d("a"), F.lit(0.0)) + F.coalesce(d("b"), F.lit(0.0)))).alias("d"),
+    )
+    degenerate = F.when(F.col("most") == 1, "single_run").when(F.col("q") == 0, "observed_zero_variance")
+    spread = degenerate.isNull() & (F.col("n") > 0)
+    return out.select(
+        "metric", "n_total", "n", *REASONS, "mean_gap", F.when(F.col("n") > 0, degenerate).alias("degenerate"),
+        F.when(spread, F.col("q") / (F.col("n") * F.col("n"))).alias("variance"), F.when(spread, F.try_divide(F.col("q") * F.col("q"), F.col("d"))).alias("df"),
+    )
+
+
 def rerun_components(runs: DataFrame, a: str, b: str) -> DataFrame:
     """Variance of the mean gap that reruns alone explain: the sum over (example, model)
     streams of s^2 / (k n^2), and its Welch-Satterthwaite degrees of freedom."""

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.scores import exact_two_sided, magnitude
 
 
-def votes(prefs: DataFrame, a: str, b: str) -> DataFrame:
+def votes(prefs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Winner of each example by strict majority of its judges, else a tie."""
-    each = prefs.groupBy("example_id").agg(
+    each = prefs.groupBy(*(by or []), "example_id").agg(
         F.count_if(F.col("winner") == a).alias("votes_a"), F.count_if(F.col("winner") == b).alias("votes_b"), F.count_if((F.col("winner").isin(a, b)) | F.col("is_tie")).alias("judged")
     ).where("judged > 0")
     outcome = F.when(2 * F.col("votes_a") > F.col("judged"), "a").when(2 * F.col("votes_b") > F.col("judged"), "b").otherwise("tie")
     return each.withColumn("outcome", outcome)
 
 
-def tallies(prefs: DataFrame, a: str, b: str) -> DataFrame:
+def tallies(prefs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     count = lambda o: F.count_if(F.col("outcome") == o)
-    return votes(prefs, a, b).agg(count("a").alias("wins_a"), count("b").alias("wins_b"), count("tie").alias("ties"), F.count("*").alias("n_judged"))
+    return votes(prefs, a, b, by).groupBy(*(by or [])).agg(count("a").alias("wins_a"), count("b").alias("wins_b"), count("tie").alias("ties"), F.count("*").alias("n_judged"))
 
 
-def judge_tallies(prefs: DataFrame, a: str, b: str) -> DataFrame:
-    return prefs.groupBy("judge").agg(F.count_if(F.col("winner") == a).alias("wins_a"), F.count_if(F.col("winner") == b).alias("wins_b"), F.count_if("is_tie").alias("ties"))
+def judge_tallies(prefs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    return prefs.groupBy(*(by or []), "judge").agg(F.count_if(F.col("winner") == a).alias("wins_a"), F.count_if(F.col("winner") == b).alias("wins_b"), F.count_if("is_tie").alias("ties"))
 
 
 def sign_test(tally: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -54,6 +55,11 @@ def interval(replicates: np.ndarray, confidence: float = 0.95) -> tuple[float, f
     return float(np.percentile(replicates, 100 * tail, method="lower")), float(np.percentile(replicates, 100 * (1 - tail), method="higher"))
 
 
+def binary_means(ones: int, n: int, times: int = RESAMPLES, seed: int = 0) -> np.ndarray:
+    """Means of resampled 0/1 values: all that matters of n draws is how many are 1."""
+    return np.random.default_rng(seed).binomial(n, ones / n, size=times) / n
+
+
 def bca_interval(values: np.ndarray, replicates: np.ndarray, confidence: float = 0.95) -> tuple[float, float]:
     """Bias-corrected and accelerated interval of a mean; the percentile one where it is undefined."""
     n, tail = len(values), (1 - confidence) / 2
@@ -117,8 +123,9 @@ def exact_mean_test(pairs: DataFrame, by: list[str], order: str, alpha: float =
     return pairs.select(*by, F.col(order).alias("__o"), "diff").groupBy(*by).applyInPandas(run, ddl)
 
 
-def clustered_mean_test(pairs: DataFrame, by: list[str], cluster: str, alpha: float = 0.05, confidence: float = 0.95, times: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """The same with whole clusters drawn; only a sum and a size per cluster reach the task."""
+def clustered_mean_test(pairs: DataFrame, by: list[str], cluster: str, alpha: float = 0.05, confidence: float = 0.95, times: int = RESAMPLES, seed: int = 0, order: str | None = None) -> DataFrame:
+    """The same with whole clusters drawn; only a sum and a size per cluster reach the task.
+    Clusters are numbered by name, or by their first ``order``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__c", kind="stable")
@@ -130,7 +137,7 @@ def clustered_mean_test(pairs: DataFrame, by: list[str], cluster: str, alpha: fl
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
     ddl = f"{kinds}, n bigint, n_clusters bigint, mean_diff double, ci_low double, ci_high double, eq_low double, eq_high double, p_value double"
-    sums = pairs.groupBy(*by, F.col(cluster).alias("__c")).agg(F.sum("diff").alias("s"), F.count("*").alias("n"))
+    sums = pairs.groupBy(*by, F.col(cluster).alias("__k")).agg(F.sum("diff").alias("s"), F.count("*").alias("n"), F.min(order or cluster).alias("__c"))
     return sums.groupBy(*by).applyInPandas(run, ddl)
 
 
@@ -179,20 +186,43 @@ def slots(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     return placed.withColumn("__i", inside).join(F.broadcast(offset), "__b").withColumn("slot", F.col("__o") + F.col("__i")).drop("__b", "__i", "__o")
 
 
-def poisson_bootstrap(pairs: DataFrame, by: list[str], key: str, times: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that looks random (the finaliser of splitmix)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_weights(keys: np.ndarray, times: int, seed: int = 0) -> np.ndarray:
+    """(rows, times) weights, each a function of its row's key, the replicate and the seed."""
+    replicate = _mixed(np.arange(times, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 1))
+    draws = _mixed(_mixed(keys.astype(np.int64).view(np.uint64))[:, None] ^ replicate[None, :])
+    return np.searchsorted(_POISSON, (draws >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def poisson_bootstrap(pairs: DataFrame, by: list[str], key: str, times: int = RESAMPLES, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Interval of the mean of ``diff`` by Poisson weights: approximate, any group size.
-    Each row's weights come from a generator seeded with its key, so partitions don't matter."""
+    A row's weights are hashes of its key, so partitions don't matter; each task sends sums
+    only, ``times`` of them a group."""
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
 
     def weigh(batches):
         held: dict[tuple, list] = {}
         for b in batches:
-            keys = list(zip(*[b[c].to_pylist() for c in by]))
-            for g, k, x in zip(keys, b["__k"].to_numpy(), b["diff"].to_numpy(zero_copy_only=False)):
-                w = np.random.default_rng([seed, int(k) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, times)
+            groups: dict[tuple, list[int]] = {}
+            for i, g in enumerate(zip(*[b[c].to_pylist() for c in by])):
+                groups.setdefault(g, []).append(i)
+            keys, x = b["__k"].to_numpy(), b["diff"].to_numpy(zero_copy_only=False)
+            for g, rows in groups.items():
                 s = held.setdefault(g, [np.zeros(times), np.zeros(times)])
-                s[0] += w * x
-                s[1] += w
+                for at, size in _blocks(times, len(rows)):
+                    own = np.array(rows[at : at + size])
+                    w = poisson_weights(keys[own], times, seed).astype(float)
+                    s[0] += x[own] @ w
+                    s[1] += w.sum(axis=0)
         for g, (s, n) in held.items():
             first = [pa.array([v]) for v in g]
             yield pa.RecordBatch.from_arrays([*first, pa.array([s.tolist()]), pa.array([n.tolist()])], names=[*by, "s", "w"])

@@ -7,7 +7,7 @@ resampling runs in one grouped job for all metrics. Findings come in a fixed ord
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +23,7 @@ from .data import EvalFrames
 from .findings import LEVELS, METHODOLOGY_VERSION, SCHEMA_VERSION, Finding, Verdict, plain, verdict
 
 VALIDITY, HEALTH, REPEAT, JUDGES = "Statistical Validity", "Benchmark Health", "Repeatability", "Judge Reliability"
+FEW = 100_000  # decisive preferences whose draws are made one by one
 PREFERENCE, SLICES, PAIRS, QUALITY, SCORE = "Pairwise Preference", "Per-slice Comparison", "All-pairs Comparison", "Data Quality", "Score Reliability"
 
 
@@ -52,21 +53,26 @@ class Report:
 
 @dataclass(frozen=True)
 class SuiteReport:
+    """``tests`` has for each metric its p value, the adjusted one, whether it is rejected
+    and the level that it was held to."""
+
     reports: dict[str, Report]
     correction: str
     tests: dict[str, dict]
     gates: frozenset[str]
+    alpha: float = 0.05
+    corrected_alpha: float = 0.05
 
     @property
     def level(self) -> str:
         """A gated metric that isn't HIGH makes the suite LOW; else the weakest decides."""
-        if any(m in self.gates and r.verdict.level != "HIGH" for m, r in self.reports.items()):
-            return "LOW"
-        return min((r.verdict.level for r in self.reports.values()), key=LEVELS.index, default="LOW")
+        return overall({m: r.verdict.level for m, r in self.reports.items()}, self.gates)
 
     def to_dict(self) -> dict:
+        each = lambda key: {m: t[key] for m, t in self.tests.items()}
         return plain({
-            "overall_level": self.level, "tests": self.tests, "applied_gates": sorted(self.gates & set(self.reports)), "applied_weights": {}, "correction": self.correction,
+            "overall_level": self.level, "alpha": self.alpha, "corrected_alpha": self.corrected_alpha, "correction": self.correction, "metric_alphas": each("alpha"),
+            "adjusted_p": each("adjusted_p"), "tests": self.tests, "applied_gates": sorted(self.gates & set(self.reports)), "applied_weights": {},
             "metrics": {name: report.to_dict() for name, report in self.reports.items()}, "methodology_version": METHODOLOGY_VERSION, "schema_version": SCHEMA_VERSION,
         })
 
@@ -74,6 +80,13 @@ class SuiteReport:
         Verdict(self.level, "", []).raise_if_below(minimum, "the suite")
 
 
+def overall(levels: dict[str, str], gates=frozenset()) -> str:
+    """The level of a suite from those of its metrics."""
+    if any(m in gates and level != "HIGH" for m, level in levels.items()):
+        return "LOW"
+    return min(levels.values(), key=LEVELS.index, default="LOW")
+
+
 def _skip(pillar: str, check: str, reason: str, need: str) -> Finding:
     return Finding(pillar, check, f"{check.replace('_', ' ').capitalize()} not assessed", "skip", need, reason.replace("_", " ").capitalize() + ".", need, {"assessed": False, "reason": reason})
 
@@ -88,10 +101,48 @@ def _pairs(data: EvalFrames, a: str, b: str) -> DataFrame:
     return two.join(data.groups.select("example_id", "group_id"), "example_id", "left").withColumn("cluster", key).drop("group_id")
 
 
-def numbers(data: EvalFrames, a: str, b: str, cfg: AuditConfig) -> dict[str, dict]:
-    """What the comparison of each metric rests on, in one job."""
-    rows = kernels.compare(_pairs(data, a, b), cfg.alpha, 0.95, cfg.n_resamples, cfg.seed, data.groups is not None).collect()
-    return {r["metric"]: r.asDict() for r in rows}
+@dataclass(frozen=True)
+class Facts:
+    """What the findings about a pair rest on: a row of each kind per metric, all metrics of
+    a kind in one job."""
+
+    numbers: dict[str, dict]
+    saturation: dict[str, dict] = field(default_factory=dict)
+    discrimination: dict[str, dict] = field(default_factory=dict)
+    reruns: dict[str, dict] = field(default_factory=dict)
+    predictions: dict[str, dict] = field(default_factory=dict)
+    wins: dict[str, dict] = field(default_factory=dict)
+    win_intervals: dict[str, dict] = field(default_factory=dict)
+    votes: dict[str, dict] = field(default_factory=dict)
+    votes_by_judge: dict[str, dict] = field(default_factory=dict)
+    judges: dict[str, list[str]] = field(default_factory=dict)
+
+
+def _by_metric(rows: DataFrame | None) -> dict[str, dict]:
+    return {r["metric"]: r.asDict() for r in rows.collect()} if rows is not None else {}
+
+
+def facts(data: EvalFrames, a: str, b: str, cfg: AuditConfig, alphas: list[float] | None = None) -> Facts:
+    by, pairs, clustered = ["metric"], _pairs(data, a, b), data.groups is not None
+    runs, prefs = data.runs, data.preferences
+    numbers = _by_metric(kernels.compare(pairs, alphas or [cfg.alpha], 0.95, cfg.n_resamples, cfg.seed, clustered))
+    predicted = health.rerun_prediction(health.rerun_eligible(data.cells, runs, a, b), cfg.run_aware_future_runs) if cfg.run_aware and runs is not None else None
+    wins = preferences.win_rate(pairs, by) if cfg.bayesian or cfg.win_rate else None
+    intervals = None
+    if cfg.win_rate:
+        credit = pairs.withColumn("diff", F.when(F.col("diff") < 0, 1.0).when(F.col("diff") == 0, 0.5).otherwise(0.0))
+        intervals = resample.clustered_mean_test(credit, by, "cluster", times=cfg.n_resamples, seed=cfg.seed, order="ord") if clustered else resample.exact_mean_test(credit, by, "ord", times=cfg.n_resamples, seed=cfg.seed)
+    each: dict[str, dict] = {}
+    for r in preferences.judge_tallies(prefs, a, b, by).collect() if prefs is not None else []:
+        each.setdefault(r["metric"], {})[r["judge"]] = [r["wins_a"], r["wins_b"], r["ties"]]
+    judged: dict[str, list[str]] = {}
+    for r in data.judges.groupBy("metric", "judge").agg(F.min("judge_ord").alias("o")).orderBy("metric", "o", "judge").collect() if data.judges is not None else []:
+        judged.setdefault(r["metric"], []).append(r["judge"])
+    return Facts(
+        numbers, _by_metric(health.saturation(data.cells, cfg.score_ceiling, cfg.saturation_fraction)), _by_metric(health.discrimination(data.cells, cfg.min_spread)),
+        _by_metric(health.rerun_stability(health.run_gaps(runs, a, b)) if runs is not None else None), _by_metric(predicted), _by_metric(wins), _by_metric(intervals),
+        _by_metric(preferences.sign_test(preferences.tallies(prefs, a, b, by)) if prefs is not None else None), each, judged,
+    )
 
 
 def statistical(x: dict, a: str, b: str, cfg: AuditConfig, significant: bool | None = None) -> list[Finding]:
@@ -132,10 +183,8 @@ def data_quality(metadata: dict) -> list[Finding]:
     return out
 
 
-def benchmark_health(cells: DataFrame, cfg: AuditConfig) -> list[Finding]:
-    s = health.saturation(cells, cfg.score_ceiling, cfg.saturation_fraction).first()
-    d = health.discrimination(cells, cfg.min_spread).first()
-    if s is None or s["top_mean"] is None:
+def benchmark_health(s: dict | None, d: dict | None, cfg: AuditConfig) -> list[Finding]:
+    if s is None or d is None or s["top_mean"] is None:
         return []
     source = "configured" if cfg.score_ceiling is not None else "observed"
     return [
@@ -144,8 +193,7 @@ def benchmark_health(cells: DataFrame, cfg: AuditConfig) -> list[Finding]:
     ]
 
 
-def repeatability(runs: DataFrame | None, a: str, b: str) -> list[Finding]:
-    r = health.rerun_stability(health.run_gaps(runs, a, b)).first() if runs is not None else None
+def repeatability(r: dict | None) -> list[Finding]:
     if r is None:
         return [_skip(REPEAT, "repeatability", "no_repeated_runs", "Run every example at least twice with both models.")]
     return [
@@ -154,8 +202,8 @@ def repeatability(runs: DataFrame | None, a: str, b: str) -> list[Finding]:
     ]
 
 
-def judge_findings(cells: DataFrame | None, a: str, b: str, cfg: AuditConfig) -> list[Finding]:
-    order = [r["judge"] for r in cells.groupBy("judge").agg(F.min("judge_ord").alias("o")).orderBy("o", "judge").collect()] if cells is not None else []
+def judge_findings(cells: DataFrame | None, order: list[str], a: str, b: str, cfg: AuditConfig) -> list[Finding]:
+    """``order`` has the judges by first appearance."""
     if len(order) < 2:
         out = [_skip(JUDGES, "judge_reliability", "one_judge" if order else "no_judges", "Score with two or more judges.")]
         return out
@@ -195,56 +243,44 @@ def judge_findings(cells: DataFrame | None, a: str, b: str, cfg: AuditConfig) ->
     return out
 
 
-def preference_findings(prefs: DataFrame | None, a: str, b: str, cfg: AuditConfig) -> list[Finding]:
-    if prefs is None:
+def preference_findings(t: dict | None, each: dict | None, a: str, b: str, cfg: AuditConfig, significant: bool | None = None) -> list[Finding]:
+    """``t`` is the sign test of the examples, ``each`` has the tallies by judge."""
+    if not each:
         return []
-    t = preferences.sign_test(preferences.tallies(prefs, a, b)).first()
-    if not t["n_decisive"]:
-        return [_skip(PREFERENCE, "preference", "all_ties" if t["n_judged"] else "none_relevant", "Collect judgements that name a winner.")]
-    each = {r["judge"]: [r["wins_a"], r["wins_b"], r["ties"]] for r in preferences.judge_tallies(prefs, a, b).collect()}
-    wins = np.concatenate([np.ones(t["wins_a"]), np.zeros(t["wins_b"])])
-    lo, hi = resample.interval(resample.bootstrap_means(wins, cfg.n_resamples, cfg.seed))
-    significant = t["p_value"] < cfg.alpha
+    if t is None or not t["n_decisive"]:
+        return [_skip(PREFERENCE, "preference", "all_ties" if t else "none_relevant", "Collect judgements that name a winner.")]
+    n = t["n_decisive"]
+    wins = resample.bootstrap_means(np.repeat([1.0, 0.0], [t["wins_a"], t["wins_b"]]), cfg.n_resamples, cfg.seed) if n <= FEW else resample.binary_means(t["wins_a"], n, cfg.n_resamples, cfg.seed)
+    lo, hi = resample.interval(wins)
+    significant = t["p_value"] < cfg.alpha if significant is None else significant
     lead = a if t["wins_a"] >= t["wins_b"] else b
-    base = {"wins_a": t["wins_a"], "wins_b": t["wins_b"], "ties": t["ties"], "n_decisive": t["n_decisive"], "n_judged_examples": t["n_judged"], "per_judge": each, "aggregation": "majority"}
+    base = {"wins_a": t["wins_a"], "wins_b": t["wins_b"], "ties": t["ties"], "n_decisive": n, "n_judged_examples": t["n_judged"], "per_judge": each, "aggregation": "majority"}
     return [
-        Finding(PREFERENCE, "preference_significance", f"{lead} is preferred" if significant else "No clear preference", "pass" if significant else "fail", "Preferences scatter like scores do.", f"Sign test over {t['n_decisive']} decisive examples: p = {t['p_value']:.4g}.", "Collect more judgements.", base | {"p_value": t["p_value"], "alpha": cfg.alpha, "outcome": "significant" if significant else "inconclusive", "test": "sign"}),
+        Finding(PREFERENCE, "preference_significance", f"{lead} is preferred" if significant else "No clear preference", "pass" if significant else "fail", "Preferences scatter like scores do.", f"Sign test over {n} decisive examples: p = {t['p_value']:.4g}.", "Collect more judgements.", base | {"p_value": t["p_value"], "alpha": cfg.alpha, "significant": significant, "outcome": "significant" if significant else "inconclusive", "test": "sign"}),
         Finding(PREFERENCE, "preference_effect", f"The preference is {t['magnitude']}", "pass" if t["magnitude"] in ("medium", "large") else "warn", "A slight preference may not matter.", f"{a} wins {t['win_rate_a']:.1%} of decisive examples.", "Weigh the size against what switching costs.", base | {"win_rate_a": t["win_rate_a"], "cohens_g": t["cohens_g"], "magnitude": t["magnitude"], "ci_low": lo, "ci_high": hi, "confidence": 0.95, "seed": cfg.seed}),
     ]
 
 
-def predictive_rerun(runs: DataFrame | None, a: str, b: str, cfg: AuditConfig, central: float = 0.95) -> Finding:
-    """Where the mean gap of ``future_runs`` new runs would fall, by normal theory."""
-    r = health.rerun_components(runs, a, b).first() if runs is not None else None
-    if r is None or not r["n"]:
-        return _skip(VALIDITY, "predictive_rerun", "nothing_eligible", "Run every example at least twice with both models.")
-    m = cfg.run_aware_future_runs
-    spread = rerun_spread(runs, a, b, m)
-    base = {"n_predictive": r["n"], "future_runs": m, "point_estimate_b_minus_a": r["mean_gap"], "central_mass": central}
-    if not spread["variance"]:
-        low = high = r["mean_gap"]
-        p = 1.0 if r["mean_gap"] < 0 else 0.0 if r["mean_gap"] > 0 else 0.5
-        base |= {"degenerate_reason": "observed_zero_variance"}
+def predictive_rerun(r: dict | None, a: str, b: str, future: int, central: float = 0.95) -> Finding:
+    """Where the mean gap of ``future`` new runs would fall, by normal theory; ``r`` is a row
+    of ``health.rerun_prediction``."""
+    counts = {k: r[k] if r else 0 for k in health.REASONS}
+    base = {"model_a": a, "model_b": b, "n_total": r["n_total"] if r else 0, "n_predictive": r["n"] if r else 0, "reason_counts": counts, "future_runs": future, "central_mass": central}
+    if not base["n_predictive"]:
+        return replace(_skip(VALIDITY, "predictive_rerun", "nothing_eligible", "Run every example with both models, and let scores be the means of their runs."), details={"assessed": False, "reason": "nothing_eligible"} | base)
+    gap = r["mean_gap"]
+    if r["degenerate"]:
+        low, high, p, how = gap, gap, None, f"Without spread between runs ({r['degenerate'].replace('_', ' ')}) there is a point only."
     else:
-        se = math.sqrt(spread["variance"])
-        edge = special.t_ppf((1 + central) / 2, spread["df"])
-        low, high, p = r["mean_gap"] - edge * se, r["mean_gap"] + edge * se, special.t_cdf(-r["mean_gap"] / se, spread["df"])
-        base |= {"prediction_variance": spread["variance"], "degrees_of_freedom": spread["df"]}
-    return Finding(VALIDITY, "predictive_rerun", f"{m} new runs would give {low:.4g} to {high:.4g}", "pass", "One evaluation is one draw of many.", "Normal theory with Welch-Satterthwaite degrees of freedom.", "Nothing to do.", base | {"probability_a_better": p, "range_low": low, "range_high": high})
-
+        se, edge = math.sqrt(r["variance"]), special.t_ppf((1 + central) / 2, r["df"])
+        low, high, p, how = gap - edge * se, gap + edge * se, special.t_cdf(-gap / se, r["df"]), "Normal theory with Welch-Satterthwaite degrees of freedom."
+    details = base | {"assessed": True, "point_estimate_b_minus_a": gap, "range_low": low, "range_high": high, "probability_a_better": p, "degenerate_reason": r["degenerate"], "prediction_variance": r["variance"], "degrees_of_freedom": r["df"]}
+    return Finding(VALIDITY, "predictive_rerun", f"{future} new runs would give {low:.4g} to {high:.4g}", "pass", "One evaluation is one draw of many.", f"{how} {r['n']} of {r['n_total']} examples could be used.", "Nothing to do.", details)
 
-def rerun_spread(runs: DataFrame, a: str, b: str, future: int) -> dict:
-    streams = runs.where(F.col("model").isin(a, b)).groupBy("metric", "example_id", "model").agg(F.count("*").alias("k"), F.var_samp("score").alias("v"))
-    full = streams.groupBy("metric", "example_id").agg(F.count("*").alias("s"), F.min("k").alias("l")).where("s = 2 AND l >= 2")
-    q = F.col("v") * (1 / F.col("k") + F.lit(1.0 / future))
-    r = streams.join(full, ["metric", "example_id"], "left_semi").agg(F.sum(q).alias("q"), F.sum(q * q / (F.col("k") - 1)).alias("d"), F.count("*").alias("n")).first()
-    n = r["n"] / 2
-    return {"variance": r["q"] / (n * n) if r["q"] else 0.0, "df": r["q"] ** 2 / r["d"] if r["d"] else math.inf}
 
-
-def win_findings(pairs: DataFrame, a: str, b: str, cfg: AuditConfig) -> list[Finding]:
+def win_findings(w: dict | None, t: dict | None, a: str, b: str, cfg: AuditConfig, clustered: bool) -> list[Finding]:
+    """``w`` has the counts of wins, ``t`` the interval of the win rate."""
     out = []
-    w = preferences.win_rate(pairs, ["metric"]).first()
     if cfg.bayesian:
         if w is None or w["wins_a"] + w["wins_b"] == 0:
             out.append(_skip(VALIDITY, "bayesian_win_probability", "no_decisive_pair", "Add examples on which the models differ."))
@@ -252,17 +288,26 @@ def win_findings(pairs: DataFrame, a: str, b: str, cfg: AuditConfig) -> list[Fin
             p, lo, hi = special.win_posterior(w["wins_a"], w["wins_b"])
             out.append(Finding(VALIDITY, "bayesian_win_probability", f"{a} is better with probability {p:.3g}", "pass", "A probability is easier to act on than a p value.", "Beta posterior of the win rate under the Jeffreys prior.", "Nothing to do.", {"wins_a": w["wins_a"], "wins_b": w["wins_b"], "ties": w["ties"], "n_decisive": w["wins_a"] + w["wins_b"], "probability_a_better": p, "ci_low": lo, "ci_high": hi}))
     if cfg.win_rate:
-        if w is None:
+        if w is None or t is None:
             out.append(_skip(VALIDITY, "paired_win_rate", "no_paired_scores", "Score both models on the same examples."))
         else:
-            credit = F.when(F.col("diff") < 0, 1.0).when(F.col("diff") == 0, 0.5).otherwise(0.0)
-            credits = pairs.withColumn("diff", credit)
-            test = resample.clustered_mean_test(credits, ["metric"], "cluster", times=cfg.n_resamples, seed=cfg.seed) if pairs.where("cluster IS NOT NULL").head(1) else resample.exact_mean_test(credits, ["metric"], "ord", times=cfg.n_resamples, seed=cfg.seed)
-            t = test.first()
-            out.append(Finding(VALIDITY, "paired_win_rate", f"{a} wins {w['win_rate_a']:.1%} of examples", "pass", "Win rates don't depend on the scale of scores.", "Ties count for half.", "Nothing to do.", {"win_rate_a": w["win_rate_a"], "wins_a": w["wins_a"], "wins_b": w["wins_b"], "ties": w["ties"], "n": w["n"], "ci_low": t["ci_low"], "ci_high": t["ci_high"]}))
+            units = t["n_clusters"] if clustered else w["n"]
+            details = {"model_a": a, "model_b": b, "win_rate_a": w["win_rate_a"], "wins_a": w["wins_a"], "wins_b": w["wins_b"], "ties": w["ties"], "n": w["n"], "ci_low": t["ci_low"], "ci_high": t["ci_high"], "confidence": 0.95, "tie_policy": "half", "method": "percentile bootstrap of clusters" if clustered else "percentile bootstrap", "seed": cfg.seed, "clustered": clustered, "n_resampling_units": units}
+            out.append(Finding(VALIDITY, "paired_win_rate", f"{a} wins {w['win_rate_a']:.1%} of examples", "pass", "Win rates don't depend on the scale of scores.", "Ties count for half.", "Nothing to do.", details))
     return out
 
 
+def _rank_skip(data: EvalFrames) -> str | None:
+    """Why ranks can't be resampled, if they can't."""
+    declared = data.model_names()
+    scored = {r["model"]: r["n"] for r in data.cells.groupBy("model").agg(F.count("score").alias("n")).collect()}
+    if not scored:
+        return "preference_only" if data.preferences is not None else "no_examples"
+    if len(set(declared) | set(scored)) < 3:
+        return "fewer_than_three_models"
+    return "zero_score_model" if any(not scored.get(m) for m in declared) else None
+
+
 def pair_findings(data: EvalFrames, cfg: AuditConfig) -> list[Finding]:
     tests = families.all_pairs(data.cells, cfg.n_resamples, cfg.seed)
     if cfg.correction == "holm":
@@ -276,14 +321,15 @@ def pair_findings(data: EvalFrames, cfg: AuditConfig) -> list[Finding]:
         return [_skip(PAIRS, "all_pairs", "no_paired_scores", "Score several models on the same examples.")]
     k = sum(r["separable"] for r in rows)
     out = [Finding(PAIRS, "all_pairs", f"{k} of {len(rows)} pairs can be told apart", "pass", "With many models some gaps look large by chance.", f"Correction: {cfg.correction}.", "Nothing to do.", {"method": cfg.correction, "alpha": cfg.alpha, "k": len(rows), "n_separable": k, "pairs": rows})]
-    ranks = families.rank_stability_of(data.cells, cfg.n_resamples, cfg.seed).collect()
+    reason = _rank_skip(data)
+    ranks = families.rank_stability_of(data.cells, cfg.n_resamples, cfg.seed, data.groups).collect() if reason is None else []
     if not ranks:
-        return out + [_skip(PAIRS, "rank_stability", "fewer_than_three_models", "Compare three or more models.")]
+        return out + [_skip(PAIRS, "rank_stability", reason or "fewer_than_two_units", "Compare three or more models, each with scores, on two or more examples or groups of them.")]
     table: dict[str, list[float]] = {}
     for r in sorted(ranks, key=lambda r: (r["observed_rank"], r["rank"])):
         table.setdefault(r["model"], []).append(r["occupancy"])
     first = ranks[0]
-    return out + [Finding(PAIRS, "rank_stability", f"The first place holds in {first['top1']:.1%} of resamples", "pass", "A ranking may rest on few examples.", "All models are resampled together.", "Nothing to do.", {"occupancy": table, "top1": first["top1"], "full_order": first["full_order"], "tie_resamples": first["tie_resamples"]})]
+    return out + [Finding(PAIRS, "rank_stability", f"The first place holds in {first['top1']:.1%} of resamples", "pass", "A ranking may rest on few examples.", "All models are resampled together.", "Nothing to do.", {"occupancy": table, "top1": first["top1"], "full_order": first["full_order"], "tie_resamples": first["tie_resamples"], "n_resampling_units": first["units"], "clustered": data.groups is not None, "n_resamples": cfg.n_resamples, "seed": cfg.seed})]
 
 
 def slice_finding(data: EvalFrames, pairs: DataFrame, slice_by: str, cfg: AuditConfig) -> Finding:
@@ -304,25 +350,27 @@ def strongest(data: EvalFrames, count: int) -> list[str]:
     return [r["model"] for r in top] or data.model_names()[:count]
 
 
-def comparison(data: EvalFrames, a: str, b: str, cfg: AuditConfig, slice_by: str | None = None, x: dict | None = None, significant: bool | None = None) -> Report:
-    """One pair, one metric: every check, in order."""
-    found = data_quality(data.metadata)
-    pairs = _pairs(data, a, b)
-    x = numbers(data, a, b, cfg) if x is None else x
-    x = next(iter(x.values()), None) if not x or "n" not in x else x
+def comparison(data: EvalFrames, a: str, b: str, cfg: AuditConfig, slice_by: str | None = None, metric: str | None = None, known: Facts | None = None, significant: bool | None = None) -> Report:
+    """One pair, one metric: every check, in order. ``known`` are facts of all metrics, and
+    ``significant`` is what a family of tests has decided."""
+    known = facts(data, a, b, cfg) if known is None else known
+    if metric is None:
+        metric = next(iter({**known.numbers, **known.saturation, **known.votes_by_judge}), None)
+    found, x = data_quality(data.metadata), known.numbers.get(metric)
     if x is None:
         found.append(_skip(VALIDITY, "score_statistical_validity", "preference_only" if data.preferences is not None else "no_paired_scores", "Score both models on the same examples."))
     else:
         found += statistical(x, a, b, cfg, significant)
         if cfg.run_aware:
-            found.append(predictive_rerun(data.runs, a, b, cfg))
-        found += win_findings(pairs, a, b, cfg)
+            found.append(predictive_rerun(known.predictions.get(metric), a, b, cfg.run_aware_future_runs))
+        found += win_findings(known.wins.get(metric), known.win_intervals.get(metric), a, b, cfg, data.groups is not None)
         if cfg.all_pairs:
             found += pair_findings(data, cfg)
-        found += benchmark_health(data.cells, cfg) + repeatability(data.runs, a, b) + judge_findings(data.judges, a, b, cfg)
-    found += preference_findings(data.preferences, a, b, cfg)
+        found += benchmark_health(known.saturation.get(metric), known.discrimination.get(metric), cfg) + repeatability(known.reruns.get(metric))
+        found += judge_findings(data.judges, known.judges.get(metric, []), a, b, cfg)
+    found += preference_findings(known.votes.get(metric), known.votes_by_judge.get(metric), a, b, cfg, significant if x is None else None)
     if slice_by and x is not None:
-        found.append(slice_finding(data, pairs, slice_by, cfg))
+        found.append(slice_finding(data, _pairs(data, a, b), slice_by, cfg))
     return Report(found, verdict(found), [a, b], data.source_format, x or {})
 
 
@@ -340,7 +388,7 @@ def single(data: EvalFrames, model: str, cfg: AuditConfig, threshold: float | No
         if threshold is not None:
             outcome = "above" if r["ci_low"] > threshold else "below" if r["ci_high"] < threshold else "inconclusive"
             found.append(Finding(SCORE, "threshold", f"The score is {outcome} {'at' if outcome == 'inconclusive' else ''} {threshold:g}".replace("  ", " "), {"above": "pass", "below": "fail", "inconclusive": "warn"}[outcome], "A target is met when the whole interval meets it.", f"Interval [{r['ci_low']:.4g}, {r['ci_high']:.4g}].", "Add examples or improve the model.", base | {"outcome": outcome, "threshold": threshold}))
-        found += benchmark_health(own, cfg)
+        found += benchmark_health(*[next(iter(_by_metric(rows).values()), None) for rows in (health.saturation(own, cfg.score_ceiling, cfg.saturation_fraction), health.discrimination(own, cfg.min_spread))], cfg)
         means = health.single_run_means(data.runs, model).agg(F.avg("mean_score").alias("m"), F.stddev_samp("mean_score").alias("s"), F.count("*").alias("r")).first() if data.runs is not None else None
         if means is None or not means["r"]:
             found.append(_skip(REPEAT, "single_repeatability", "no_repeated_runs", "Run every example at least twice."))
@@ -365,32 +413,51 @@ def audit_frames(data: EvalFrames, cfg: AuditConfig, a: str | None = None, b: st
     return comparison(data, one, two, cfg, slice_by)
 
 
+def corrected(p_values: dict[str, float], correction: str, alpha: float) -> dict[str, dict]:
+    """p value, adjusted p, rejection and level of each test of a family. Of a single test
+    nothing is corrected."""
+    k, names = len(p_values), list(p_values)
+    method = "none" if k == 1 else correction
+    out: dict[str, dict] = {}
+    running = 0.0
+    for i, m in enumerate(sorted(names, key=lambda m: (p_values[m], names.index(m)))):
+        p = p_values[m]
+        running = max(running, min(1.0, (k - i) * p))
+        adjusted = {"none": p, "bonferroni": min(1.0, k * p), "holm": running}[method]
+        rejected = {"none": p < alpha, "bonferroni": p < alpha / k, "holm": running <= alpha}[method]
+        out[m] = {"p_value": p, "adjusted_p": adjusted, "rejected": rejected, "step": k - i}
+    left = max(1, k - sum(t["rejected"] for t in out.values()))
+    for t in out.values():
+        step = t.pop("step")
+        t["alpha"] = alpha / {"none": 1, "bonferroni": k, "holm": step if t["rejected"] else left}[method]
+    return {m: out[m] for m in names}
+
+
 def suite(data: EvalFrames, cfg: AuditConfig, a: str | None = None, b: str | None = None) -> SuiteReport:
-    """Every metric on one pair; p values of all metrics come from one job and are
-    corrected together."""
+    """Every metric on one pair. The facts of all metrics come from one job each; the p
+    values, of scores or else of preferences, are corrected together, and each metric is
+    judged, its interval for equivalence included, at the level that this gives it."""
     if not (a and b):
         a, b = strongest(data, 2)[:2]
     metrics = data.metrics()
-    found = numbers(data, a, b, cfg)
-    scored = [m for m in metrics if m in found]
-    if cfg.correction != "none" and data.preferences is not None and len(scored) not in (0, len(metrics)):
-        raise ValueError("metrics of scores and of preferences can't be corrected as one family")
-    k, tests = len(scored), {}
-    ranked = sorted(scored, key=lambda m: (found[m]["p_value"], metrics.index(m)))
-    running = 0.0
-    for i, m in enumerate(ranked):
-        p = found[m]["p_value"]
-        running = max(running, min(1.0, (k - i) * p))
-        adjusted = {"none": p, "bonferroni": min(1.0, k * p), "holm": running}[cfg.correction]
-        reject = {"none": p < cfg.alpha, "bonferroni": p < cfg.alpha / max(1, k), "holm": running <= cfg.alpha}[cfg.correction]
-        tests[m] = {"p_value": p, "adjusted_p": adjusted, "rejected": reject}
-    cut = sum(t["rejected"] for t in tests.values())
-    for i, m in enumerate(ranked):
-        level = {"none": cfg.alpha, "bonferroni": cfg.alpha / max(1, k), "holm": cfg.alpha / (k - i if tests[m]["rejected"] else max(1, k - cut))}[cfg.correction]
-        tests[m]["alpha"] = level
-    plainly = cfg.but(all_pairs=False)
-    reports = {m: comparison(data.of_metric(m), a, b, plainly.but(alpha=tests.get(m, {}).get("alpha")), None, found.get(m, {}), tests.get(m, {}).get("rejected")) for m in metrics}
-    return SuiteReport(reports, cfg.correction, {m: tests[m] for m in scored}, cfg.gated_metrics)
+    k = len(metrics)
+    levels = [cfg.alpha / j for j in range(1, k + 1)] if cfg.correction != "none" else [cfg.alpha]
+    known = facts(data, a, b, cfg, levels)
+    if k > 1 and cfg.correction != "none" and any(m in known.numbers and m in known.votes_by_judge for m in metrics):
+        raise ValueError("a metric has tests of scores and of preferences; as one family they can't be corrected (split it, or use the correction 'none')")
+
+    def p_of(m: str) -> float:
+        if m in known.numbers:
+            return known.numbers[m]["p_value"]
+        return known.votes[m]["p_value"] if m in known.votes and known.votes[m]["n_decisive"] else 1.0
+
+    tests = corrected({m: p_of(m) for m in metrics}, cfg.correction, cfg.alpha)
+    for m, x in known.numbers.items():
+        at = min(range(len(levels)), key=lambda i: abs(levels[i] - tests[m]["alpha"]))
+        x["eq_low"], x["eq_high"] = x["eq_lows"][at], x["eq_highs"][at]
+    plainly, holm = cfg.but(all_pairs=False), cfg.correction == "holm" and k > 1
+    reports = {m: comparison(data.of_metric(m), a, b, plainly.but(alpha=tests[m]["alpha"]), None, m, known, tests[m]["rejected"] if holm else None) for m in metrics}
+    return SuiteReport(reports, cfg.correction if k > 1 else "none", tests, cfg.gated_metrics, cfg.alpha, cfg.alpha / k if k and cfg.correction != "none" else cfg.alpha)
 
 
 def run_level(runs: DataFrame, a: str, b: str, alpha: float = 0.05, confidence: float = 0.95, times: int = resample.RESAMPLES, seed: int = 0) -> list[Finding]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.special import binomial_two_sided
 from ..operators import resample as S
@@ -29,13 +30,16 @@ def signed_rank_share(rows: np.ndarray) -> np.ndarray:
 
 COLUMNS = [
     "metric string", "n bigint", "mean_a double", "mean_b double", "mean_diff double", "domain string", "levels int", "test string", "b_only bigint", "a_only bigint", "n_clusters bigint",
-    "p_value double", "ci_low double", "ci_high double", "eq_low double", "eq_high double", "effect double", "effect_low double", "effect_high double", "superiority double",
+    "p_value double", "ci_low double", "ci_high double", "eq_lows array<double>", "eq_highs array<double>", "effect double", "effect_low double", "effect_high double", "superiority double",
 ]
 
 
-def compare(pairs: DataFrame, alpha: float, confidence: float, times: int, seed: int, clustered: bool) -> DataFrame:
+def compare(pairs: DataFrame, alpha: float | list[float], confidence: float, times: int, seed: int, clustered: bool) -> DataFrame:
     """A row per metric. ``pairs`` has metric, ord, score_a, score_b and cluster (null
-    without groups). All numbers but eq_low and eq_high favour the leader, b on ties."""
+    without groups). All numbers but the intervals for equivalence favour the leader, b on
+    ties. These are given for every level in ``alpha`` (eq_lows, eq_highs), as only a whole
+    family's p values tell which of them a metric is held to, and for the first one alone."""
+    levels_of_alpha = [alpha] if isinstance(alpha, float) else list(alpha)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("ord", kind="stable")
@@ -65,7 +69,7 @@ def compare(pairs: DataFrame, alpha: float, confidence: float, times: int, seed:
             means = S.bootstrap_means(d, times, seed)
             signed = means if sign > 0 else S.bootstrap_means(raw, times, seed)
         lo, hi = S.interval(means, confidence)
-        eq_lo, eq_hi = S.interval(signed, 1 - 2 * alpha)
+        eq = [S.interval(signed, 1 - 2 * level) for level in levels_of_alpha]
         if domain == "binary":
             effect = 2 * np.arcsin(np.sqrt(lead.mean())) - 2 * np.arcsin(np.sqrt(trail.mean()))
             e_lo, e_hi = lo, hi
@@ -75,7 +79,8 @@ def compare(pairs: DataFrame, alpha: float, confidence: float, times: int, seed:
             effect = float(statistic(v[None, :])[0])
             e_lo, e_hi = S.interval(S.bootstrap_statistic(v, statistic, times, seed), confidence)
         share = float(((d > 0) + 0.5 * (d == 0)).mean())
-        row = [f["metric"].iloc[0], len(d), a.mean(), b.mean(), raw.mean(), domain, levels, test, b_only, a_only, k, p, lo, hi, eq_lo, eq_hi, effect, e_lo, e_hi, share]
+        row = [f["metric"].iloc[0], len(d), a.mean(), b.mean(), raw.mean(), domain, levels, test, b_only, a_only, k, p, lo, hi, [e[0] for e in eq], [e[1] for e in eq], effect, e_lo, e_hi, share]
         return pd.DataFrame([row], columns=[c.split()[0] for c in COLUMNS])
 
-    return pairs.select("metric", "ord", "score_a", "score_b", "cluster").groupBy("metric").applyInPandas(run, ", ".join(COLUMNS))
+    out = pairs.select("metric", "ord", "score_a", "score_b", "cluster").groupBy("metric").applyInPandas(run, ", ".join(COLUMNS))
+    return out.withColumns({"eq_low": F.col("eq_lows")[0], "eq_high": F.col("eq_highs")[0]})

@@ -12,10 +12,12 @@ from .functions import special
 from .functions.draws import sql_word
 from .functions.scores import coerce_score, magnitude, normal_text
 from .operators import changes, contamination, effect, families, health, judges, multiplicity, pairing, preferences, ranking, records, resample, twosample
-from .plans import kernels
-from .plans.audit import audit_frames, run_level, suite
+from .plans import findings, kernels
+from .plans.audit import audit_frames, benchmark_health, overall, run_level, suite
+from .plans.audit import predictive_rerun as predict
 from .plans.config import AuditConfig
 from .plans.data import EvalFrames
+from .sources import roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,7 +47,8 @@ def pairs(spark, sf, view=V.cells) -> DataFrame:
 
 @query("unpivot_wide_scores", "SELECT metric, count(*) AS n, sum(CAST(round(raw * 100) AS BIGINT))::BIGINT AS total FROM (UNPIVOT (SELECT l_discount, l_tax, l_quantity FROM lineitem) ON l_discount, l_tax, l_quantity INTO NAME metric VALUE raw) GROUP BY metric")
 def unpivot_wide_scores(spark, sf):
-    long = V.table(spark, sf, "lineitem").select("l_discount", "l_tax", "l_quantity").unpivot([], ["l_discount", "l_tax", "l_quantity"], "metric", "raw")
+    wide = V.table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("row_ord"), F.to_json(F.struct("l_discount", "l_tax", "l_quantity")).alias("row"))
+    long = roles.extract(wide)[0].select(F.col("model").alias("metric"), coerce_score(F.col("raw")).alias("raw"))
     return long.groupBy("metric").agg(F.count("*").alias("n"), F.sum(F.round(F.col("raw") * 100).cast("long")).alias("total"))
 
 
@@ -254,18 +257,39 @@ def clustered_permutation(spark, sf):
 @query("exact_resampling")
 def exact_resampling(spark, sf):
     p = pairs(spark, sf).withColumn("ord", F.col("example_id"))
-    return resample.exact_mean_test(p, M, "ord", times=2000)
+    return resample.exact_mean_test(p, M, "ord")
 
 
 @query("poisson_bootstrap")
 def poisson_bootstrap(spark, sf):
-    return resample.poisson_bootstrap(pairs(spark, sf), M, "example_id", times=200)
+    return resample.poisson_bootstrap(pairs(spark, sf), M, "example_id")
+
+
+def _comparison(spark, sf, view):
+    p = pairing.paired(view(spark, sf), A, B).withColumns({"ord": F.col("example_id"), "cluster": F.lit(None).cast("string")})
+    return kernels.compare(p, 0.05, 0.95, resample.RESAMPLES, 0, False)
 
 
 @query("comparison_numbers")
 def comparison_numbers(spark, sf):
-    p = pairing.paired(V.suite_cells(spark, sf), A, B).withColumns({"ord": F.col("example_id"), "cluster": F.lit(None).cast("string")})
-    return kernels.compare(p, 0.05, 0.95, 500, 0, False)
+    return _comparison(spark, sf, V.suite_cells).drop("eq_lows", "eq_highs")
+
+
+_FACTS = """SELECT metric, count(*) AS n, round(avg(score_a), 6) AS mean_a, round(avg(score_b), 6) AS mean_b, round(avg(diff), 6) AS mean_diff, {domain} AS domain,
+  {effect} AS effect, round(avg(CASE WHEN diff * s > 0 THEN 1.0 WHEN diff = 0 THEN 0.5 ELSE 0.0 END), 6) AS superiority
+  FROM (SELECT *, CASE WHEN avg(diff) OVER (PARTITION BY metric) >= 0 THEN 1 ELSE -1 END AS s FROM pairs) GROUP BY metric"""
+
+
+@query("comparison_facts", f"WITH {V.SUITE}, {V.PAIRS} " + _FACTS.format(domain="'continuous'", effect="round(abs(avg(diff)) / stddev_samp(diff), 6)"))
+def comparison_facts(spark, sf):
+    """What of a comparison doesn't depend on draws, for scores of many values."""
+    return _comparison(spark, sf, V.suite_cells).select("metric", "n", *r6("mean_a", "mean_b", "mean_diff"), "domain", *r6("effect", "superiority"))
+
+
+@query("comparison_tests", f"WITH {V.BINARY_SUITE}, {V.PAIRS}, c AS (SELECT metric, count(*) FILTER (WHERE score_b = 1 AND score_a = 0) AS b_wins, count(*) FILTER (WHERE score_a = 1 AND score_b = 0) AS a_wins, count(*) FILTER (WHERE diff <> 0) AS n, least(count(*) FILTER (WHERE diff > 0), count(*) FILTER (WHERE diff < 0)) AS k, abs(2 * asin(sqrt(avg(score_b))) - 2 * asin(sqrt(avg(score_a)))) AS h FROM pairs GROUP BY metric) SELECT metric, 'mcnemar' AS test, greatest(a_wins, b_wins) AS b_only, least(a_wins, b_wins) AS a_only, round({_TAIL}, 6) AS p_value, round(h, 6) AS effect FROM c")
+def comparison_tests(spark, sf):
+    """The exact test and the effect that audits use for scores of 0 and 1."""
+    return _comparison(spark, sf, V.binary_suite_cells).select("metric", "test", "b_only", "a_only", *r6("p_value", "effect"))
 
 
 @query("rank_occupancy", f"""WITH {V.CELLS}, e AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS slot FROM (SELECT DISTINCT example_id FROM cells)), k AS (SELECT count(*) AS n FROM e),
@@ -274,20 +298,12 @@ m AS (SELECT replicate, model, round(avg(score), 9) AS mean FROM p JOIN e USING
 o AS (SELECT model, rank() OVER (PARTITION BY replicate ORDER BY mean DESC) AS lo, count(*) OVER (PARTITION BY replicate, mean) AS g FROM m)
 SELECT model, rank, round(sum(1.0 / g) / 50, 6) AS occupancy FROM (SELECT model, g, unnest(range(lo, lo + g)) AS rank FROM o) GROUP BY model, rank""")
 def rank_occupancy(spark, sf):
-    from .functions.draws import draw_index
-
-    c = V.cells(spark, sf).select("example_id", "model", "score")
-    e = resample.slots(c.select("example_id").distinct(), "example_id")
-    n = e.agg(F.count("*").alias("n"))
-    p = e.join(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("replicate", draw_index(0, F.col("replicate"), F.col("slot"), F.col("n")).alias("slot"))
-    m = p.join(e, "slot").join(c, "example_id").groupBy("replicate", "model").agg(F.round(F.avg("score"), 9).alias("mean"))
-    o = m.withColumn("lo", F.rank().over(V.W.partitionBy("replicate").orderBy(F.desc("mean")))).withColumn("g", F.count("*").over(V.W.partitionBy("replicate", "mean")))
-    return o.select("model", "g", F.explode(F.sequence(F.col("lo").cast("long"), F.col("lo") + F.col("g") - 1)).alias("rank")).groupBy("model", "rank").agg(F.round(F.sum(1.0 / F.col("g")) / 50, 6).alias("occupancy"))
+    return families.portable_occupancy(V.cells(spark, sf), 50).select("model", "rank", *r6("occupancy"))
 
 
 @query("rank_stability")
 def rank_stability(spark, sf):
-    return families.rank_stability_of(V.cells(spark, sf), times=500)
+    return families.rank_stability_of(V.cells(spark, sf))
 
 
 # judges
@@ -371,11 +387,20 @@ def win_rate_ci(spark, sf):
     return resample.percentile_interval(resample.portable_means(_slots(credit), REPLICATES)).select(*r6("ci_low", "ci_high"))
 
 
-@query("bayesian_win_probability")
+# the posterior by sums over midpoints
+_GRID = 200_000
+_POSTERIOR = f"""w AS (SELECT count(*) FILTER (WHERE diff < 0) AS wins_a, count(*) FILTER (WHERE diff > 0) AS wins_b, count(*) FILTER (WHERE diff = 0) AS ties FROM pairs),
+g AS (SELECT (i + 0.5) / {_GRID} AS x, wins_a, wins_b, ties, (wins_a - 0.5) * ln((i + 0.5) / {_GRID}) + (wins_b - 0.5) * ln(1 - (i + 0.5) / {_GRID}) AS l FROM range({_GRID}) r(i), w),
+d AS (SELECT *, exp(l - max(l) OVER ()) AS f FROM g), t AS (SELECT *, sum(f) OVER (ORDER BY x) AS upto, sum(f) OVER () AS total FROM d)"""
+
+
+@query("bayesian_win_probability", f"""WITH {V.CELLS}, {V.PAIRS}, {_POSTERIOR} SELECT any_value(wins_a) AS wins_a, any_value(wins_b) AS wins_b, any_value(ties) AS ties, round(sum(CASE WHEN x > 0.5 THEN f ELSE 0 END) / any_value(total), 4) AS probability_a_better,
+round(min(CASE WHEN upto >= 0.025 * total THEN x END), 4) AS ci_low, round(min(CASE WHEN upto >= 0.975 * total THEN x END), 4) AS ci_high FROM t""")
 def bayesian_win_probability(spark, sf):
     w = preferences.win_rate(pairs(spark, sf), M).first()
     p, lo, hi = special.win_posterior(w["wins_a"], w["wins_b"])
-    return spark.createDataFrame([(w["wins_a"], w["wins_b"], w["ties"], p, lo, hi)], "wins_a bigint, wins_b bigint, ties bigint, probability_a_better double, ci_low double, ci_high double")
+    row = (w["wins_a"], w["wins_b"], w["ties"], round(p, 4), round(lo, 4), round(hi, 4))
+    return spark.createDataFrame([row], "wins_a bigint, wins_b bigint, ties bigint, probability_a_better double, ci_low double, ci_high double")
 
 
 # families and corrections
@@ -474,13 +499,27 @@ def _frames(spark, sf) -> EvalFrames:
     return EvalFrames(c, order, V.runs(spark, sf), V.judge_cells(spark, sf).withColumn("metric", F.lit("discount")), V.preferences(spark, sf).withColumn("metric", F.lit("discount")), tags.select("example_id", F.lit("kind").alias("attr"), F.col("kind").alias("value")))
 
 
+_FUTURE = 3
+
+
+def _eligible(spark, sf):
+    return health.rerun_prediction(health.rerun_eligible(V.cells(spark, sf), V.runs(spark, sf), A, B), _FUTURE)
+
+
+@query("predictive_rerun_eligibility", f"""WITH {V.CELLS}, {V.RUNS}, s AS (SELECT example_id, model, count(*) AS k, avg(score) AS m, var_samp(score) AS v FROM runs WHERE model IN ('A', 'R') GROUP BY 1, 2),
+e AS (SELECT c.example_id, max(a.k) AS k_a, max(b.k) AS k_b, max(a.m) AS m_a, max(b.m) AS m_b, max(a.v) AS v_a, max(b.v) AS v_b FROM (SELECT DISTINCT example_id FROM cells) c LEFT JOIN s a ON a.example_id = c.example_id AND a.model = 'A' LEFT JOIN s b ON b.example_id = c.example_id AND b.model = 'R' GROUP BY 1),
+q AS (SELECT *, v_a * (1.0 / k_a + 1.0 / {_FUTURE}) AS q_a, v_b * (1.0 / k_b + 1.0 / {_FUTURE}) AS q_b FROM e WHERE k_a IS NOT NULL AND k_b IS NOT NULL)
+SELECT (SELECT count(*) FROM e) AS n_total, count(*) AS n, (SELECT count(*) FROM e WHERE k_a IS NULL) AS missing_runs_a, (SELECT count(*) FROM e WHERE k_a IS NOT NULL AND k_b IS NULL) AS missing_runs_b,
+round(avg(m_b - m_a), 6) AS mean_gap, round(sum(q_a + q_b) / (count(*) * count(*)), 9) AS variance, round(pow(sum(q_a + q_b), 2) / sum(q_a * q_a / (k_a - 1) + q_b * q_b / (k_b - 1)), 3) AS df FROM q""")
+def predictive_rerun_eligibility(spark, sf):
+    return _eligible(spark, sf).select("n_total", "n", "missing_runs_a", "missing_runs_b", *r6("mean_gap"), F.round("variance", 9).alias("variance"), F.round("df", 3).alias("df"))
+
+
 @query("predictive_rerun")
 def predictive_rerun(spark, sf):
-    from .plans.audit import predictive_rerun as predict
-
-    d = predict(V.runs(spark, sf), A, B, AuditConfig(run_aware=True, run_aware_future_runs=3)).details
+    d = predict(_eligible(spark, sf).first().asDict(), A, B, _FUTURE).details
     names = ["point_estimate_b_minus_a", "range_low", "range_high", "probability_a_better", "prediction_variance", "degrees_of_freedom"]
-    return spark.createDataFrame([tuple(float(d.get(n, float("nan"))) for n in names)], ", ".join(f"{n} double" for n in names))
+    return spark.createDataFrame([tuple(float(d[n]) for n in names)], ", ".join(f"{n} double" for n in names))
 
 
 @query("min_detectable_effect")
@@ -514,7 +553,7 @@ def mann_whitney_u(spark, sf):
 
 @query("run_level_audit")
 def run_level_audit(spark, sf):
-    rows = [(f.check, f.status, f.title) for f in run_level(V.run_level(spark, sf), _P, _Q, times=2000)]
+    rows = [(f.check, f.status, f.title) for f in run_level(V.run_level(spark, sf), _P, _Q)]
     return spark.createDataFrame(rows, "check string, status string, title string")
 
 
@@ -534,16 +573,26 @@ def contamination_exact(spark, sf):
     return contamination.exact_matches(*V.labelled_split(spark, sf))
 
 
-@query("contamination_near")
-def contamination_near(spark, sf):
+def _planted(spark, sf):
+    """The benchmark, and as reference the documents with a near copy of every second
+    benchmark text: with some words more at its end."""
     bench = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return contamination.near_matches(bench, V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    copies = bench.where("id % 2 = 0").select("id", F.concat("text", F.lit(" and some words more")).alias("text"))
+    return bench, V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(copies)
+
+
+# a text is matched whole by its copy, which is 20 characters longer
+_NEAR = f"b AS (SELECT item_id AS id, {_NORM} AS t FROM benchmark WHERE text IS NOT NULL), near AS (SELECT id FROM b WHERE id % 2 = 0 AND 2.0 * length(t) / (2 * length(t) + 20) >= 0.85)"
 
 
-@query("contamination_summary")
+@query("contamination_near", f"WITH {_NEAR} SELECT id FROM near")
+def contamination_near(spark, sf):
+    return contamination.near_matches(*_planted(spark, sf))
+
+
+@query("contamination_summary", f"WITH {_NEAR} SELECT CAST(0 AS BIGINT) AS exact, (SELECT count(*) FROM near) AS near, count(*) AS total, round((SELECT count(*) FROM near) / count(*), 6) AS fraction FROM b")
 def contamination_summary(spark, sf):
-    bench = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return contamination.summary(bench, V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return contamination.summary(*_planted(spark, sf)).select("exact", "near", "total", *r6("fraction"))
 
 
 # whole audits
@@ -551,41 +600,57 @@ def contamination_summary(spark, sf):
 
 @query("flagship_audit")
 def flagship_audit(spark, sf):
-    cfg = AuditConfig(n_resamples=2000, bayesian=True, win_rate=True, run_aware=True, run_aware_future_runs=3)
+    cfg = AuditConfig(bayesian=True, win_rate=True, run_aware=True, run_aware_future_runs=3)
     return audit_frames(_frames(spark, sf), cfg, A, B, slice_by="kind").frame(spark)
 
 
 @query("single_model_audit")
 def single_model_audit(spark, sf):
-    return audit_frames(_frames(spark, sf), AuditConfig(n_resamples=2000), A, threshold=0.04).frame(spark)
+    return audit_frames(_frames(spark, sf), AuditConfig(), A, threshold=0.04).frame(spark)
 
 
-@query("suite_audit")
-def suite_audit(spark, sf):
-    c = V.suite_cells(spark, sf)
+_FAMILY = f"""WITH {V.BINARY_SUITE}, {V.PAIRS}, c AS (SELECT metric, count(*) FILTER (WHERE diff <> 0) AS n, least(count(*) FILTER (WHERE diff > 0), count(*) FILTER (WHERE diff < 0)) AS k FROM pairs GROUP BY metric),
+t AS (SELECT metric, {_TAIL} AS p FROM c), f AS (SELECT *, row_number() OVER (ORDER BY p, metric) AS i, count(*) OVER () AS m FROM t),
+h AS (SELECT *, least(1.0, max((m - i + 1) * p) OVER (ORDER BY p, metric ROWS UNBOUNDED PRECEDING)) AS adj FROM f)"""
+
+
+def _suite(spark, sf, correction):
+    c = V.binary_suite_cells(spark, sf)
     order = c.select("metric", "model").distinct().withColumn("model_ord", F.ascii("model"))
-    report = suite(EvalFrames(c, order), AuditConfig(n_resamples=500, correction="holm"), A, B)
-    rows = [(m, r.verdict.level, report.tests[m]["p_value"], report.tests[m]["adjusted_p"], report.tests[m]["rejected"]) for m, r in report.reports.items()]
-    return spark.createDataFrame(rows, "metric string, level string, p_value double, adjusted_p double, rejected boolean")
+    report = suite(EvalFrames(c, order), AuditConfig(correction=correction), A, B)
+    rows = [(m, round(t["p_value"], 6), round(t["adjusted_p"], 6), t["rejected"], round(t["alpha"], 9)) for m, t in report.tests.items()]
+    return spark.createDataFrame(rows, "metric string, p_value double, adjusted_p double, rejected boolean, alpha double")
+
+
+@query("suite_audit", _FAMILY + " SELECT metric, round(p, 6) AS p_value, round(adj, 6) AS adjusted_p, adj <= 0.05 AS rejected, round(0.05 / CASE WHEN adj <= 0.05 THEN m - i + 1 ELSE greatest(m - (SELECT count(*) FROM h WHERE adj <= 0.05), 1) END, 9) AS alpha FROM h")
+def suite_audit(spark, sf):
+    return _suite(spark, sf, "holm")
+
+
+@query("suite_audit_bonferroni", _FAMILY + " SELECT metric, round(p, 6) AS p_value, round(least(1.0, m * p), 6) AS adjusted_p, p < 0.05 / m AS rejected, round(0.05 / m, 9) AS alpha FROM h")
+def suite_audit_bonferroni(spark, sf):
+    return _suite(spark, sf, "bonferroni")
 
 
 _STATUS = f"WITH {V.SUITE}, m AS (SELECT metric, model, avg(score) AS a, max(score) AS x FROM cells GROUP BY 1, 2), s AS (SELECT metric, max(a) / max(x) >= 0.95 AS sat FROM m GROUP BY 1), d AS (SELECT metric, stddev_pop(score) < 0.01 AS flat FROM cells GROUP BY 1)"
 
 
-def _levels(spark, sf):
-    c = V.suite_cells(spark, sf)
-    both = health.saturation(c).join(health.discrimination(c), "metric")
-    return both.select("metric", F.when(F.col("saturated") | ~F.col("discriminating"), 1).otherwise(2).alias("rank"))
+def _levels(spark, sf) -> dict[str, str]:
+    """The verdict over the findings about the benchmark alone, by metric."""
+    c, cfg = V.suite_cells(spark, sf), AuditConfig()
+    rows = health.saturation(c).join(health.discrimination(c), "metric").collect()
+    return {r["metric"]: findings.verdict(benchmark_health(r.asDict(), r.asDict(), cfg)).level for r in rows}
 
 
 @query("verdict", _STATUS + " SELECT metric, CASE WHEN sat OR flat THEN 'MODERATE' ELSE 'HIGH' END AS level FROM s JOIN d USING (metric)")
 def verdict(spark, sf):
-    return _levels(spark, sf).select("metric", F.when(F.col("rank") == 1, "MODERATE").otherwise("HIGH").alias("level"))
+    return spark.createDataFrame(list(_levels(spark, sf).items()), "metric string, level string")
 
 
 @query("suite_rollup", _STATUS + " SELECT CASE min(CASE WHEN sat OR flat THEN 1 ELSE 2 END) WHEN 1 THEN 'MODERATE' ELSE 'HIGH' END AS overall, count(*) AS n_metrics FROM s JOIN d USING (metric)")
 def suite_rollup(spark, sf):
-    return _levels(spark, sf).agg(F.when(F.min("rank") == 1, "MODERATE").otherwise("HIGH").alias("overall"), F.count("*").alias("n_metrics"))
+    levels = _levels(spark, sf)
+    return spark.createDataFrame([(overall(levels), len(levels))], "overall string, n_metrics bigint")
 
 
 def _report(spark, sf, column: str):

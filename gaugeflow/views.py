@@ -74,6 +74,18 @@ SUITE = """cells AS (SELECT metric, l_partkey AS example_id, l_returnflag AS mod
   GROUP BY metric, l_partkey, l_returnflag)"""
 
 
+def binary_suite_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three metrics of 0 and 1: whether a part's mean discount, tax or quantity is above a bar."""
+    bars = F.create_map(*[x for k, v in BARS.items() for x in (F.lit(k), F.lit(v / 100))])
+    return suite_cells(spark, sf_dir).withColumn("score", F.when(F.col("score") > bars[F.col("metric")], 1.0).otherwise(0.0))
+
+
+BARS = {"l_discount": 5, "l_tax": 4, "l_quantity": 2550}  # in hundredths
+BINARY_SUITE = f"""many AS (SELECT metric, l_partkey AS example_id, l_returnflag AS model, sum(CAST(round(raw * 100) AS BIGINT)) AS s, count(*) AS n
+  FROM (UNPIVOT (SELECT l_partkey, l_returnflag, l_discount, l_tax, l_quantity FROM lineitem) ON l_discount, l_tax, l_quantity INTO NAME metric VALUE raw) GROUP BY ALL),
+cells AS (SELECT metric, example_id, model, CASE WHEN CAST(s AS DOUBLE) / (100 * CAST(n AS DOUBLE)) > CASE metric {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE / 100" for k, v in BARS.items())} END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM many)"""
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line is a run of its part and flag, numbered in the order of all columns."""
     li = table(spark, sf_dir, "lineitem")

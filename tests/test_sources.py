@@ -1,11 +1,15 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow import api, cli
 from gaugeflow.functions.scores import coerce_score, normal_text
+from gaugeflow.operators import families, health, resample
+from gaugeflow.plans.audit import pair_findings, predictive_rerun
 from gaugeflow.plans.config import AuditConfig
+from gaugeflow.plans.data import EvalFrames
 from gaugeflow.plans.findings import Finding, NotTrusted, plain, verdict
 from gaugeflow.sources import adapters, load
 from gaugeflow.sources.rows import UnknownFormat
@@ -94,6 +98,44 @@ def test_exports(spark, write, name):
     assert data.source_format == name and cells(data) == pytest.approx(want)
 
 
+PAD = "x" * 9_000
+
+
+@pytest.mark.parametrize("name", ["promptfoo", "mlflow_evaluate", "inspect", "langfuse", "lighteval"])
+def test_large_exports_are_known_like_small_ones(spark, write, name):
+    """More than eight megabytes, and what tells the format stands behind a thousand others."""
+    k = 1100
+    raw, want = {
+        "promptfoo": ({"results": {"results": [{"provider": {"id": "m"}, "testIdx": i, "score": 1, "text": PAD} for i in range(k)]}}, {("score", str(i), "m"): 1.0 for i in range(k)}),
+        "mlflow_evaluate": ({"eval_results_table": {"columns": ["q", "em/score"], "data": [[PAD, 0.5]] * k}}, {("em", str(i), "model"): 0.5 for i in range(k)}),
+        "inspect": ({"eval": {"model": "m"}, "samples": [{"id": i, "text": PAD} for i in range(k)] + [{"id": k, "scores": {"acc": {"value": "C"}}}]}, {("acc", str(k), "m"): 1.0}),
+        "langfuse": ({"data": [{"text": PAD}] * k + [{"name": "q", "value": 1, "traceId": "t"}]}, {("q", "t", "model"): 1.0}),
+        "lighteval": ([{"text": PAD}] * k + [{"doc": {"id": 1, "task_name": "t", "query": "", "choices": [], "gold_index": 0}, "metric": {"acc": 1}}], {("acc", "t:1", "model"): 1.0}),
+    }[name]
+    data = load.load_suite(spark, write("x.json", raw))
+    assert data.source_format == name and cells(data) == pytest.approx(want)
+
+
+def test_outline_keeps_every_structure():
+    from gaugeflow.sources.rows import outline
+
+    raw = {"a": {"b": [{"k": i} for i in range(500)] + [{"k": "text"}, {"k": 1, "l": [1, {"m": None}]}]}, "c": [[1, 2]] * 40, "d": "[{", "e": []}
+    got = outline(json.dumps(raw, indent=1))
+    assert got["a"]["b"] == raw["a"]["b"][:10] + raw["a"]["b"][-2:] and len(got["c"]) == 10 and got["d"] == "[{" and got["e"] == []
+    for bad in ("", "{", "[1,]", '{"a" 1}', "[1] 2", '{"a": 1,}', "[" * 100_000):
+        with pytest.raises(ValueError):
+            outline(bad)
+    assert outline(" 3 ") == 3
+
+
+def test_models_that_come_up_later_are_read(spark, write):
+    lines = [{"id": 0, "a": 1}] + [{"id": i, "a": i % 2, "b": 1} for i in range(1, 20)]
+    data = load.load_suite(spark, write("a.jsonl", "\n".join(map(json.dumps, lines))))
+    assert data.model_names() == ["a", "b"] and len(cells(data)) == 39 and cells(data)["score", "7", "b"] == 1.0
+    named = load.load_suite(spark, write("b.json", [{"id": 1, "zeta": 1, "alpha": 0, "criterion": "x"}, {"id": 1, "zeta": 0, "alpha": 0, "criterion": "y"}]))
+    assert named.model_names() == ["zeta", "alpha"] and named.metrics() == ["x", "y"]
+
+
 def test_refusals(spark, write):
     with pytest.raises(ValueError, match="page"):
         load.load_suite(spark, write("a.json", EXPORTS["langfuse"][0] | {"meta": {"page": 1, "totalPages": 2}}))
@@ -127,7 +169,8 @@ def test_a_clear_win(spark, write, nested, capsys):
     assert by["decision"].details["outcome"] == "significant" and by["decision"].details["p_value"] == pytest.approx(2 * 0.5**55)
     assert by["judge_calibration"].details["reference"] == "gold" and by["preference_significance"].status == "pass"
     assert by["slice_comparison"].status == "pass" and by["rerun_stability"].status == "pass" and by["rank_stability"].status == "skip"
-    assert by["predictive_rerun"].details["range_low"] < by["predictive_rerun"].details["range_high"]
+    counts = by["predictive_rerun"].details  # scores that aren't the mean of their runs don't count
+    assert counts["n_predictive"] + counts["reason_counts"]["score_run_mean_disagreement"] == 60 and 0 < counts["n_predictive"] < 60
     assert json.dumps(r.to_dict()) and r.frame(spark).count() == len(r.findings)
     r.raise_if_below("low")
     out = write("r.json", r.to_dict())
@@ -150,6 +193,163 @@ def test_pairs_of_files_and_suites(spark, write):
     assert cli.main(["audit", write("t.json", rows), "--html", "x.html", "--n-resamples", "100"], spark) == 2
 
 
+def scores(**by_metric):
+    """Records of models A and B from lists of scores."""
+    return [{"id": i, "model": m, "metric": k, "score": v} for k, (a, b) in by_metric.items() for m, values in (("A", a), ("B", b)) for i, v in enumerate(values)]
+
+
+def test_each_metric_of_a_suite_is_held_to_its_own_level(spark, write):
+    p = write("s.json", scores(strong=([0] * 12, [1] * 12), border=([0] * 10 + [1] * 2, [1] * 10 + [0] * 2)))
+    run = lambda c: api.audit_suite(spark, p, model_a="A", model_b="B", config=AuditConfig(n_resamples=300, correction=c))
+    holm, bonferroni, none = run("holm"), run("bonferroni"), run("none")
+    decision = lambda r, m: next(f for f in r.reports[m].findings if f.check == "decision").details
+    assert decision(bonferroni, "border")["outcome"] != "significant" and decision(holm, "border")["outcome"] == "significant"
+    assert {m: t["alpha"] for m, t in holm.tests.items()} == {"strong": 0.025, "border": 0.05}
+    assert {decision(bonferroni, m)["alpha"] for m in bonferroni.reports} == {0.025} and {decision(none, m)["alpha"] for m in none.reports} == {0.05}
+    p_values = {m: t["p_value"] for m, t in none.tests.items()}
+    assert all(t["adjusted_p"] == min(1, 2 * p_values[m]) for m, t in bonferroni.tests.items())
+    payload = holm.to_dict()
+    assert payload["alpha"] == 0.05 and payload["corrected_alpha"] == 0.025 and payload["metric_alphas"] == {"strong": 0.025, "border": 0.05} and set(payload["adjusted_p"]) == {"strong", "border"}
+
+
+def test_equivalence_is_claimed_at_the_corrected_level(spark, write):
+    rng = np.random.default_rng(3)
+    noise = rng.normal(0, 0.148, 60).round(4)
+    p = write("e.json", scores(**{k: ([0.5] * 60, (0.5 + noise - noise.mean()).tolist()) for k in "uvwx"}))
+    run = lambda c: api.audit_suite(spark, p, model_a="A", model_b="B", config=AuditConfig(n_resamples=4000, correction=c))
+    numbers = {c: run(c).reports["u"].numbers for c in ("none", "bonferroni", "holm")}
+    assert numbers["bonferroni"]["eq_low"] < numbers["none"]["eq_low"] and numbers["bonferroni"]["eq_high"] > numbers["none"]["eq_high"]
+    assert numbers["holm"]["eq_low"] == numbers["bonferroni"]["eq_low"]
+    means = resample.bootstrap_means(np.array([numbers["none"]["mean_b"]]), 1)  # draws of one value
+    assert means[0] == numbers["none"]["mean_b"]
+
+
+def preferences_of(spark, **wins):
+    rows = [(m, f"e{i}", "j", w, False, i) for m, ws in wins.items() for i, w in enumerate(ws)]
+    prefs = spark.createDataFrame(rows, "metric string, example_id string, judge string, winner string, is_tie boolean, row_ord bigint")
+    models = spark.createDataFrame([(m, x, i) for m in wins for i, x in enumerate("AB")], "metric string, model string, model_ord int")
+    return prefs, models
+
+
+def test_preferences_of_a_suite_are_one_family(spark):
+    prefs, models = preferences_of(spark, m1="A" * 9 + "B", m2="A" * 8 + "B")
+    none = spark.createDataFrame([], "metric string, example_id string, model string, score double, ord bigint")
+    s = api.audit_suite(spark, EvalFrames(none, models, preferences=prefs), config=AuditConfig(correction="holm", n_resamples=50, seed=3))
+    assert {m: t["alpha"] for m, t in s.tests.items()} == {"m1": 0.025, "m2": 0.05}
+    assert {m: t["adjusted_p"] for m, t in s.tests.items()} == pytest.approx({"m1": 0.04296875, "m2": 0.04296875})
+    assert all(next(f for f in r.findings if f.check == "preference_significance").details["significant"] for r in s.reports.values())
+    both = spark.createDataFrame([(m, f"e{i}", x, float(x == "A"), i) for m in ("m1", "m2") for i in range(10) for x in "AB"], none.schema)
+    with pytest.raises(ValueError, match="scores and of preferences"):
+        api.audit_suite(spark, EvalFrames(both, models, preferences=prefs), config=AuditConfig(correction="holm", n_resamples=50))
+
+
+def ranked(spark, groups, n=12):
+    rng = np.random.default_rng(5)
+    rows = [("score", f"e{i}", m, float(v), i) for i in range(n) for m, v in zip("PQR", rng.normal([0.0, 0.2, 0.4], 1.0))]
+    frames = spark.createDataFrame(rows, "metric string, example_id string, model string, score double, ord bigint")
+    return rows, frames, spark.createDataFrame(groups, "example_id string, group_id string") if groups else None
+
+
+def test_rank_stability_draws_whole_clusters_by_first_appearance(spark):
+    groups = [(f"e{i}", "zyxw"[i % 4]) for i in range(10)]
+    rows, frames, of = ranked(spark, groups)
+    got = {(r["model"], r["rank"]): r for r in families.rank_stability_of(frames, 400, 7, of).collect()}
+    label = {e: "g" + g for e, g in groups}
+    names, table = [], np.zeros((12, 3))
+    for _, e, m, v, i in rows:
+        table[i, "PQR".index(m)] = v
+    names = list(dict.fromkeys(label.get(f"e{i}", f"e{i}") for i in range(12)))
+    sums = np.array([table[[i for i in range(12) if label.get(f"e{i}", f"e{i}") == g]].sum(axis=0) for g in names])
+    sizes = np.array([sum(label.get(f"e{i}", f"e{i}") == g for i in range(12)) for g in names])
+    rng, share = np.random.default_rng(7), np.zeros((3, 3))
+    for _ in range(400):
+        pick = rng.integers(0, len(names), size=len(names))
+        means = sums[pick].sum(axis=0) / sizes[pick].sum()
+        for place, j in enumerate(np.argsort(-means, kind="stable")):
+            share[j, place] += 1 / 400
+    assert len(names) == 6 and all(got["PQR"[j], p + 1]["occupancy"] == pytest.approx(share[j, p]) and got["PQR"[j], p + 1]["units"] == 6 for j in range(3) for p in range(3))
+
+
+def test_reasons_why_ranks_are_not_resampled(spark):
+    cfg = AuditConfig(n_resamples=50, all_pairs=True)
+    _, frames, of = ranked(spark, [(f"e{i}", "one") for i in range(12)])
+    order = lambda *names: spark.createDataFrame([("score", m, i) for i, m in enumerate(names)], "metric string, model string, model_ord int")
+    reason = lambda data: next(f.details.get("reason") for f in pair_findings(data, cfg) if f.check == "rank_stability")
+    assert reason(EvalFrames(frames, order("P", "Q", "R"))) is None
+    assert reason(EvalFrames(frames, order("P", "Q", "R"), groups=of)) == "fewer_than_two_units"
+    assert reason(EvalFrames(frames, order("P", "Q", "R", "S"))) == "zero_score_model"
+    assert reason(EvalFrames(frames.where("model <> 'R'"), order("P", "Q"))) == "fewer_than_three_models"
+
+
+def test_reruns_are_predicted_from_eligible_examples(spark):
+    streams = {
+        "both": ({"A": 1.5, "B": 2.0}, {"A": [1.0, 2.0], "B": [2.0, 2.0, 2.0]}), "other": ({"A": 0.0, "B": 1.0}, {"A": [0.0, 0.0], "B": [0.5, 1.5]}),
+        "no a": ({"B": 1.0}, {"A": [1.0], "B": [1.0]}), "no runs b": ({"A": 1.0, "B": 1.0}, {"A": [1.0, 1.0]}), "odd": ({"A": 1.0, "B": 1.0}, {"A": [float("inf"), 1.0], "B": [1.0, 1.0]}),
+        "apart": ({"A": 1.0, "B": 1.0}, {"A": [1.0, 2.0], "B": [1.0, 1.0]}), "single": ({"A": 1.0, "B": 3.0}, {"A": [1.0], "B": [2.0, 4.0]}),
+    }
+    cells_ = spark.createDataFrame([("score", e, m, v) for e, (s, _) in streams.items() for m, v in s.items()], "metric string, example_id string, model string, score double")
+    runs = spark.createDataFrame([("score", e, m, i, v) for e, (_, r) in streams.items() for m, vs in r.items() for i, v in enumerate(vs)], "metric string, example_id string, model string, run_idx int, score double")
+    r = health.rerun_prediction(health.rerun_eligible(cells_, runs, "A", "B"), 2).first().asDict()
+    assert (r["n_total"], r["n"]) == (7, 2) and {k: r[k] for k in health.REASONS} == {"missing_runs_a": 1, "missing_runs_b": 1, "nonfinite_a": 1, "nonfinite_b": 0, "score_run_mean_disagreement": 1, "singleton_in_mixed": 1}
+    q = [0.5 * (1 / 2 + 1 / 2), 0.0, 0.0, 0.5 * (1 / 2 + 1 / 2)]
+    assert r["mean_gap"] == pytest.approx(0.75) and r["variance"] == pytest.approx(sum(q) / 4) and r["df"] == pytest.approx(sum(q) ** 2 / sum(x * x for x in q))
+    f = predictive_rerun(r, "A", "B", 2)
+    assert f.status == "pass" and f.details["range_low"] < 0.75 < f.details["range_high"] and f.details["reason_counts"]["nonfinite_a"] == 1
+    alone = health.rerun_prediction(health.rerun_eligible(cells_.where("example_id = 'no a'").union(spark.createDataFrame([("score", "no a", "A", 1.0)], cells_.schema)), runs.where("example_id = 'no a'"), "A", "B"), 2).first().asDict()
+    assert alone["degenerate"] == "single_run" and predictive_rerun(alone, "A", "B", 2).details["probability_a_better"] is None
+    assert predictive_rerun(None, "A", "B", 2).status == "skip"
+
+
+def test_win_rate_of_clusters_by_first_appearance(spark, write):
+    rng = np.random.default_rng(2)
+    examples = [{"id": f"e{i:02d}", "scores": {"A": float(rng.integers(0, 3)), "B": float(rng.integers(0, 3))}} | ({"group_id": "cab"[i % 3]} if i < 12 else {}) for i in range(16)]
+    r = api.audit(spark, write("w.json", {"models": ["A", "B"], "examples": examples}), model_a="A", model_b="B", config=AuditConfig(n_resamples=500, win_rate=True, seed=4))
+    d = next(f for f in r.findings if f.check == "paired_win_rate").details
+    credit = [1.0 if e["scores"]["A"] > e["scores"]["B"] else 0.5 if e["scores"]["A"] == e["scores"]["B"] else 0.0 for e in examples]
+    clusters: dict = {}
+    for e, c in zip(examples, credit):
+        clusters.setdefault(e.get("group_id", e["id"]), []).append(c)
+    s, n = np.array([sum(c) for c in clusters.values()]), np.array([len(c) for c in clusters.values()])
+    draw = np.random.default_rng(4)
+    means = [s[k].sum() / n[k].sum() for k in (draw.integers(0, len(s), size=len(s)) for _ in range(500))]
+    assert d["n_resampling_units"] == 7 and d["clustered"] and (d["ci_low"], d["ci_high"]) == pytest.approx((np.percentile(means, 2.5), np.percentile(means, 97.5)))
+
+
+def test_near_matches_equal_the_alignment_of_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from gaugeflow.operators import contamination
+
+    rng = np.random.default_rng(6)
+    word = lambda: "".join("abcdefg"[k] for k in rng.integers(0, 7, int(rng.integers(2, 7))))
+    bench = [" ".join(word() for _ in range(int(rng.integers(1, 9)))) for _ in range(40)] + ["", None]
+    other = []
+    for t in bench[:30]:
+        w = t.split()
+        if len(w) > 2:
+            w[int(rng.integers(0, len(w)))] = word()
+        other.append(" ".join(w))
+    other += [" ".join(word() for _ in range(5)) for _ in range(30)] + [bench[39], None]
+    make = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    want = {i for i, t in enumerate(bench) if t is not None and t not in other and any(o is not None and (not t + o or SequenceMatcher(None, t, o).ratio() >= 0.7) for o in other)}
+    for limit in (1 << 20, 200):
+        got = [r["id"] for r in contamination.near_matches(make(bench), make(other), 0.7, broadcast_limit=limit).collect()]
+        assert sorted(got) == sorted(want) and 5 < len(want) < 40
+    assert contamination.near_matches(make(bench), make(other).limit(0)).count() == 0 == contamination.near_matches(make(bench).limit(0), make(other)).count()
+
+
+def test_poisson_weights_make_an_interval_like_the_exact_one(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.3, 1.0, 3000)
+    df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(x)], "metric string, id bigint, diff double")
+    one = resample.poisson_bootstrap(df, ["metric"], "id", times=2000).first()
+    assert one == resample.poisson_bootstrap(df.repartition(3, "id"), ["metric"], "id", times=2000).first() or one["ci_low"] == pytest.approx(resample.poisson_bootstrap(df.repartition(3, "id"), ["metric"], "id", times=2000).first()["ci_low"])
+    exact = resample.interval(resample.bootstrap_means(x, 2000))
+    assert (one["ci_low"], one["ci_high"]) == pytest.approx(exact, abs=0.006)
+    w = resample.poisson_weights(np.arange(4000), 50)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.03)
+
+
 def test_single_model_threshold_and_failure_codes(spark, write):
     p = write("one.csv", "id,model,score\n" + "".join(f"{i},m,{i % 4 > 0:d}\n" for i in range(80)))
     r = api.audit(spark, p, threshold=0.5, config=AuditConfig(n_resamples=300))
