@@ -4,6 +4,12 @@ Every stage is one operator of ``gaugeflow.llm`` over all documents that the sta
 it kept; all but the last give rows of ``documents``. Each result is written below
 ``spark.checkpoint.dir`` and read again, so that a lost executor costs its tasks only and
 no stage is computed twice.
+
+Defined cases of all stages: an empty table gives an empty one; columns of any other name
+are carried along up to the last stage; rows without doc_id are scored, tested against the
+benchmark and packed (as null), but neither lose lines nor go as near copies; null and
+empty texts are scored as empty ones, pass all other stages and have no place in a window;
+equal rows are one document that goes or stays as one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -15,23 +21,25 @@ from gaugeflow.llm.shared import remove, settle, workdir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps; all, without labels of both kinds.
+    Ties with the threshold stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return cotrain.drop_rejected(docs, cotrain.train(docs, labels))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the first copy of every line only."""
+    """Documents with the first copy of every line only, in the order of doc_id; those left
+    without a visible line go."""
     return linedup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least doc_id."""
     return fuzzyhash.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage of 13 words with the benchmark; all, if it is empty."""
     return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
