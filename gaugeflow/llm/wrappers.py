@@ -8,7 +8,8 @@ are resolved: two different texts make a slot; a stretch that only one side has,
 continues a neighbouring stretch of the same shape, makes that shape a repeated unit; any
 other such stretch becomes optional. Every resolution only widens what is accepted, so
 the wrapper of a host accepts all its pages. A page whose tags have little in common with
-a host's wrappers begins another one.
+a host's wrappers begins another one. A constant text that only one page has is no part of
+a template: it is extracted as a slot is.
 
 Wrappers merge like pages do (a page is a wrapper without slots), so each task folds the
 pages that it scans into one partial result per host, and partial results are merged
@@ -16,17 +17,18 @@ pages that it scans into one partial result per host, and partial results are me
 don't grow with the number of pages, are shuffled. Acceptance is tested by the position
 automaton of the wrapper, made deterministic as it is used: time is linear in the page.
 
-Extraction reads the pages again and gives the texts that fall in slots. Wrappers are
-sent to all workers while they take up at most ``broadcast_limit`` bytes; beyond that
-pages are joined with them by host.
+Extraction reads the pages again and gives the texts that fall in slots, or that no other
+page has. Wrappers are sent to all workers while they take up at most ``broadcast_limit``
+bytes; beyond that pages are joined with them by host.
 
 Defined cases: a null html gives null text and slots and trains nothing; one without
 tokens gives an empty text; pages with a null url (or one without a host) are one group
 of their own; rows that repeat a page_id are extracted each and a null page_id is
-carried; a wrapper without slots (of one page, or of equal ones) gives all its texts, as
-nothing tells data from template there; an empty table gives no row; a slot's white space
-is collapsed; other columns are ignored. Which of several possible wrappers is found
-depends on how the scan splits the table; that it accepts every page doesn't.
+carried; a wrapper of one page, or of equal ones, gives all its texts, as nothing tells
+data from template there; tags without an end are text; an empty table gives no row; a
+slot's white space is collapsed; other columns are ignored. Which of several possible
+wrappers is found depends on how the scan splits the table; that it accepts every page
+doesn't.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
-from difflib import SequenceMatcher
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,41 +50,79 @@ from .shared import remove, settle, workdir
 from .textkit import slices
 
 FAN_IN, BROADCAST_LIMIT, LEAST_LIKE = 64, 32 << 20, 0.4
-DENSE_CELLS = 250_000
+TABLE_BITS = 1 << 30
 _FRESH = count(-1, -1)  # numbers of optional runs that meet no other's
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?[a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?[a-zA-Z][\w:-]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>")
+_NAME = re.compile(r"</?[a-zA-Z][\w:-]*")
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_MARK = re.compile(r"[>\"']")
 _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def _tag_ends(page: str):
+    """Where a tag that goes on at some place ends: the next ``>`` outside of quotes, of
+    which one that nothing closes counts as any other character; -1 without one. Found for
+    all places in one pass from the end, so that unclosed tags cost no more than others."""
+    marks = [(m.start(), m[0]) for m in _MARK.finditer(page)]
+    ends, later = [-1] * (len(marks) + 1), {}
+    for k in range(len(marks) - 1, -1, -1):
+        at, c = marks[k]
+        if c == ">":
+            ends[k] = at
+        else:
+            ends[k] = ends[later[c] + 1] if c in later else ends[k + 1]
+            later[c] = k
+    places = [at for at, _ in marks]
+    return lambda at: ends[bisect_left(places, at)]
+
+
 def tokens(page: str) -> list[tuple[str, str | None]]:
     """(symbol, text) of a page: a tag has a symbol beginning with ``<``, a text ``T``.
-    Texts are as they stand in the page, without outer white space."""
+    Texts are as they stand in the page, without outer white space. What looks like a tag
+    and never ends is text."""
     out: list[tuple[str, str | None]] = []
-    at, held = 0, ""
-    for m in _TOKEN.finditer(page):
-        start = m.start()
-        if start > at:
-            held += page[at:start]
-        at = m.end()
-        name = m[2]
+    at, held, ends = 0, [], None
+    pos = page.find("<")
+    while pos >= 0:
+        c = page[pos + 1 : pos + 2]
+        end, name, attributes = -1, None, None
+        if c in ("!", "?"):
+            stop = "-->" if page.startswith("<!--", pos) else ">"
+            end = page.find(stop, pos + 4 if stop == "-->" else pos)
+            end = len(page) if end < 0 else end + len(stop)
+        elif c in ("s", "S") and (raw := _RAW.match(page, pos)):
+            close = _RAW_END[raw[1].lower()].search(page, raw.end())
+            end = close.end() if close else len(page)
+        elif c == "/" or c.isalpha():
+            tag = _TAG.match(page, pos) if ends is None else None
+            if tag:
+                name, attributes, end = tag[1], tag[2], tag.end()
+            elif begin := _NAME.match(page, pos):
+                ends = ends or _tag_ends(page)
+                end = ends(begin.end()) + 1
+                if end:
+                    name, attributes = begin[0][1:], page[begin.end() : end - 1]
+        if end <= pos:
+            pos = page.find("<", pos + 1)
+            continue
+        if pos > at:
+            held.append(page[at:pos])
+        at = end
+        pos = page.find("<", at)
         if name is None:
             continue
         if held:
-            text = held.strip()
-            held = ""
+            text = "".join(held).strip()
+            held.clear()
             if text:
                 out.append(("T", text))
-        attributes = m[3]
         if attributes and (c := _CLASS.search(attributes)):
             out.append((f"<{name.lower()}.{c[1] or c[2] or c[3] or ''}", None))
         else:
             out.append((f"<{name.lower()}", None))
-    text = (held + page[at:]).strip()
+    text = ("".join(held) + page[at:]).strip()
     if text:
         out.append(("T", text))
     return out
@@ -92,20 +133,25 @@ def readable(text: str) -> str:
     return " ".join((_html.unescape(text) if "&" in text else text).split())
 
 
-# An item is (shape, body, opt). The body of a tag is None, of a constant text the text, of
-# a slot None as well, of a repeated unit the tuple of its items. opt is 0 for what must
-# be there; neighbours of one other number are there together or not at all.
+# An item is (shape, body, opt). The body of a tag is None, of a constant text ONE or MANY
+# (whether one page has it or several) and the text, of a slot None as well, of a repeated
+# unit the tuple of its items. opt is 0 for what must be there; neighbours of one other
+# number are there together or not at all.
+
+ONE, MANY = "1", "2"
 
 
-def _join_bodies(a, b):
-    """Of two items of one shape."""
+def _join_bodies(a, b, apart: bool = True):
+    """Of two items of one shape, of different pages if ``apart``."""
     if isinstance(a, tuple) and isinstance(b, tuple):
-        return tuple((x[0], _join_bodies(x[1], y[1]), 0) for x, y in zip(a, b))
-    return a if a == b else None
+        return tuple((x[0], _join_bodies(x[1], y[1], apart), 0) for x, y in zip(a, b))
+    if a is None or b is None or a[1:] != b[1:]:
+        return None
+    return (MANY if apart else max(a[0], b[0])) + a[1:]
 
 
 def page_items(stream) -> list:
-    return [(s, t, 0) for s, t in stream]
+    return [(s, None if t is None else ONE + t, 0) for s, t in stream]
 
 
 def _units(items, found=None) -> dict[str, tuple[str, ...]]:
@@ -141,7 +187,7 @@ def fold(items: list, units: dict[str, tuple[str, ...]]) -> list:
                     label, step = kinds.pop(), n
                 else:
                     break
-                unit = body if unit is None else _join_bodies(unit, body)
+                unit = body if unit is None else _join_bodies(unit, body, False)
                 labels.append(label)
                 at += step
             if unit is None:
@@ -154,32 +200,46 @@ def fold(items: list, units: dict[str, tuple[str, ...]]) -> list:
     return items
 
 
+def _rows(a: list[str], b: list[str]):
+    """For a[i:], from the last i to 0, a number whose low bit k is 0 where the longest
+    common subsequence with the last k + 1 of b is longer than with the last k."""
+    full = (1 << len(b)) - 1
+    where: dict[str, int] = {}
+    for k, s in enumerate(reversed(b)):
+        where[s] = where.get(s, 0) | 1 << k
+    row = full
+    for s in reversed(a):
+        met = row & where.get(s, 0)
+        row = ((row + met) | (row - met)) & full
+        yield row
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with the last 0, 1, ... of ``b``."""
+    *_, row = _rows(a, b)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, pairs as early as they can be; in very large tables
-    the longest blocks first."""
+    """A longest common subsequence, pairs as early as they can be. Rows of its table are
+    bits of an integer; a table too large to be kept is halved."""
     n, m = len(a), len(b)
-    if n * m > DENSE_CELLS:
-        blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        return [(x + k, y + k) for x, y, size in blocks for k in range(size)]
-    table = [[0] * (m + 1)]
-    rows = table[0]
-    for x in reversed(a):
-        row, right = [0] * (m + 1), 0
-        for j in range(m - 1, -1, -1):
-            if x == b[j]:
-                right = rows[j + 1] + 1
-            elif rows[j] > right:
-                right = rows[j]
-            row[j] = right
-        table.append(row)
-        rows = row
-    table.reverse()
+    if not n or not m:
+        return []
+    if n * m > TABLE_BITS and n > 1:
+        half = n // 2
+        low, high = _lengths(a[:half][::-1], b[::-1]), _lengths(a[half:], b)
+        cut = int(np.argmax(low + high[::-1]))
+        return _matches(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in _matches(a[half:], b[cut:])]
+    table = [(1 << m) - 1, *_rows(a, b)][::-1]
+    length = lambda i, j: m - j - (table[i] & ((1 << m - j) - 1)).bit_count()  # noqa: E731  # of a[i:] and b[j:]
     out, i, j = [], 0, 0
     while i < n and j < m:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+        elif length(i + 1, j) >= length(i, j + 1):
             i += 1
         else:
             j += 1
@@ -307,22 +367,32 @@ class Automaton:
         self.first, self.last, self.empty = self._sequence(parts)
         self.tags: dict[str, int] = {}
         self.texts: dict[str, int] = {}
-        self.slots = 0
+        self.slots = self.single = 0
         for p, (s, c) in enumerate(zip(self.symbol, self.constant)):
             if s != "T":
                 self.tags[s] = self.tags.get(s, 0) | 1 << p
             elif c is None:
                 self.slots |= 1 << p
             else:
-                self.texts[c] = self.texts.get(c, 0) | 1 << p
+                self.texts[c[1:]] = self.texts.get(c[1:], 0) | 1 << p
+                self.single |= 1 << p if c[0] == ONE else 0
         for p, f in enumerate(self.follow):
             for q in self._bits(f):
                 self.before[q] |= 1 << p
         self._next: dict[tuple[int, int], int] = {}
         self._reach: dict[int, int] = {}
-        # without any slot nothing tells data from template: all texts are given
-        data = self.slots or sum(1 << p for p, s in enumerate(self.symbol) if s == "T")
-        self.number = {p: k for k, p in enumerate(self._bits(data))}
+        self.number = self._numbered()
+
+    def _numbered(self) -> dict[int, int]:
+        """Numbers of the positions whose texts are data: slots and what one page alone has;
+        without any nothing tells data from template, and all texts are given."""
+        data = self.slots | self.single or sum(1 << p for p, s in enumerate(self.symbol) if s == "T")
+        return {p: k for k, p in enumerate(self._bits(data))}
+
+    def confirm(self, met: int) -> None:
+        """Constants at these positions have been met on a second page."""
+        self.single &= ~met
+        self.number = self._numbered()
 
     @staticmethod
     def _bits(x: int):
@@ -445,8 +515,33 @@ class Wrappers:
             self._made[best] = self._counts[best] = None
 
     def learn(self, stream) -> None:
-        if self.accepts(stream) is None:
+        k = self.accepts(stream)
+        if k is None:
             self.add(page_items(stream))
+        else:
+            self._confirm(k, stream)
+
+    def _confirm(self, k: int, stream) -> None:
+        """Constants that only one page had, and that this one has too."""
+        auto = self.automaton(k)
+        if not auto.single or not any(auto.texts.get(t, 0) & auto.single for _, t in stream if t is not None):
+            return
+        met = sum({1 << p for p in auto.positions(stream)}) & auto.single
+        if not met:
+            return
+        auto.confirm(met)
+        numbers = count()
+
+        def marked(items):
+            out = []
+            for shape, body, opt in items:
+                if isinstance(body, tuple):
+                    out.append((shape, tuple(marked(body)), opt))
+                else:
+                    out.append((shape, MANY + body[1:] if met >> next(numbers) & 1 else body, opt))
+            return out
+
+        self.items[k] = marked(self.items[k])
 
     def join(self, other: Wrappers) -> None:
         for items in other.items:
