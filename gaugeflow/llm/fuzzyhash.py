@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import remove, settle, workdir
+from .shared import remove, settle, unused, workdir
 from .textkit import U, fmix64, slices, words
 
 SEGMENTS, BITS = 5, 128
@@ -339,8 +339,9 @@ def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, probes: int = PR
     """``docs`` with one document, of the least doc_id, of each group; all columns as they
     are. Equal rows are one document, of which all stay if it is the one to keep."""
     found = _grouped(docs, distance, probes, least_words, hot).where(F.struct("doc_id", "text_hash") != F.col("kept"))
-    gone = found.select(F.col("doc_id").alias("__gf_gone"), F.col("text_hash").alias("__gf_hash"))
-    return docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__gf_gone")) & (F.xxhash64("text") == F.col("__gf_hash")), "left_anti")
+    doc, hash_ = unused(docs, "__gf_gone", "__gf_hash")
+    gone = found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_))
+    return docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import CommitLog, remove, settle, workdir
+from .shared import CommitLog, remove, settle, unused, workdir
 from .textkit import U, fmix64, slices
 
 SLOTS, SHARD_KEYS, COMPACT = 4, 1 << 18, 16
@@ -373,8 +373,9 @@ class LineIndex:
 
     def apply(self, docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
         """``docs`` with only the lines that they keep; see ``dedup_lines``."""
-        lost = self.repeats().select(F.col("doc_id").alias("__gf_doc"), F.col("text_hash").alias("__gf_hash"), F.col("lines").alias("__gf_lost"))
-        joined = docs.join(lost.hint("shuffle_hash"), (F.col("doc_id") == F.col("__gf_doc")) & (text_hash() == F.col("__gf_hash")), "left")
+        doc, hash_, gone = unused(docs, "__gf_doc", "__gf_hash", "__gf_lost")
+        lost = self.repeats().select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_), F.col("lines").alias(gone))
+        joined = docs.join(lost.hint("shuffle_hash"), (F.col("doc_id") == F.col(doc)) & (text_hash() == F.col(hash_)), "left")
         at = docs.columns.index("text")
         size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -387,8 +388,8 @@ class LineIndex:
                     texts, keep = own[at].to_pylist(), np.ones(b.num_rows, dtype=bool)
                     sizes = own[size].to_pylist() if size is not None else None
                     for r in losing.tolist():
-                        gone = set(lists[r].values.to_pylist())
-                        texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in gone)
+                        drop = set(lists[r].values.to_pylist())
+                        texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in drop)
                         keep[r] = not drop_emptied or _VISIBLE.search(texts[r]) is not None
                         if sizes is not None:
                             sizes[r] = len(texts[r])
@@ -400,7 +401,7 @@ class LineIndex:
                     yield pa.RecordBatch.from_arrays(own, names=docs_names)
 
         b_name, docs_names = docs.columns[at], docs.columns
-        return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__gf_lost").mapInArrow(cut, docs.schema)
+        return joined.select(*[F.col(f"`{c}`") for c in docs.columns], gone).mapInArrow(cut, docs.schema)
 
 
 def dedup_lines(docs: DataFrame, path: str | None = None, drop_emptied: bool = True, shard_keys: int = SHARD_KEYS) -> DataFrame:

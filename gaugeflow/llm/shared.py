@@ -44,6 +44,17 @@ def settle(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _on(spark, path)
     fs.delete(p, True)

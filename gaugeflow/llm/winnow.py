@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .shared import unused
 from .textkit import U, minimizers, slices, window_starts, windows, words
 
 K, WINDOW = 8, 6
@@ -156,7 +157,7 @@ def _spans_by_shuffle(docs, benchmark, k, window, ddl, d_type, i_type) -> DataFr
     least = k + window - 1
 
     def extend(batches):
-        for batch in batches:
+        for batch in slices(batches):
             mine, other = words(batch["text"]), words(batch["item_text"])
             rows, places = [], []
             for r, (doc, item, diagonal) in enumerate(zip(batch["doc_id"].to_pylist(), batch["item_id"].to_pylist(), batch["diagonal"].to_pylist())):
@@ -174,8 +175,9 @@ def _spans_by_shuffle(docs, benchmark, k, window, ddl, d_type, i_type) -> DataFr
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """The documents that share no span with the benchmark, all columns as they are."""
     if not _small(benchmark, broadcast_limit):
-        bad = _spans_by_shuffle(docs, benchmark, k, window, *_types(docs, benchmark)).select(F.col("doc_row").alias("__gf_row"), F.col("doc_id").alias("__gf_bad")).distinct()
-        same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__gf_row")) & docs["doc_id"].eqNullSafe(F.col("__gf_bad"))
+        row, doc = unused(docs, "__gf_row", "__gf_bad")
+        bad = _spans_by_shuffle(docs, benchmark, k, window, *_types(docs, benchmark)).select(F.col("doc_row").alias(row), F.col("doc_id").alias(doc)).distinct()
+        same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col(row)) & docs["doc_id"].eqNullSafe(F.col(doc))
         return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(_collected(benchmark, k, window))
     at = docs.columns.index("text")

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gaugeflow.llm import cotrain, crosspoly, langmask, packing, tokens, token_rollup, winnow, wrappers
-from gaugeflow.llm.shared import workdir
+from gaugeflow.llm import cotrain, crosspoly, langmask, packing, textkit, tokens, token_rollup, winnow, wrappers
+from gaugeflow.llm.shared import CommitLog, workdir
 
 from .helpers import prose, rows, words
 
@@ -55,6 +55,74 @@ def test_rollup_defined_cases(spark):
     assert rows(roll.totals().select("docs", "tokens")) == [(2, 2)]
 
 
+ROLL = "doc_id bigint, op string, text string, source string, lang string"
+
+
+def test_rollup_takes_back_every_version_that_counted(spark):
+    at = workdir(spark, "t")
+    one = token_rollup.TokenRollup(spark, {"words_v1": tokens.WORDS}, at)
+    one.apply("a", spark.createDataFrame([(1, "insert", "a b c", "s", "l"), (2, "insert", "d", "s", "l"), (3, None, "e f", "s", "l")], ROLL))
+    two = token_rollup.TokenRollup(spark, {"words_v2": tokens.WORDS}, at)
+    two.apply("b", spark.createDataFrame([(1, "delete", None, None, None), (2, "revise", "g h", "s", "l")], ROLL))
+    assert rows(two.totals().select("tokenizer", "docs", "tokens")) == [("words_v1", 1, 2), ("words_v2", 1, 2)]
+
+
+def test_rollup_compacts_and_keeps_batches_apart(spark):
+    roll = token_rollup.TokenRollup(spark, {"w": tokens.WORDS}, workdir(spark, "t"))
+    for k in range(4):
+        roll.apply(f"b{k}", spark.createDataFrame([(k, "insert", "a " * (k + 1), "s", "l"), (None, "insert", "x", "s", "l")], ROLL))
+    before = rows(roll.totals())
+    roll.compact()
+    assert rows(roll.totals()) == before == [("s", "l", "w", 8, 14)] and len(roll.log.entries()) == 1 and roll.committed() == ["b0", "b1", "b2", "b3"]
+    assert not roll.apply("b2", spark.createDataFrame([(9, "insert", "z", "s", "l")], ROLL))
+    roll.apply("c", spark.createDataFrame([(3, "delete", None, None, None)], ROLL))
+    assert rows(roll.totals()) == [("s", "l", "w", 7, 10)]
+
+
+def test_one_batch_sent_twice_at_the_same_time(spark):
+    roll, batch = token_rollup.TokenRollup(spark, {"w": tokens.WORDS}, workdir(spark, "t")), spark.createDataFrame([(1, "insert", "a b", "s", "l")], ROLL)
+    inner = roll._signed
+
+    def overtaken(entries, changes):
+        roll._signed = inner
+        assert token_rollup.TokenRollup(spark, {"w": tokens.WORDS}, roll.path).apply("same", batch)
+        return inner(entries, changes)
+
+    roll._signed = overtaken
+    assert roll.apply("same", batch) is False and rows(roll.totals()) == [("s", "l", "w", 1, 2)]
+
+
+def test_commits_are_made_once(tmp_path, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda k: log.append(1, {"writer": k}), range(8)))
+    assert sum(made) == 1 and log.entries() == [{"writer": made.index(True), "number": 1}]
+    log._local = lambda: None  # by the file system's own rename
+    assert log.append(2, {"base": True}) and not log.append(2, {}) and log.entries() == [{"base": True, "number": 2}]
+
+
+def test_very_long_texts_are_worked_through_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["short One", None, "", " ".join(prose(rng, 900, 5000).split()) + " Ünïcode ÉTÉ.", "x" * 5000, "a b", "-" * 3000 + " end"]
+    whole = textkit.words(pa.array(texts), prefix=4)
+    grams = lambda: [np.concatenate([c[t == k - i] for i, j, c, t in langmask.grams(pa.array(texts)) if i <= k < j] or [np.zeros(0)]).tolist() for k in range(len(texts))]
+    want, meta = grams(), cotrain.metadata_view(pa.array(texts), pa.array(["s"] * 7), pa.array(["l"] * 7))
+    counts = tokens.token_counts(pa.array(texts), TOKENIZER)
+    monkeypatch.setattr(textkit, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(tokens, "PART", 50)
+    parts = textkit.words(pa.array(texts), prefix=4)
+    assert (parts.hashes == whole.hashes).all() and (parts.prefixes == whole.prefixes).all() and (parts.offsets == whole.offsets).all()
+    assert grams() == want and tokens.token_counts(pa.array(texts), TOKENIZER).tolist() == counts.tolist()
+    again = cotrain.metadata_view(pa.array(texts), pa.array(["s"] * 7), pa.array(["l"] * 7))
+    assert again.index.tolist() == meta.index.tolist()
+    values, text = rng.integers(0, 60, 3000).astype(np.uint64), np.sort(rng.integers(0, 40, 3000))
+    chosen = textkit.minimizers(values, text, 7)
+    monkeypatch.setattr(textkit, "BLOCK", 100)
+    assert textkit.minimizers(values, text, 7).tolist() == chosen.tolist()
+
+
 def test_token_counts_equal_a_second_library():
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(TOKENIZER.replace(".tiktoken", ".json"))
@@ -98,7 +166,7 @@ def test_wrapper_shape_has_groups_and_optionals():
     shapes = [s for s, _, _ in w.items[0]]
     assert "(<li <a T </a </li)+" in shapes and "(<p T </p)+" in shapes
     assert {s for s, _, o in w.items[0] if o} == {"<div.ad", "T", "</div"}
-    assert ("T", "All rights reserved", 0) in [tuple(i) for i in w.items[0]]
+    assert ("T", wrappers.MANY + "All rights reserved", 0) in [tuple(i) for i in w.items[0]]
 
 
 def as_regex(items):
@@ -142,6 +210,59 @@ def test_every_page_is_accepted_and_the_automaton_agrees_with_a_regex(seed):
             assert (w.automaton(k).run(s) is not None) == (pattern.fullmatch(text) is not None)
 
 
+@pytest.mark.parametrize("pages", [2, 3])
+def test_text_that_one_page_alone_has_is_extracted(spark, pages):
+    make = lambda i, note="": f"<html><h1>Title {i}</h1><p>body {i}</p>{note}<footer>Same on all</footer></html>"
+    html = [make(0), make(1, "<div class=note>Only here</div><table><tr><td>once</td></tr></table>"), make(2, "<ul><li>also alone</li></ul>")][:pages]
+    df = spark.createDataFrame([(i, "http://few/x", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in wrappers.extract(df, wrappers.infer(df)).collect()}
+    assert got[0] == ["Title 0", "body 0"] and got[1] == ["Title 1", "body 1", "Only here", "once"]
+    assert pages == 2 or got[2] == ["Title 2", "body 2", "also alone"]
+
+
+def test_a_constant_that_a_second_page_repeats_is_template():
+    w = wrappers.Wrappers()
+    page = lambda i, note: wrappers.tokens(f"<p>t{i}</p>" + (f"<b>{note}</b>" if note else "") + "<i>all</i>")
+    for i, note in enumerate(["", "note", "note", ""]):
+        w.learn(page(i, note))
+    assert w.extract(page(9, "note"))[2] == ["t9"]
+
+
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignments_are_longest_common_subsequences(monkeypatch):
+    rng = np.random.default_rng(3)
+    cases = [tuple([f"<{k}" for k in rng.integers(0, 6, int(rng.integers(0, 70)))] for _ in "ab") for _ in range(40)]
+    for bits in (1 << 30, 50):
+        monkeypatch.setattr(wrappers, "TABLE_BITS", bits)
+        for a, b in cases:
+            got = wrappers._matches(a, b)
+            assert len(got) == brute_lcs(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 400_000, "<a \"" * 300_000, "<a '\"" * 200_000, "<" * 1_000_000, "<!-- " * 200_000, "<script>" * 100_000, "<p x='" + "<b>" * 200_000, "</" * 500_000):
+        assert len(wrappers.tokens(page)) <= 400_001
+    assert time.time() - began < 30
+    assert wrappers.tokens("<p>a</p><b \"x>c</b>")[:4] == [("<p", None), ("T", "a"), ("</p", None), ("<b", None)]
+    assert wrappers.tokens("x <a <b>y</b>") == [("T", "x"), ("<a", None), ("T", "y"), ("</b", None)]
+
+
+def test_html_ties_and_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "http://h/x", "<p>a</p>"), (1, "http://h/x", "<p>a</p>"), (1, "http://h/x", "<p>b</p>"), (2, "http://h/x", "<p>b</p>")], "page_id bigint, url string, html string")
+    assert rows(wrappers.extract(df, wrappers.infer(df)).select("page_id", "text")) == [(1, "a"), (1, "a"), (1, "b"), (2, "b")]
+
+
 def test_html_defined_cases(spark):
     df = spark.createDataFrame(
         [(1, None, "<p>a</p>", 1), (2, "http://h/x", None, 1), (3, "http://h/y", "", 1), (None, "http://h/z", "<p>b</p><p", 1), (5, "nonsense", "x < y", 1), (6, "http://h/x", "<p>c &lt; d</p>", 1)],
@@ -171,6 +292,16 @@ def test_packing_is_a_partition_of_all_places(spark):
     assert packing.pack(df.limit(0), window=8).count() == 0
 
 
+def test_packing_defined_cases(spark):
+    df = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "c", 1), (2, None, 1), (3, "", 1), (4, "d " * 40, 1)], "doc_id bigint, text string, n_tokens int")
+    out = packing.pack(df, window=16, open_windows=2, tokenizer_path=tokens.WORDS).collect()
+    places = Counter()
+    for r in out:
+        at = Counter((p["doc_id"], p["start"]) for p in r["pieces"])
+        places += at
+    assert places == Counter({(1, 0): 2, (None, 0): 1, (4, 0): 1, (4, 16): 1, (4, 32): 1})
+
+
 def test_best_fit_emits_the_fullest():
     w = packing.OpenWindows(10, 2)
     assert w.place(6, ["a"]) is None and w.place(7, ["b"]) is None
@@ -209,8 +340,6 @@ def test_cotraining_scores_held_out_documents(spark):
 
 
 def test_cotraining_learns_from_every_unlabelled_document(spark):
-    from gaugeflow.llm import textkit
-
     docs, y = corpus(np.random.default_rng(1), 12_000)
     rare = ["gadfly", "hornet", "locust", "mosquito", "termite", "weevil"]
     bad = [i for i in range(250, 12_000) if not y[i]][:: 12_000 // 50][: 3 * len(rare)]
@@ -223,6 +352,19 @@ def test_cotraining_learns_from_every_unlabelled_document(spark):
     assert (model.text[places.astype(np.int64)] < 0).all()
 
 
+def test_labels_that_are_joined_by_shuffle_give_the_same_model(spark):
+    docs, y = corpus(np.random.default_rng(3), 300)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    strangers = [(i, 1, 0) for i in range(10_000, 10_500)]
+    labels = spark.createDataFrame([(i, y[i], 0) for i in range(120)] + strangers, "doc_id bigint, quality int, toxic int")
+    one, two = (rows(cotrain.classify(df, labels, broadcast_labels=n).select("doc_id", "p_good")) for n in (10**6, 0))
+    scored = rows(cotrain.score_all(df, cotrain.train(df, labels)).select("doc_id", "p_good"))
+    assert one == two == scored and len(one) == 300
+    twice = df.union(df.limit(3)).union(spark.createDataFrame([(5000, "river " * 100_000, "en", "web", 1), (5000, "river " * 100_000, "en", "web", 1)], df.schema))
+    got = rows(cotrain.classify(twice, labels).select("doc_id", "p_good"))
+    assert len(got) == 305 and len({p for d, p in got if d == 5000}) == 1
+
+
 def test_classifier_defined_cases(spark):
     ddl = "doc_id bigint, text string, lang string, source string, p_good int"
     df = spark.createDataFrame([(1, None, None, None, 1), (None, "a", "en", "s", 1), (1, "", "en", "s", 1)], ddl)
@@ -294,27 +436,77 @@ def test_hadamard_is_the_matrix_product():
     assert np.allclose(crosspoly.hadamard(x), x @ h)
 
 
+def recall_of(got, x, k=10):
+    """Share of the true neighbours found, of the rows in ``got`` {row: {neighbour: cosine}}."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    who = sorted(got)
+    sims = unit[who] @ unit.T
+    sims[np.arange(len(who)), who] = -2
+    best = np.argsort(-sims, axis=1)[:, :k]
+    assert all(abs(sims[i, j] - c) < 1e-5 for i, w in enumerate(who) for j, c in got[w].items())
+    return np.mean([len(set(b.tolist()) & set(got[w])) / k for w, b in zip(who, best)])
+
+
+def found(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["vec_id"], {})[r["neighbour_id"]] = r["cosine"]
+    return got
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+
+
 def test_neighbours_recall_against_brute_force(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 64))
     x = (centres[rng.integers(0, 30, 900)] + 0.7 * rng.normal(size=(900, 64))).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = {}
-    for r in crosspoly.neighbours(df).collect():
-        got.setdefault(r["vec_id"], {})[r["neighbour_id"]] = r["cosine"]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sims = unit @ unit.T
-    np.fill_diagonal(sims, -2)
-    best = np.argsort(-sims, axis=1)[:, :10]
-    assert np.mean([len(set(best[i].tolist()) & set(got[i])) / 10 for i in range(900)]) > 0.9
-    assert all(abs(sims[i, j] - c) < 1e-5 for i, found in got.items() for j, c in found.items())
+    got = found(crosspoly.neighbours(vectors(spark, x), least=64))
+    assert len(got) == 900 and recall_of(got, x) > 0.9
+    some = found(crosspoly.neighbours(vectors(spark, x), queries="vec_id % 20 = 0", least=64, block=100))
+    assert set(some) == set(range(0, 900, 20)) and recall_of(some, x) > 0.9
+
+
+def test_a_fit_takes_more_axes_where_neighbours_are_near(spark):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(400, 32)), 12, axis=0) + 0.05 * rng.normal(size=(4800, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    asked = np.arange(0, 4800, 100)
+    near = [x[np.argsort(-(x @ x[i]))[1:11]] for i in asked]
+    axes, tables, probes = crosspoly.fitted(x[asked], near, 100_000_000, 0.05, 1 << 14, 0.95)
+    assert axes > 1
+    met = np.zeros((len(asked), 10), dtype=bool)
+    for t in range(tables):
+        probed = crosspoly.buckets(x[asked], t, axes, probes)
+        met |= np.stack([(crosspoly.buckets(v, t, axes, 1)[:, :1] == p).any(axis=1) for v, p in zip(near, probed)])
+    assert met.mean() >= 0.95
+    loose = rng.normal(size=(300, 32)).astype(np.float32)
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    assert crosspoly.fitted(loose[:30], [loose[np.argsort(-(loose @ v))[1:11]] for v in loose[:30]], 300, 0.05, 1 << 14, 0.95)[0] == 1
+    got = found(crosspoly.neighbours(vectors(spark, x), queries="vec_id % 100 = 0", index=(2, 4, 16), least=1))
+    assert set(got) == set(asked.tolist()) and all(len(v) == 10 for v in got.values()) and recall_of(got, x) > 0.9
+
+
+def test_copies_of_a_vector_and_crowded_buckets(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[100:200] = x[0]
+    x[200:] = x[1] + 0.01 * x[200:]
+    got = found(crosspoly.neighbours(vectors(spark, x), k=5, block=16, index=(1, 3, 8), least=1))
+    assert set(got[0]) == {100, 101, 102, 103, 104} and set(got[100]) == {0, 101, 102, 103, 104} and set(got[150]) == {0, 100, 101, 102, 103}
+    assert all(len(v) == 5 for v in got.values())
+    crowd = {i: got[i] for i in range(200, 300)}
+    assert recall_of(crowd, x, 5) > 0.97
 
 
 def test_neighbours_defined_cases(spark):
     e = [1.0, 0.0, 0.0, 0.0]
     df = spark.createDataFrame([(1, e, 0), (2, e, 0), (3, None, 0), (4, [], 0), (5, [0.0] * 4, 0), (6, [float("nan")] * 4, 0), (7, [1.0], 0), (None, e, 0), (1, e, 0)], "vec_id bigint, embedding array<float>, rank int")
     assert rows(crosspoly.neighbours(df)) == [(1, 2, 1, 1.0), (2, 1, 1, 1.0)]
-    assert crosspoly.neighbours(df.limit(0)).count() == 0
+    assert crosspoly.neighbours(df.limit(0)).count() == 0 and crosspoly.neighbours(df, queries="vec_id > 99").count() == 0
+    ties = spark.createDataFrame([("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("b", [0.0, -1.0]), ("d", [-2.0, -0.0])], "vec_id string, embedding array<float>")
+    assert rows(crosspoly.neighbours(ties, k=2, queries="vec_id IN ('a', 'd')")) == [("a", "b", 1, 0.0), ("a", "c", 2, 0.0), ("d", "b", 1, 0.0), ("d", "c", 2, 0.0)]
 
 
 # languages
@@ -344,6 +536,39 @@ def test_languages_of_held_out_documents(spark):
     assert langmask.identify(df, langmask.train(empty)).where("lang_id IS NOT NULL").count() == 0 and langmask.identify(empty, langmask.train(df)).count() == 0
 
 
+def test_language_defined_cases(spark):
+    text = {"aa": "karo mili tasu karomi litasu ", "bb": "xven grod plim grodxven plimgrod "}
+    ddl = "doc_id bigint, text string, lang string, share int"
+    df = spark.createDataFrame([(i, t * 5, k, 1) for i, (k, t) in enumerate(text.items())] + [(7, text["aa"] * 60_000, "aa", 1), (8, text["bb"], None, 1), (8, text["bb"], None, 1), (None, text["aa"], None, 1)], ddl)
+    got = rows(langmask.identify(df, langmask.train(df)).select("doc_id", "lang_id").where("doc_id IS NOT NULL"))
+    assert got == [(0, "aa"), (1, "bb"), (7, "aa"), (8, "bb"), (8, "bb")]
+    same = langmask.LanguageFilter.build({"x": np.array([5], np.uint32), "y": np.array([5], np.uint32)})
+    assert same.masks(np.array([5], np.uint32))[0, 0] == 3
+    tie = spark.createDataFrame([(1, "abcd efgh", None)], "doc_id bigint, text string, lang string")
+    both = langmask.train(spark.createDataFrame([(1, "abcd efgh " * 9, "zz"), (2, "abcd efgh " * 9, "yy")], "doc_id bigint, text string, lang string"))
+    assert langmask.identify(tie, both).first()["lang_id"] == "yy"
+
+
+def test_languages_by_popcounts_of_sets(spark):
+    """The trained filter against plain sets of n-grams by the same rule."""
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join("".join("abcdefgh"[k] for k in rng.integers(0, 3 + 2 * (i % 3), 5)) for _ in range(30)), "xyz"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    counts = {k: Counter() for k in "xyz"}
+    split = lambda t: [t[p : p + 4] for p in range(len(t) - 3) if t[p : p + 4].count(" ") < 2]
+    for _, t, k in docs:
+        counts[k].update(split(t))
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    sets = {k: {g for g, n in counts[k].items() if n >= 5 and rate[k][g] >= 0.02 * best[g]} for k in counts}
+    model = langmask.train(df)
+    got = {r["doc_id"]: r["lang_id"] for r in langmask.identify(df, model).collect()}
+    for d, t, _ in docs:
+        share = {k: sum(g in s for g in split(t)) / len(split(t)) for k, s in sets.items()}
+        top = max(share.values())
+        assert share[got[d]] >= top - 0.03 if top >= 0.33 else got[d] is None or share[got[d]] >= 0.27
+
+
 # whole chain
 
 
@@ -371,3 +596,25 @@ def test_pipeline_is_its_stages_in_order(spark, tmp_path):
     assert 1000 in seen[1] and 1000 not in seen[3] and 1001 in seen[3] and 1001 not in seen[4]
     packed = {p["doc_id"] for r in C.run(spark, str(tmp_path)).collect() for p in r["pieces"]}
     assert packed == seen[-1] and len(packed & {i for i in range(300) if y[i]}) > 0.95 * sum(y)
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(9)
+    docs, y = corpus(rng, 120)
+    ddl = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string, __gf_lost int"
+    good = next(t for (_, t, *_), k in zip(docs, y) if k)
+    odd = [(None, good, "en", "web", 40), (500, None, None, None, None), (501, "", "en", "web", 0), (502, good, "en", "web", 40), (502, good, "en", "web", 40)]
+    table = spark.createDataFrame([(*d, "w", 1) for d in docs + odd], ddl)
+    spark.createDataFrame([(i, y[i], 0) for i in range(100)] + [(None, 1, 0), (7, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "bench " * 20), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in C.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        empty = stage(spark, table.limit(0), str(tmp_path))
+        assert empty.columns == out.columns and empty.count() == 0
+        if name != "packing":
+            assert out.columns == table.columns
+            assert out.where("doc_id IS NULL").count() == 1 and {500, 501} >= {r["doc_id"] for r in out.where("doc_id IN (500, 501)").collect()}
+    packed = [p["doc_id"] for r in out.collect() for p in r["pieces"]]
+    assert packed.count(502) == 2 and packed.count(None) == 1 and not {500, 501} & set(packed)
