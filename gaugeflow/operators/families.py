@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index
+from ..functions.scores import exact_two_sided
 from ..functions.special import binomial_two_sided
 from .records import model_means, model_ranking
 from .resample import RESAMPLES, permutation_p, slots
@@ -35,6 +36,29 @@ def pair_scores(cells: DataFrame) -> DataFrame:
     return items.select("metric", "example_id", "ex_ord", F.inline(two)).withColumn("diff", F.col("score_b") - F.col("score_a"))
 
 
+def tested_differences(pairs: DataFrame, by: list[str], order: str, number: str, times: int, seed: int) -> DataFrame:
+    """(*by, n, mean_diff, test, p_value) of paired scores. Groups of scores of 0 and 1 are
+    counted and tested where they are; only others, whose permutations are one seeded
+    stream each, are brought together. The test of a group uses seed + its ``number``."""
+    zero_one = F.col("score_a").isin(0.0, 1.0) & F.col("score_b").isin(0.0, 1.0)
+    counts = pairs.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(F.col("score_b") - F.col("score_a")).alias("mean_diff"), F.bool_and(zero_one).alias("binary"),
+        F.count_if(F.col("score_b") > F.col("score_a")).alias("up"), F.count_if(F.col("score_b") != F.col("score_a")).alias("moved"),
+    )
+    exact = counts.where("binary").select(*by, "n", "mean_diff", F.lit("mcnemar").alias("test"), exact_two_sided(F.col("up"), F.col("moved")).alias("p_value"))
+    names = [*by, "n", "mean_diff", "test", "p_value"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__o", kind="stable")
+        a, b, first = frame["score_a"].to_numpy(dtype=float), frame["score_b"].to_numpy(dtype=float), frame.iloc[0]
+        p, test = test_differences(a, b, times, seed + int(first[number]))
+        return pd.DataFrame([[*first[by], len(a), float((b - a).mean()), test, p]], columns=names)
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    other = pairs.join(counts.where("NOT binary").select(*by), by).select(*by, F.col(order).alias("__o"), "score_a", "score_b")
+    return exact.unionByName(other.groupBy(*by).applyInPandas(run, f"{kinds}, n bigint, mean_diff double, test string, p_value double"))
+
+
 def all_pairs(cells: DataFrame, times: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """(metric, model_a, model_b, ord, n, mean_diff, test, p_value). The i-th pair in rank
     order uses seed + i."""
@@ -42,16 +66,8 @@ def all_pairs(cells: DataFrame, times: int = RESAMPLES, seed: int = 0) -> DataFr
     numbered = model_means(cells).groupBy("metric").agg(F.count("*").alias("m"))
     # pair (i, j) of m models is number (i - 1)(2m - i) / 2 + j - i - 1
     ordinal = ((F.col("place_a") - 1) * (2 * F.col("m") - F.col("place_a")) / 2 + F.col("place_b") - F.col("place_a") - 1).cast("long")
-    pairs = pairs.join(F.broadcast(numbered), "metric").withColumn("ord", ordinal)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ex_ord", kind="stable")
-        a, b, first = frame["score_a"].to_numpy(dtype=float), frame["score_b"].to_numpy(dtype=float), frame.iloc[0]
-        p, test = test_differences(a, b, times, seed + int(first["ord"]))
-        return pd.DataFrame([[first["metric"], first["model_a"], first["model_b"], int(first["ord"]), len(a), float((b - a).mean()), test, p]], columns=["metric", "model_a", "model_b", "ord", "n", "mean_diff", "test", "p_value"])
-
-    ddl = "metric string, model_a string, model_b string, ord bigint, n bigint, mean_diff double, test string, p_value double"
-    return pairs.select("metric", "model_a", "model_b", "ord", "ex_ord", "score_a", "score_b").groupBy("metric", "model_a", "model_b").applyInPandas(run, ddl)
+    pairs = pairs.join(F.broadcast(numbered), "metric").withColumn("ord", ordinal)  # a row per metric
+    return tested_differences(pairs, ["metric", "model_a", "model_b", "ord"], "ex_ord", "ord", times, seed)
 
 
 def slice_counts(pairs: DataFrame, attribute: str, least: int = MIN_SLICE) -> DataFrame:
@@ -62,21 +78,14 @@ def slices(pairs: DataFrame, attribute: str, alpha: float = 0.05, least: int = M
     """Per value of an attribute: its p against alpha over the number of tested slices, and
     whether it is significantly opposite to the whole. ``pairs`` has ord, score_a, score_b."""
     facts = pairs.agg(F.avg("diff").alias("overall"))
-    groups = pairs.where(F.col(attribute).isNotNull()).groupBy(F.col(attribute).alias("slice")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    groups = pairs.where(F.col(attribute).isNotNull()).groupBy(F.col(attribute).alias("slice")).agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.avg("diff").alias("mean_diff"))
     tested = groups.withColumn("tested", F.col("n") >= least)
     number = F.sum(F.col("tested").cast("int")).over(W.partitionBy(F.lit(1)).orderBy("first").rowsBetween(W.unboundedPreceding, -1))
     k = F.sum(F.col("tested").cast("int")).over(W.partitionBy(F.lit(1)))
     tested = tested.withColumn("i", F.coalesce(number, F.lit(0))).withColumn("k", k)  # a row per slice
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable")
-        a, b, f = frame["score_a"].to_numpy(dtype=float), frame["score_b"].to_numpy(dtype=float), frame.iloc[0]
-        p = test_differences(a, b, times, seed + int(f["i"]))[0] if f["tested"] else None
-        return pd.DataFrame([[f["slice"], len(a), float((b - a).mean()), bool(f["tested"]), int(f["k"]), p]], columns=["slice", "n", "mean_diff", "tested", "k", "p_value"])
-
-    kind = pairs.schema[attribute].dataType.simpleString()
-    joined = pairs.withColumn("slice", F.col(attribute)).join(tested.select("slice", "tested", "i", "k"), "slice")
-    out = joined.select("slice", "ord", "score_a", "score_b", "tested", "i", "k").groupBy("slice").applyInPandas(run, f"slice {kind}, n bigint, mean_diff double, tested boolean, k bigint, p_value double")
+    joined = pairs.withColumn("slice", F.col(attribute)).join(tested.where("tested").select("slice", "i"), "slice")
+    p = tested_differences(joined, ["slice", "i"], "ord", "i", times, seed).select("slice", "p_value")
+    out = tested.join(p, "slice", "left").select("slice", "n", "mean_diff", "tested", "k", "p_value")
     out = out.join(F.broadcast(facts)).withColumn("corrected_alpha", F.when(F.col("k") > 0, F.lit(alpha) / F.greatest("k", F.lit(1))))
     worse = (F.col("p_value") < F.col("corrected_alpha")) & (F.signum("mean_diff") * F.signum("overall") < 0)
     return out.withColumn("regression", F.coalesce(worse, F.lit(False)))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_index, draw_sign
 from ..functions.special import normal_cdf, normal_ppf
 
-RESAMPLES, CELLS = 10_000, 4_000_000
+RESAMPLES, CELLS, BROADCAST_ROWS = 10_000, 4_000_000, 1_000_000
 
 
 def _blocks(n: int, times: int):
@@ -141,24 +141,23 @@ def clustered_mean_test(pairs: DataFrame, by: list[str], cluster: str, alpha: fl
     return sums.groupBy(*by).applyInPandas(run, ddl)
 
 
+def _drawn(units: DataFrame, times: int, seed: int) -> DataFrame:
+    """(replicate, ...) with the columns of the unit that each draw hits. Units are sent to
+    the draws where they are few, so that these needn't be shuffled to meet them."""
+    n = units.agg(F.count("*").alias("n")).first()["n"]
+    replicate = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("replicate")
+    picks = units.select("slot", replicate).select("replicate", draw_index(seed, F.col("replicate"), F.col("slot"), F.lit(n)).alias("slot"))
+    return picks.join(F.broadcast(units) if n <= BROADCAST_ROWS else units, "slot")
+
+
 def portable_means(values: DataFrame, times: int, seed: int = 0) -> DataFrame:
     """(replicate, mean) from (slot, x), slots 0 .. n - 1: draws by hash, joined back."""
-    size = values.agg(F.count("*").alias("n"))
-    picks = (
-        values.select("slot").join(F.broadcast(size)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-        .select("replicate", draw_index(seed, F.col("replicate"), F.col("slot"), F.col("n")).alias("slot"))
-    )
-    return picks.join(values, "slot").groupBy("replicate").agg(F.avg("x").alias("mean"))
+    return _drawn(values, times, seed).groupBy("replicate").agg(F.avg("x").alias("mean"))
 
 
 def portable_pooled(clusters: DataFrame, times: int, seed: int = 0) -> DataFrame:
     """(replicate, mean) from clusters (slot, s, n)."""
-    size = clusters.agg(F.count("*").alias("k"))
-    picks = (
-        clusters.select("slot").join(F.broadcast(size)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-        .select("replicate", draw_index(seed, F.col("replicate"), F.col("slot"), F.col("k")).alias("slot"))
-    )
-    return picks.join(clusters, "slot").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return _drawn(clusters, times, seed).groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def portable_flips(values: DataFrame, times: int, seed: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from .functions.draws import sql_word
 from .functions.scores import coerce_score, magnitude, normal_text
 from .operators import changes, contamination, effect, families, health, judges, multiplicity, pairing, preferences, ranking, records, resample, twosample
 from .plans import findings, kernels
-from .plans.audit import audit_frames, benchmark_health, overall, run_level, suite
+from .plans.audit import _pairs as paired_clusters
+from .plans.audit import audit_frames, benchmark_health, overall, run_level, strongest, suite
 from .plans.audit import predictive_rerun as predict
 from .plans.config import AuditConfig
 from .plans.data import EvalFrames
@@ -124,9 +126,26 @@ def suite_pair(spark, sf):
     return records.suite_pair(c, order).select("model", F.col("rank").cast("long").alias("rank"))
 
 
+@query("strongest_model", f"WITH {V.SUITE}, m AS (SELECT metric, model, avg(score) AS a FROM cells GROUP BY ALL) SELECT model FROM m GROUP BY model ORDER BY avg(a) DESC, model LIMIT 1")
+def strongest_model(spark, sf):
+    """The model that is audited if none is named (a top-one report)."""
+    c = V.suite_cells(spark, sf)
+    order = c.select("metric", "model").distinct().withColumn("model_ord", F.ascii("model"))
+    return spark.createDataFrame([(m,) for m in strongest(EvalFrames(c, order), 1)], "model string")
+
+
 # pairing
 
 
+@query("cluster_groups", f"WITH {V.CELLS}, {V.PAIRS} SELECT coalesce('g' || p_brand, 'i' || example_id) AS cluster, count(*) AS n, round(sum(diff), 6) AS total FROM pairs LEFT JOIN part ON p_partkey = example_id AND p_size > 10 GROUP BY 1")
+def cluster_groups(spark, sf):
+    """Paired differences by group; examples without one are groups of their own."""
+    groups = V.attributes(spark, sf).where("size > 10").select("example_id", "group_id")
+    c = V.cells(spark, sf)
+    data = EvalFrames(c, c.select("metric", "model").distinct(), groups=groups)
+    return paired_clusters(data, A, B).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("diff"), 6).alias("total"))
+
+
 @query("paired_differences", f"WITH {V.CELLS}, {V.PAIRS} SELECT example_id, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b, round(diff, 6) AS diff FROM pairs")
 def paired_differences(spark, sf):
     return pairs(spark, sf).select("example_id", *r6("score_a", "score_b", "diff"))
@@ -195,6 +214,16 @@ def magnitude_labels(spark, sf):
     return pairs(spark, sf).select("example_id", magnitude(F.round(F.col("diff") * 10, 6), "r").alias("magnitude"))
 
 
+_EDGES = {"d": (0.2, 0.5, 0.8), "h": (0.2, 0.5, 0.8), "g": (0.05, 0.15, 0.25), "cles": (0.06, 0.14, 0.21)}
+_STEPS = ", ".join(f"CASE WHEN abs(x) < {a} THEN 'negligible' WHEN abs(x) < {b} THEN 'small' WHEN abs(x) < {c} THEN 'medium' ELSE 'large' END AS by_{k}" for k, (a, b, c) in _EDGES.items())
+
+
+@query("magnitudes_by_kind", f"WITH {V.CELLS}, {V.PAIRS} SELECT example_id, {_STEPS} FROM (SELECT example_id, round(diff * 10, 6) AS x FROM pairs)")
+def magnitudes_by_kind(spark, sf):
+    x = F.round(F.col("diff") * 10, 6)
+    return pairs(spark, sf).select("example_id", *[magnitude(x, k).alias(f"by_{k}") for k in _EDGES])
+
+
 # resampling: 200 replicates by hash draws, so that both engines draw the same
 
 REPLICATES = 200
@@ -632,6 +661,27 @@ def suite_audit_bonferroni(spark, sf):
     return _suite(spark, sf, "bonferroni")
 
 
+@query("suite_json", _FAMILY + " SELECT metric, round(adj, 6) AS adjusted_p, round(0.05 / CASE WHEN adj <= 0.05 THEN m - i + 1 ELSE greatest(m - (SELECT count(*) FROM h WHERE adj <= 0.05), 1) END, 9) AS alpha, round(0.05 / m, 9) AS corrected_alpha FROM h")
+def suite_json(spark, sf):
+    """What a reader of the suite's JSON finds in it."""
+    c = V.binary_suite_cells(spark, sf)
+    order = c.select("metric", "model").distinct().withColumn("model_ord", F.ascii("model"))
+    d = json.loads(json.dumps(suite(EvalFrames(c, order), AuditConfig(correction="holm"), A, B).to_dict()))
+    rows = [(m, round(d["adjusted_p"][m], 6), round(d["metric_alphas"][m], 9), round(d["corrected_alpha"], 9)) for m in d["metrics"]]
+    return spark.createDataFrame(rows, "metric string, adjusted_p double, alpha double, corrected_alpha double")
+
+
+@query("report_json", f"WITH {V.BINARY}, {V.PAIRS}, c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE diff <> 0) AS n, least(count(*) FILTER (WHERE diff > 0), count(*) FILTER (WHERE diff < 0)) AS k, avg(diff) AS gap, abs(2 * asin(sqrt(avg(score_b))) - 2 * asin(sqrt(avg(score_a)))) AS h FROM pairs) SELECT pairs AS n, 'mcnemar' AS test, round({_TAIL}, 6) AS p_value, CASE WHEN gap >= 0 THEN 'R' ELSE 'A' END AS leader, 0.05::DOUBLE AS alpha, round(abs(gap), 6) AS risk_difference, round(h, 6) AS cohens_h FROM c")
+def report_json(spark, sf):
+    """What a reader of a report's JSON finds about the decision and the effect."""
+    c = V.binary_cells(spark, sf)
+    report = audit_frames(EvalFrames(c, c.select("metric", "model").distinct().withColumn("model_ord", F.ascii("model"))), AuditConfig(), A, B)
+    by = {f["details"]["check"]: f["details"] for f in json.loads(json.dumps(report.to_dict()))["findings"]}
+    d, e = by["decision"], by["effect_size"]
+    row = (d["n"], d["test"], round(d["p_value"], 6), d["leader"], d["alpha"], round(e["risk_difference"], 6), round(e["cohens_h"], 6))
+    return spark.createDataFrame([row], "n bigint, test string, p_value double, leader string, alpha double, risk_difference double, cohens_h double")
+
+
 _STATUS = f"WITH {V.SUITE}, m AS (SELECT metric, model, avg(score) AS a, max(score) AS x FROM cells GROUP BY 1, 2), s AS (SELECT metric, max(a) / max(x) >= 0.95 AS sat FROM m GROUP BY 1), d AS (SELECT metric, stddev_pop(score) < 0.01 AS flat FROM cells GROUP BY 1)"
 
 

@@ -10,7 +10,8 @@ from .plans.data import EvalFrames
 from .queries import query, r6
 from .scratch import folder
 from .sources import load
-from .views import table
+from .streaming.incremental import ScoreTotals, windowed_means
+from .views import CELLS, table
 
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +80,7 @@ def load_skipped(spark, sf):
     return spark.createDataFrame([(about["skipped_rows"], about["kept"])], "skipped bigint, kept bigint")
 
 
-@query("load_jsonl_late_models", "SELECT 'score' AS metric, CAST(c_custkey AS VARCHAR) AS example_id, 'early' AS model, round(c_acctbal, 6) AS score FROM customer UNION ALL SELECT 'score', CAST(c_custkey AS VARCHAR), 'late', 1.0 FROM customer WHERE c_custkey % 2 = 1")
+@query("load_jsonl_late_models", "SELECT 'score' AS metric, CAST(c_custkey AS VARCHAR) AS example_id, 'early' AS model, round(c_acctbal, 6) AS score FROM customer UNION ALL SELECT 'score', CAST(c_custkey AS VARCHAR), 'late', 1.0::DOUBLE FROM customer WHERE c_custkey % 2 = 1")
 def load_jsonl_late_models(spark, sf):
     """The second model is in no row before the second one."""
     return _cells(load.load_suite(spark, _lines(spark, sf, "late", "CASE WHEN c_custkey % 2 = 1 THEN to_json(named_struct('id', c_custkey, 'early', c_acctbal, 'late', true)) ELSE to_json(named_struct('id', c_custkey, 'early', c_acctbal)) END")))
@@ -115,7 +116,7 @@ def load_promptfoo(spark, sf):
     return _cells(load.load_suite(spark, _document(spark, sf, "promptfoo", f"named_struct('provider', named_struct('id', {_MODEL}), 'testIdx', c_custkey, 'score', c_acctbal)", '{"version": 3, "results": {"results": [', "]}}")))
 
 
-@query("load_deepeval", "SELECT 'score' AS metric, c_name AS example_id, 'judge' AS model, CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END AS score FROM customer")
+@query("load_deepeval", "SELECT 'score' AS metric, c_name AS example_id, 'judge' AS model, CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM customer")
 def load_deepeval(spark, sf):
     return _cells(load.load_suite(spark, _document(spark, sf, "deepeval", "named_struct('name', c_name, 'success', c_acctbal > 0, 'metricsData', array(named_struct('score', 0.5)))", '{"hyperparameters": {"model": "judge"}, "testCases": [', "]}")))
 
@@ -125,7 +126,7 @@ def load_openevals(spark, sf):
     return _cells(load.load_suite(spark, _document(spark, sf, "openevals", "named_struct('key', c_mktsegment, 'id', c_custkey, 'score', c_acctbal, 'comment', 'none')")))
 
 
-@query("load_inspect", "SELECT 'grade' AS metric, CAST(c_custkey AS VARCHAR) AS example_id, 'tested' AS model, CASE c_nationkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 ELSE 0.0 END AS score FROM customer UNION ALL SELECT 'length', CAST(c_custkey AS VARCHAR), 'tested', round(c_acctbal, 6) FROM customer")
+@query("load_inspect", "SELECT 'grade' AS metric, CAST(c_custkey AS VARCHAR) AS example_id, 'tested' AS model, CASE c_nationkey % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 ELSE 0.0 END AS score FROM customer UNION ALL SELECT 'length', CAST(c_custkey AS VARCHAR), 'tested', round(c_acctbal, 6) FROM customer")
 def load_inspect(spark, sf):
     grades = "named_struct('grade', named_struct('value', substr('CIPN', c_nationkey % 4 + 1, 1)), 'length', named_struct('value', CAST(c_acctbal AS string)))"
     return _cells(load.load_suite(spark, _document(spark, sf, "inspect", f"named_struct('id', c_custkey, 'scores', {grades})", '{"eval": {"model": "tested"}, "samples": [', "]}")))
@@ -154,6 +155,14 @@ def load_helm(spark, sf):
     return _cells(load.load_suite(spark, _document(spark, sf, "helm", f"named_struct('instance_id', CAST(c_custkey AS string), 'stats', array({stat('exact_match', 'c_acctbal')}, {stat('num_trials', '1.0D')}))")))
 
 
+@query("load_primary_metric", "SELECT 'score' AS metric, CAST(c_custkey AS VARCHAR) AS example_id, 'model' AS model, round(c_acctbal, 6) AS score FROM customer")
+def load_primary_metric(spark, sf):
+    """The one metric of several that a single audit takes: a preferred one, not the first."""
+    stat = lambda name, value: f"named_struct('name', named_struct('name', '{name}'), 'mean', {value})"
+    path = _document(spark, sf, "primary", f"named_struct('instance_id', CAST(c_custkey AS string), 'stats', array({stat('aaa', 'CAST(c_nationkey AS double)')}, {stat('f1_score', 'c_acctbal')}))")
+    return _cells(load.load(spark, path))
+
+
 @query("load_mlflow", f"SELECT 'match' AS metric, {_PLACE}, round(c_acctbal, 6) AS score FROM customer UNION ALL SELECT 'latency', {_PLACE}, CAST(c_nationkey AS DOUBLE) FROM customer")
 def load_mlflow(spark, sf):
     return _cells(load.load_suite(spark, _document(spark, sf, "mlflow", "array(c_name, CAST(c_acctbal AS string), CAST(c_nationkey AS string))", '{"eval_results_table": {"columns": ["text", "match/score", "latency"], "data": [', "]}}")))
@@ -202,7 +211,7 @@ def load_lm_eval(spark, sf):
     return _cells(load.load_suite(spark, _lines(spark, sf, "samples_task_2026-01-02T03-04-05.6", "to_json(named_struct('doc_id', c_custkey, 'resps', array(), 'metrics', array('acc', 'norm'), 'acc', c_acctbal, 'norm', c_nationkey))")))
 
 
-@query("load_openai_evals", "SELECT 'accuracy' AS metric, 's' || c_custkey AS example_id, 'tested' AS model, CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END AS score FROM customer")
+@query("load_openai_evals", "SELECT 'accuracy' AS metric, 's' || c_custkey AS example_id, 'tested' AS model, CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM customer")
 def load_openai_evals(spark, sf):
     spec = "CASE WHEN c_custkey = 0 THEN to_json(named_struct('spec', named_struct('completion_fns', array('tested')))) END"
     event = "to_json(named_struct('type', 'match', 'sample_id', concat('s', c_custkey), 'data', named_struct('correct', c_acctbal > 0)))"
@@ -239,3 +248,23 @@ def load_pair_of_files(spark, sf):
         paths.append(f"{folder(spark, name)}/{name}.csv")
         _customers(spark, sf).where(keep).selectExpr("c_custkey AS id", f"'{name}' AS model", f"{column} AS score").write.csv(paths[-1], header=True)
     return load.load_comparison(spark, *paths).cells.select("example_id", "model", *r6("score"))
+
+
+# scores that keep arriving
+
+
+@query("streamed_totals", f"WITH {CELLS} SELECT example_id, model, round(score, 6) AS score FROM cells")
+def streamed_totals(spark, sf):
+    """Score totals of all lines as a stream of files brings them."""
+    at = folder(spark, "stream")
+    lines = table(spark, sf, "lineitem").select(F.lit("discount").alias("metric"), F.col("l_partkey").alias("example_id"), F.col("l_returnflag").alias("model"), F.col("l_discount").alias("score"), F.monotonically_increasing_id().alias("row_ord"))
+    lines.repartition(4).write.parquet(f"{at}/in")
+    totals = ScoreTotals(spark, f"{at}/totals")
+    totals.start(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    return totals.cells().select("example_id", "model", *r6("score"))
+
+
+@query("windowed_means", "SELECT event_type AS metric, user_id % 3 AS model, round(avg(value), 6) AS mean_score, count(value) AS n FROM events GROUP BY event_type, user_id % 3, date_trunc('hour', ts)")
+def windowed(spark, sf):
+    records = table(spark, sf, "events").select("ts", F.col("event_type").alias("metric"), (F.col("user_id") % 3).alias("model"), F.col("value").alias("score"))
+    return windowed_means(records, "ts", "1 hour", "10 minutes").select("metric", "model", *r6("mean_score"), "n")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow import api, cli
+from gaugeflow.functions import special
 from gaugeflow.functions.scores import coerce_score, normal_text
 from gaugeflow.operators import families, health, resample
 from gaugeflow.plans.audit import pair_findings, predictive_rerun
@@ -49,6 +50,13 @@ def test_long_csv_counts_what_it_skips(spark, write):
     assert data.metadata["skipped_rows"] == 1 and data.model_names() == ["A", "B"]
 
 
+def test_csv_fields_over_several_lines(spark, write):
+    plain = write("p.csv", "id,model,score\n" + "".join(f"{i},A,{i}\n" for i in range(50)))
+    broken = write("b.csv", 'id,model,score\n"q\n1",A,1\n"say ""x"", y",A,0\n')
+    assert len(cells(load.load_suite(spark, plain))) == 50
+    assert cells(load.load_suite(spark, broken)) == {("score", "q\n1", "A"): 1.0, ("score", 'say "x", y', "A"): 0.0}
+
+
 def test_wide_jsonl_is_unpivoted_and_does_not_count(spark, write):
     p = write("a.jsonl", '{"id": 1, "gpt": "80%", "other": true}\n\n{"id": 2, "gpt": "?", "other": 0}\n')
     data = load.load_suite(spark, p)
@@ -270,6 +278,29 @@ def test_rank_stability_draws_whole_clusters_by_first_appearance(spark):
     assert len(names) == 6 and all(got["PQR"[j], p + 1]["occupancy"] == pytest.approx(share[j, p]) and got["PQR"[j], p + 1]["units"] == 6 for j in range(3) for p in range(3))
 
 
+def test_pairs_and_slices_of_any_scores(spark):
+    """Pairs of scores of 0 and 1 are tested by counts, others by seeded permutations."""
+    rng = np.random.default_rng(9)
+    values = {"P": rng.normal(1, 1, 40), "Q": (rng.random(40) < 0.5) * 1.0, "R": (rng.random(40) < 0.8) * 1.0}
+    cells_ = spark.createDataFrame([("score", f"e{i:02d}", m, float(v[i]), i) for m, v in values.items() for i in range(40)], "metric string, example_id string, model string, score double, ord bigint")
+    got = {(r["model_a"], r["model_b"]): r for r in families.all_pairs(cells_, 300, 5).collect()}
+    order = sorted(values, key=lambda m: -values[m].mean())
+    for n, (a, b) in enumerate([(order[0], order[1]), (order[0], order[2]), (order[1], order[2])]):
+        d = values[b] - values[a]
+        if "P" in (a, b):
+            want = ("permutation", resample.permutation_p(d if d.mean() >= 0 else -d, 300, 5 + n))
+        else:
+            want = ("mcnemar", special.binomial_two_sided(int((d > 0).sum()), int((d != 0).sum())))
+        assert got[a, b]["test"] == want[0] and got[a, b]["p_value"] == pytest.approx(want[1]) and got[a, b]["ord"] == n
+    d = values["Q"] - values["P"]
+    pairs = spark.createDataFrame([(i, float(values["P"][i]), float(values["Q"][i]), float(d[i]), "xyz"[min(i // 18, 2)]) for i in range(40)], "ord bigint, score_a double, score_b double, diff double, kind string")
+    sliced = {r["slice"]: r for r in families.slices(pairs, "kind", times=200, seed=3).collect()}
+    for n, (name, lo, hi) in enumerate([("x", 0, 18), ("y", 18, 36)]):
+        own = d[lo:hi]
+        assert sliced[name]["p_value"] == pytest.approx(resample.permutation_p(own if own.mean() >= 0 else -own, 200, 3 + n)) and sliced[name]["k"] == 2
+    assert sliced["z"]["p_value"] is None and not sliced["z"]["tested"] and sliced["z"]["n"] == 4
+
+
 def test_reasons_why_ranks_are_not_resampled(spark):
     cfg = AuditConfig(n_resamples=50, all_pairs=True)
     _, frames, of = ranked(spark, [(f"e{i}", "one") for i in range(12)])
