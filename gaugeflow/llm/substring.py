@@ -13,7 +13,10 @@ documents or in one. The result covers exactly the repeated windows of ``min_wor
 Documents with the same words are one class with one representative, the least doc_id:
 a class of thousands of copies costs as much as one document, and each level moves only
 hashes of stretches that repeated at the level before. Counts are aggregated in the map
-tasks first, so a passage that a million documents share is one row per task.
+tasks first, so a passage that a million documents share is one row per task. Windows
+found to repeat pass a Bloom filter (16 MB at most) to all workers, so that hardly any
+others are shuffled to be joined with them. Documents are joined with the places of their
+repeated anchors in the scan while these take up ``broadcast_limit`` bytes, else by shuffle.
 
 Defined cases: null, empty and short texts (under ``min_words`` words) have no window;
 rows without doc_id are left out, as no span could be attributed; rows that share doc_id
@@ -35,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .shared import remove, settle, workdir
 from .textkit import U, fmix64, minimizers, powers, slices, window_starts, windows, words
 
-MIN_WORDS = 50
+MIN_WORDS, BROADCAST_LIMIT, SIEVE_BITS = 50, 32 << 20, 27
 _TEXT_BASE, _STRETCH = 0xD6E8FEB86659FD93, 1 << 16
 
 
@@ -141,8 +144,66 @@ def _split(row_starts, row_ends, blob):
         at += e - s
 
 
-def _windows_of(regions: DataFrame, length: int) -> DataFrame:
+class _Sieve:
+    """A Bloom filter of bounded size over hashes, for the workers: rows that it keeps out
+    needn't be shuffled to a join; what it lets through by mistake the join drops."""
+
+    def __init__(self, keys: DataFrame):
+        """``keys`` is a written table with a column h."""
+        size = 1 << min(SIEVE_BITS, max(16, (12 * keys.count()).bit_length()))
+
+        def places(h):
+            h = h.to_numpy().view(U)
+            return [(x & U(size - 1)).astype(np.int64) for x in (h, h >> U(64 - SIEVE_BITS))]
+
+        def mark(batches):
+            bits = np.zeros(size // 8, dtype=np.uint8)
+            for b in batches:
+                for at in places(b["h"]):
+                    np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            pieces = bits.reshape(-1, 1 << 13)
+            used = np.flatnonzero(pieces.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=["piece", "bits"])
+
+        def unite(batches):
+            found: dict[int, np.ndarray] = {}
+            for b in batches:
+                for i, blob in zip(b["piece"].to_pylist(), b["bits"].to_pylist()):
+                    piece = np.frombuffer(blob, dtype=np.uint8)
+                    found[i] = piece | found[i] if i in found else piece
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["piece", "bits"])
+
+        ddl = "piece int, bits binary"
+        bits = np.zeros(size // 8, dtype=np.uint8).reshape(-1, 1 << 13)
+        tasks = 2 * keys.sparkSession.sparkContext.defaultParallelism
+        for r in keys.select("h").coalesce(tasks).mapInArrow(mark, ddl).repartition("piece").mapInArrow(unite, ddl).collect():  # SIEVE_BITS at most
+            bits[r["piece"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+        self.shared, self.places = keys.sparkSession.sparkContext.broadcast(bits.ravel()), places
+
+    def test(self):
+        """What tells, in a worker, which of an array of hashes may be among the keys."""
+        shared, places = self.shared, self.places
+
+        def may(h: pa.Array) -> np.ndarray:
+            one, two = places(h)
+            bits = shared.value
+            return ((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+        return may
+
+    def through(self, rows: DataFrame) -> DataFrame:
+        may = self.test()
+
+        def scan(batches):
+            for b in batches:
+                yield b.filter(pa.array(may(b["h"])))
+
+        return rows.mapInArrow(scan, rows.schema)
+
+
+def _windows_of(regions: DataFrame, length: int, sieve: _Sieve | None = None) -> DataFrame:
     kind = regions.schema["doc_id"].dataType.simpleString()
+    may = sieve.test() if sieve else None
 
     def emit(batches):
         for b in slices(batches, "words", 2 << 20):
@@ -155,7 +216,11 @@ def _windows_of(regions: DataFrame, length: int) -> DataFrame:
                 continue
             row = np.repeat(np.arange(b.num_rows), np.diff(b["starts"].offsets.to_numpy()))[region]
             pos = (at - offsets[region] + starts[region]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(windows(h, length)[at]), b["doc_id"].take(pa.array(row)), pa.array(pos)], names=["h", "doc_id", "pos"])
+            values = _signed(windows(h, length)[at])
+            if may is not None:
+                keep = np.flatnonzero(may(values))
+                values, row, pos = values.take(pa.array(keep)), row[keep], pos[keep]
+            yield pa.RecordBatch.from_arrays([values, b["doc_id"].take(pa.array(row)), pa.array(pos)], names=["h", "doc_id", "pos"])
 
     return regions.mapInArrow(emit, f"h bigint, doc_id {kind}, pos int")
 
@@ -222,7 +287,7 @@ def _spans(runs: DataFrame, least: int) -> DataFrame:
     return grouped.mapInArrow(fold, f"doc_id {kind.simpleString()}, start_word int, end_word int, level int, n_windows int, n_first int")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, level, n_windows, n_first).
 
     Spans are unions of overlapping or touching repeated windows of ``min_words`` words,
@@ -241,24 +306,32 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     classes = scan.where("pos = -1").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     anchors = scan.where("pos >= 0").select("h", "cls", "n", "pos")
     place = F.struct("cls", "n", "pos")
-    again = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    hits = anchors.join(again, "h").groupBy("cls", "n").agg(F.collect_set("pos").alias("anchors"))
-    wanted = hits.join(classes, ["cls", "n"]).select(F.col("rep").alias("__gf_rep"), "cls", "anchors")
-    found = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__gf_rep")).select(known, "text", "cls", "anchors")
+    again = settle(anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h"), f"{at}/again-{base}")
+    hits = _Sieve(again).through(anchors).join(again, "h").groupBy("cls", "n").agg(F.collect_set("pos").alias("anchors"))
+    wanted = settle(hits.join(classes, ["cls", "n"]).select(F.col("rep").alias("__gf_rep"), "cls", "anchors"), f"{at}/wanted")
+    size = wanted.agg(F.sum(64 + 4 * F.size("anchors"))).first()[0] or 0
+    side = F.broadcast(wanted) if size <= broadcast_limit else wanted.hint("shuffle_hash")
+    found = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("__gf_rep")).select(known, "text", "cls", "anchors")
     regions = settle(_regions(found, base, least, f"doc_id {kind}, starts array<int>, ends array<int>, words binary"), f"{at}/regions-{least}")
+    for part in (f"again-{base}", "wanted"):
+        remove(spark, f"{at}/{part}")
 
     runs, length = None, least
     while not regions.isEmpty():
-        places = _windows_of(regions, length)
         spot = F.struct("doc_id", "pos")
-        again = places.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h", "a")
+        again = _windows_of(regions, length).groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h", "a")
+        sieve = None
+        if length == least:  # at later lengths hardly any window is a new one
+            again = settle(again, f"{at}/again-{length}")
+            sieve = _Sieve(again)
         mine = F.when((F.col("a.doc_id") == F.col("doc_id")) & (F.col("a.pos") == F.col("pos")), F.col("pos"))
-        hits = places.join(again, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"), F.collect_set(mine).alias("own"))
+        hits = _windows_of(regions, length, sieve).join(again, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"), F.collect_set(mine).alias("own"))
         level = settle(_runs(regions, hits, length), f"{at}/level-{length}")
         each = level.select("doc_id", F.lit(length).alias("level"), F.inline(F.arrays_zip(F.col("run_start").alias("s"), F.col("run_end").alias("e"), F.col("run_own").alias("own")))).select("doc_id", "level", "s", "e", "own")
         runs = each if runs is None else runs.unionByName(each)
         if length == least:
-            remove(spark, f"{at}/regions-{least}")
+            for part in (f"again-{least}", f"regions-{least}"):
+                remove(spark, f"{at}/{part}")
         regions = level.where("size(starts) > 0").select("doc_id", "starts", "ends", "words")
         length *= 2
 
