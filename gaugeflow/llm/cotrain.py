@@ -43,6 +43,7 @@ from .textkit import U, as_array, fmix64, pieces, slices, utf8_bytes, words
 TEXT_BITS, META_BITS = 18, 12
 MAX_LABELLED, ROUNDS, SCANS, CONFIDENT, BROADCAST_LABELS = 16_000, 2, 16, 0.97, 4_000_000
 SLICE = 1 << 14  # feature sums are added up in pieces of so many
+RUN = 1 << 20
 
 
 @dataclass
@@ -52,19 +53,39 @@ class Sparse:
     index: np.ndarray
     offsets: np.ndarray
 
+    def _runs(self):
+        """Runs of rows of about RUN features, so that what is made of them stays small."""
+        a, n = 0, len(self.offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + RUN, side="right")) - 1)
+            yield a, min(b, n)
+            a = b
+
     def take(self, rows: np.ndarray) -> Sparse:
         size = np.diff(self.offsets)[rows]
-        at = np.repeat(self.offsets[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return Sparse(self.index[at], np.concatenate([[0], np.cumsum(size)]))
+        parts = [np.zeros(0, self.index.dtype)]
+        for i in range(0, len(rows), 1024):
+            own = size[i : i + 1024]
+            at = np.repeat(self.offsets[rows[i : i + 1024]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            parts.append(self.index[at])
+        return Sparse(np.concatenate(parts), np.concatenate([[0], np.cumsum(size)]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(w[self.index])])
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
-
-    @staticmethod
-    def join(parts: list[Sparse]) -> Sparse:
-        size = np.concatenate([np.diff(p.offsets) for p in parts])
-        return Sparse(np.concatenate([p.index for p in parts]), np.concatenate([[0], np.cumsum(size)]))
+        """Sum of the weights of each row's features."""
+        out = np.zeros(len(self.offsets) - 1)
+        for a, b in self._runs():
+            sums = np.concatenate([[0.0], np.cumsum(w[self.index[self.offsets[a] : self.offsets[b]]])])
+            at = self.offsets[a : b + 1] - self.offsets[a]
+            out[a:b] = sums[at[1:]] - sums[at[:-1]]
+        return out
+
+    def scatter(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Sum of the rows' values over each feature."""
+        out = np.zeros(size)
+        for a, b in self._runs():
+            weights = np.repeat(values[a:b], np.diff(self.offsets[a : b + 1]))
+            out += np.bincount(self.index[self.offsets[a] : self.offsets[b]], weights=weights, minlength=size)
+        return out
 
     @staticmethod
     def of(rows: np.ndarray, index: np.ndarray, n: int) -> Sparse:
@@ -147,9 +168,7 @@ def fit(x: Sparse, y: np.ndarray, size: int, more: tuple | None = None, steps: i
     the words that only they have. ``more`` has the sums (good, bad) over further rows by
     feature, the numbers of rows last. A generator: it gives the weights after each step
     that needs the gradient over further rows, which is to be sent, and after the last."""
-    each = np.diff(x.offsets)
-    good = np.bincount(x.index, weights=np.repeat(y, each), minlength=size).astype(float)
-    bad = np.bincount(x.index, weights=np.repeat(1 - y, each), minlength=size).astype(float)
+    good, bad = x.scatter(y, size), x.scatter(1 - y, size)
     n_good, n_bad, rows, n = y.sum(), (1 - y).sum(), good + bad, len(y)
     if more is not None:
         rows = rows + more[0][:-1] + more[1][:-1]
@@ -165,7 +184,7 @@ def fit(x: Sparse, y: np.ndarray, size: int, more: tuple | None = None, steps: i
         if more is not None:  # all weights are 0 at first, and the sums give the gradient
             further = (yield w) if step else 0.5 * (more[1] - more[0])
         error = _sigmoid(x.dot(w[:-1]) + w[-1]) - y
-        g = np.append(np.bincount(x.index, weights=np.repeat(error, each), minlength=size), error.sum())
+        g = np.append(x.scatter(error, size), error.sum())
         if more is not None:
             g += 0.5 * further
         g = g / n * scale
@@ -296,11 +315,10 @@ def _sums(free: DataFrame, givers: dict, confident: float, takers: dict | None =
                     w, calibration = givers[OTHER[k]]
                     p = _sigmoid(score(x[OTHER[k]], w) * calibration[0] + calibration[1])
                     sure, y = (p >= confident) | (p <= 1 - confident), p >= 0.5
-                    each = np.diff(x[k].offsets)
                     values = [sure & y, sure & ~y] if takers is None else [np.where(sure, _sigmoid(score(x[k], takers[k])) - y, 0.0)]
                     for j, value in enumerate(values):
                         lo = ends[k][0] + j * (size + 1)
-                        total[lo : lo + size] += np.bincount(x[k].index, weights=np.repeat(value, each), minlength=size)
+                        total[lo : lo + size] += x[k].scatter(value, size)
                         total[lo + size] += value.sum()
         pieces = range(0, at, SLICE)
         yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in pieces], pa.int32()), pa.array([total[i : i + SLICE].tobytes() for i in pieces], pa.binary())], names=["piece", "sums"])

@@ -91,7 +91,7 @@ def utf8_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, column: str = "text", limit: int = 4 << 20):
+def slices(batches, column: str = "text", limit: int = 2 << 20):
     """The record batches in slices of whole rows of about ``limit`` bytes of text, which
     bounds a worker's memory whatever the rows of a batch."""
     for b in batches:
