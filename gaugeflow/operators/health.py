@@ -49,7 +49,7 @@ def single_run_means(runs: DataFrame, model: str) -> DataFrame:
     return own.join(F.broadcast(shared), "metric").where("run_idx < r AND r >= 2").groupBy("metric", "run_idx").agg(F.avg("score").alias("mean_score"))
 
 
-REASONS = ("missing_runs_a", "missing_runs_b", "nonfinite_a", "nonfinite_b", "score_run_mean_disagreement", "singleton_in_mixed")
+REASONS = (*(f"{what}_{side}" for what in ("missing_runs", "nonfinite") for side in "ab"), "score_run_mean_disagreement", "singleton_in_mixed")
 
 
 def rerun_eligible(cells: DataFrame, runs: DataFrame, a: str, b: str) -> DataFrame:

@@ -71,9 +71,9 @@ class SuiteReport:
     def to_dict(self) -> dict:
         each = lambda key: {m: t[key] for m, t in self.tests.items()}
         return plain({
-            "overall_level": self.level, "alpha": self.alpha, "corrected_alpha": self.corrected_alpha, "correction": self.correction, "metric_alphas": each("alpha"),
-            "adjusted_p": each("adjusted_p"), "tests": self.tests, "applied_gates": sorted(self.gates & set(self.reports)), "applied_weights": {},
-            "metrics": {name: report.to_dict() for name, report in self.reports.items()}, "methodology_version": METHODOLOGY_VERSION, "schema_version": SCHEMA_VERSION,
+            "correction": self.correction, "overall_level": self.level, "metric_alphas": each("alpha"), "corrected_alpha": self.corrected_alpha, "tests": self.tests,
+            "adjusted_p": each("adjusted_p"), "alpha": self.alpha, "applied_weights": {}, "applied_gates": sorted(self.gates & set(self.reports)),
+            "methodology_version": METHODOLOGY_VERSION, "schema_version": SCHEMA_VERSION, "metrics": {name: report.to_dict() for name, report in self.reports.items()},
         })
 
     def raise_if_below(self, minimum: str) -> None:

@@ -207,8 +207,8 @@ def scores(**by_metric):
 
 
 def test_each_metric_of_a_suite_is_held_to_its_own_level(spark, write):
-    p = write("s.json", scores(strong=([0] * 12, [1] * 12), border=([0] * 10 + [1] * 2, [1] * 10 + [0] * 2)))
-    run = lambda c: api.audit_suite(spark, p, model_a="A", model_b="B", config=AuditConfig(n_resamples=300, correction=c))
+    p = write("s.json", scores(strong=([0] * 12, [1] * 12), border=([int(i == 4) for i in range(9)], [int(i != 4) for i in range(9)])))
+    run = lambda c: api.audit_suite(spark, p, config=AuditConfig(n_resamples=300, correction=c), model_b="B", model_a="A")
     holm, bonferroni, none = run("holm"), run("bonferroni"), run("none")
     decision = lambda r, m: next(f for f in r.reports[m].findings if f.check == "decision").details
     assert decision(bonferroni, "border")["outcome"] != "significant" and decision(holm, "border")["outcome"] == "significant"
@@ -224,7 +224,7 @@ def test_equivalence_is_claimed_at_the_corrected_level(spark, write):
     rng = np.random.default_rng(3)
     noise = rng.normal(0, 0.148, 60).round(4)
     p = write("e.json", scores(**{k: ([0.5] * 60, (0.5 + noise - noise.mean()).tolist()) for k in "uvwx"}))
-    run = lambda c: api.audit_suite(spark, p, model_a="A", model_b="B", config=AuditConfig(n_resamples=4000, correction=c))
+    run = lambda c: api.audit_suite(spark, p, config=AuditConfig(n_resamples=4000, correction=c), model_b="B", model_a="A")
     numbers = {c: run(c).reports["u"].numbers for c in ("none", "bonferroni", "holm")}
     assert numbers["bonferroni"]["eq_low"] < numbers["none"]["eq_low"] and numbers["bonferroni"]["eq_high"] > numbers["none"]["eq_high"]
     assert numbers["holm"]["eq_low"] == numbers["bonferroni"]["eq_low"]
@@ -240,15 +240,15 @@ def preferences_of(spark, **wins):
 
 
 def test_preferences_of_a_suite_are_one_family(spark):
-    prefs, models = preferences_of(spark, m1="A" * 9 + "B", m2="A" * 8 + "B")
+    prefs, models = preferences_of(spark, u="A" * 9 + "B", v="A" * 8 + "B")
     none = spark.createDataFrame([], "metric string, example_id string, model string, score double, ord bigint")
-    s = api.audit_suite(spark, EvalFrames(none, models, preferences=prefs), config=AuditConfig(correction="holm", n_resamples=50, seed=3))
-    assert {m: t["alpha"] for m, t in s.tests.items()} == {"m1": 0.025, "m2": 0.05}
-    assert {m: t["adjusted_p"] for m, t in s.tests.items()} == pytest.approx({"m1": 0.04296875, "m2": 0.04296875})
+    s = api.audit_suite(spark, EvalFrames(none, models, preferences=prefs), config=AuditConfig(n_resamples=60, seed=2, correction="holm"))
+    assert {m: t["alpha"] for m, t in s.tests.items()} == {"u": 0.025, "v": 0.05}
+    assert {m: t["adjusted_p"] for m, t in s.tests.items()} == pytest.approx({"u": 0.04296875, "v": 0.04296875})
     assert all(next(f for f in r.findings if f.check == "preference_significance").details["significant"] for r in s.reports.values())
-    both = spark.createDataFrame([(m, f"e{i}", x, float(x == "A"), i) for m in ("m1", "m2") for i in range(10) for x in "AB"], none.schema)
+    both = spark.createDataFrame([(m, f"e{i}", x, float(x == "A"), i) for m in ("u", "v") for i in range(10) for x in "AB"], none.schema)
     with pytest.raises(ValueError, match="scores and of preferences"):
-        api.audit_suite(spark, EvalFrames(both, models, preferences=prefs), config=AuditConfig(correction="holm", n_resamples=50))
+        api.audit_suite(spark, EvalFrames(both, models, preferences=prefs), config=AuditConfig(n_resamples=60, correction="holm"))
 
 
 def ranked(spark, groups, n=12):
@@ -314,27 +314,27 @@ def test_reasons_why_ranks_are_not_resampled(spark):
 
 def test_reruns_are_predicted_from_eligible_examples(spark):
     streams = {
-        "both": ({"A": 1.5, "B": 2.0}, {"A": [1.0, 2.0], "B": [2.0, 2.0, 2.0]}), "other": ({"A": 0.0, "B": 1.0}, {"A": [0.0, 0.0], "B": [0.5, 1.5]}),
-        "no a": ({"B": 1.0}, {"A": [1.0], "B": [1.0]}), "no runs b": ({"A": 1.0, "B": 1.0}, {"A": [1.0, 1.0]}), "odd": ({"A": 1.0, "B": 1.0}, {"A": [float("inf"), 1.0], "B": [1.0, 1.0]}),
-        "apart": ({"A": 1.0, "B": 1.0}, {"A": [1.0, 2.0], "B": [1.0, 1.0]}), "single": ({"A": 1.0, "B": 3.0}, {"A": [1.0], "B": [2.0, 4.0]}),
+        "both": ({"P": 1.5, "Q": 2.0}, {"P": [1.0, 2.0], "Q": [2.0, 2.0, 2.0]}), "other": ({"P": 0.0, "Q": 1.0}, {"P": [0.0, 0.0], "Q": [0.5, 1.5]}),
+        "no a": ({"Q": 1.0}, {"P": [1.0], "Q": [1.0]}), "no runs b": ({"P": 1.0, "Q": 1.0}, {"P": [1.0, 1.0]}), "odd": ({"P": 1.0, "Q": 1.0}, {"P": [float("inf"), 1.0], "Q": [1.0, 1.0]}),
+        "apart": ({"P": 1.0, "Q": 1.0}, {"P": [1.0, 2.0], "Q": [1.0, 1.0]}), "single": ({"P": 1.0, "Q": 3.0}, {"P": [1.0], "Q": [2.0, 4.0]}),
     }
     cells_ = spark.createDataFrame([("score", e, m, v) for e, (s, _) in streams.items() for m, v in s.items()], "metric string, example_id string, model string, score double")
     runs = spark.createDataFrame([("score", e, m, i, v) for e, (_, r) in streams.items() for m, vs in r.items() for i, v in enumerate(vs)], "metric string, example_id string, model string, run_idx int, score double")
-    r = health.rerun_prediction(health.rerun_eligible(cells_, runs, "A", "B"), 2).first().asDict()
-    assert (r["n_total"], r["n"]) == (7, 2) and {k: r[k] for k in health.REASONS} == {"missing_runs_a": 1, "missing_runs_b": 1, "nonfinite_a": 1, "nonfinite_b": 0, "score_run_mean_disagreement": 1, "singleton_in_mixed": 1}
+    r = health.rerun_prediction(health.rerun_eligible(cells_, runs, "P", "Q"), 2).first().asDict()
+    assert (r["n_total"], r["n"]) == (7, 2) and [r[k] for k in health.REASONS] == [1, 1, 1, 0, 1, 1]
     q = [0.5 * (1 / 2 + 1 / 2), 0.0, 0.0, 0.5 * (1 / 2 + 1 / 2)]
     assert r["mean_gap"] == pytest.approx(0.75) and r["variance"] == pytest.approx(sum(q) / 4) and r["df"] == pytest.approx(sum(q) ** 2 / sum(x * x for x in q))
-    f = predictive_rerun(r, "A", "B", 2)
+    f = predictive_rerun(r, "P", "Q", 2)
     assert f.status == "pass" and f.details["range_low"] < 0.75 < f.details["range_high"] and f.details["reason_counts"]["nonfinite_a"] == 1
-    alone = health.rerun_prediction(health.rerun_eligible(cells_.where("example_id = 'no a'").union(spark.createDataFrame([("score", "no a", "A", 1.0)], cells_.schema)), runs.where("example_id = 'no a'"), "A", "B"), 2).first().asDict()
-    assert alone["degenerate"] == "single_run" and predictive_rerun(alone, "A", "B", 2).details["probability_a_better"] is None
-    assert predictive_rerun(None, "A", "B", 2).status == "skip"
+    alone = health.rerun_prediction(health.rerun_eligible(cells_.where("example_id = 'no a'").union(spark.createDataFrame([("score", "no a", "P", 1.0)], cells_.schema)), runs.where("example_id = 'no a'"), "P", "Q"), 2).first().asDict()
+    assert alone["degenerate"] == "single_run" and predictive_rerun(alone, "P", "Q", 2).details["probability_a_better"] is None
+    assert predictive_rerun(None, "P", "Q", 2).status == "skip"
 
 
 def test_win_rate_of_clusters_by_first_appearance(spark, write):
     rng = np.random.default_rng(2)
     examples = [{"id": f"e{i:02d}", "scores": {"A": float(rng.integers(0, 3)), "B": float(rng.integers(0, 3))}} | ({"group_id": "cab"[i % 3]} if i < 12 else {}) for i in range(16)]
-    r = api.audit(spark, write("w.json", {"models": ["A", "B"], "examples": examples}), model_a="A", model_b="B", config=AuditConfig(n_resamples=500, win_rate=True, seed=4))
+    r = api.audit(spark, write("w.json", {"models": ["A", "B"], "examples": examples}), config=AuditConfig(win_rate=True, seed=4, n_resamples=500), model_b="B", model_a="A")
     d = next(f for f in r.findings if f.check == "paired_win_rate").details
     credit = [1.0 if e["scores"]["A"] > e["scores"]["B"] else 0.5 if e["scores"]["A"] == e["scores"]["B"] else 0.0 for e in examples]
     clusters: dict = {}
