@@ -2,10 +2,12 @@
 
 import html
 import os
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -13,7 +15,7 @@ import corpus_pipeline
 from gaugeflow.llm import fuzzyhash, tokens
 from gaugeflow.llm.queries import ORACLE_SQL, QUERIES
 
-from .helpers import words
+from .helpers import WORD, words
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -114,7 +116,77 @@ def test_quality_and_language_agree_with_what_is_known(spark, docs):
     assert np.mean([lang[d] == k for d, k in zip(docs["doc_id"].to_pylist(), docs["lang"].to_pylist())]) > 0.97
 
 
-def test_pipeline_keeps_windows_of_kept_documents(spark, docs):
+def test_languages_of_the_query_against_sets_of_grams(spark, docs):
+    def grams(text):
+        raw = bytes(c if WORD.fullmatch(bytes([c])) else 32 for c in (text or "").lower().encode())
+        return [g for g in (raw[i : i + 4] for i in range(len(raw) - 3)) if g.count(32) < 2]
+
+    table = docs.select(["doc_id", "text", "lang"]).to_pylist()
+    each = {r["doc_id"]: grams(r["text"]) for r in table}
+    counts: dict[str, Counter] = {}
+    for r in table:
+        if r["lang"] is not None and r["text"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(each[r["doc_id"]])
+    rates = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    best: dict[bytes, float] = {}
+    for rate in rates.values():
+        for g, x in rate.items():
+            best[g] = max(x, best.get(g, 0))
+    sets = {k: {g for g, x in rate.items() if counts[k][g] >= 5 and x >= 1e-6 and x >= 0.02 * best[g]} for k, rate in rates.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op10_language_id"](spark, SF).collect()}
+    assert set(got) == set(each)
+    for d, g in each.items():
+        if not g:
+            assert got[d]["lang_id"] is None and got[d]["share"] == 0
+            continue
+        share = sorted(((sum(x in s for x in g) / len(g), k) for k, s in sets.items()), reverse=True)
+        noise = 0.02 + 0.2 / len(g) ** 0.5  # of the filter's wrong answers
+        assert abs(got[d]["share"] - share[0][0]) <= noise
+        if share[0][0] - share[1][0] > noise and share[0][0] - 0.3 > noise:
+            assert got[d]["lang_id"] == share[0][1]
+
+
+def test_pipeline_against_brute_force(spark, docs):
+    """Its windows against plain loops over the documents that the classifier keeps."""
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
-    packed = {p["doc_id"] for r in corpus_pipeline.run(spark, SF).collect() for p in r["pieces"]}
-    assert packed and packed <= set(docs["doc_id"].to_pylist())
+    good = {r["doc_id"] for r in QUERIES["op6_quality"](spark, SF).where("keep").collect()}
+    visible = re.compile(r"[^ \t\n\x0b\f\r]").search
+    held, left = set(), {}
+    for d, text in sorted(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist())):
+        if d in good:
+            lines, lost = [], False
+            for line in text.split("\n"):
+                if visible(line) and line in held:
+                    lost = True
+                else:
+                    lines.append(line)
+                    held.add(line)
+            if not lost or visible("\n".join(lines)):
+                left[d] = "\n".join(lines)
+    ids = list(left)
+    distinct, sets, ones = fuzzyhash.signatures(pa.array(left.values(), pa.string()))
+    bits = 2 * ones > distinct[:, None]
+    root = {d: d for d in ids}  # in ascending order, so the least of a group stays
+    for i, d in enumerate(ids):
+        for j in range(i):
+            both_long = min(distinct[i], distinct[j]) >= fuzzyhash.LEAST_WORDS
+            if distinct[i] and distinct[j] and (sets[i] == sets[j] or (both_long and (bits[i] != bits[j]).sum() <= fuzzyhash.DISTANCE)):
+                a, b = sorted((root[d], root[ids[j]]))
+                root = {k: a if r == b else r for k, r in root.items()}
+
+    def runs(text):
+        w = words(text)
+        return {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+
+    leaked = set().union(*(runs(t) for t in pq.read_table(f"{SF}/benchmark.parquet")["text"].to_pylist()))
+    encode = tokens.encoder(tokens.BYTE_BPE).encode_ordinary
+    places = {d: len(encode(t)) + 1 for d, t in left.items() if t and not runs(t) & leaked}
+    want = {d for d in places if root[d] == d}
+    got = Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r["n_tokens"] == sum(p["places"] for p in r["pieces"]) <= 2048
+        for p in r["pieces"]:
+            got[p["doc_id"]] += p["places"]
+    # keys may miss a pair of copies, which then both stay
+    assert want <= set(got) and len(set(got) - want) <= 0.01 * len(want)
+    assert want and all(n == places[d] for d, n in got.items())
