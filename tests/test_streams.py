@@ -107,3 +107,37 @@ def _binomials(n: int, k: int):
     for i in range(k + 1):
         yield each
         each = each * (n - i) // (i + 1)
+
+
+def test_metrics_of_a_suite_are_summed_together(spark, tmp_path):
+    """One aggregation over lines, and a line without a score counts for no mean, as in SQL."""
+    import duckdb
+
+    from gaugeflow import views
+
+    rows = [(1, "A", 0.05, 0.01, 10.0), (1, "A", 0.07, None, 20.0), (1, "R", None, 0.03, 5.0), (2, "N", 0.1, 0.08, None)]
+    spark.createDataFrame(rows, "l_partkey bigint, l_returnflag string, l_discount double, l_tax double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = views.suite_cells(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"WITH {views.SUITE} SELECT metric, example_id, model, score FROM cells").fetchall()
+    assert sorted(map(tuple, got.select("metric", "example_id", "model", "score").collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan.split("Aggregate")[-1] and plan.count("Aggregate") == 1
+
+
+def test_hash_draws_of_whole_vectors_are_those_of_rows(spark, split):
+    import hashlib
+
+    from gaugeflow.operators import hashdraws
+
+    for seed, replicate, n in ((0, 0, 12), (17, 199, 1001)):
+        got = np.concatenate([w for _, w in hashdraws.draws(seed, replicate, n)])
+        assert got.tolist() == [int(hashlib.md5(f"{seed}|{replicate}|{s}".encode()).hexdigest()[:8], 16) for s in range(n)]
+    x = np.random.default_rng(4).normal(size=1001)
+    values = spark.createDataFrame([(7 * i, float(v)) for i, v in enumerate(x)], "slot bigint, x double").repartition(3)
+    found = resample.portable_means(values, 20, 5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # no row a draw
+    for r in found.collect():
+        pick = [int(hashlib.md5(f"5|{r['replicate']}|{s}".encode()).hexdigest()[:8], 16) % 1001 for s in range(1001)]
+        assert r["mean"] == x[pick].mean()
