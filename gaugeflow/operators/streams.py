@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import folder
+from . import hashdraws
 
 #: Draws of a task, tasks of a form and group at most (each gets a copy of the vector), values
 #: drawn at a time, bytes of a row of a stored vector, words that the driver counts itself.
@@ -133,7 +134,8 @@ class Values:
 class Means:
     """The mean of n values drawn with replacement."""
 
-    signs, width = False, 1
+    #: Signs take every word; hashed draws take none; the cost of a draw decides on tasks.
+    signs, hashed, width, cost = False, False, 1, 1
 
     def __init__(self, vectors: dict):
         self.x = Values(vectors)
@@ -153,6 +155,18 @@ class Means:
         return (self.x.total() / self.x.n,)
 
 
+class HashedMeans(Means):
+    """The mean of n values drawn by hashes instead of a stream: ``functions.draws``."""
+
+    hashed, cost = True, 20
+
+    def __call__(self, seed: int, replicate: int) -> tuple:
+        self.x.begin()
+        for lo, words in hashdraws.draws(seed, replicate, self.x.n):
+            self.x.take(lo, (words % np.uint32(self.x.n)).astype(np.int64))
+        return self.found()
+
+
 class Pooled(Means):
     """Means of drawn clusters, from the sum and the size of each."""
 
@@ -167,7 +181,7 @@ class Pooled(Means):
 class Flips:
     """The total of values under random signs."""
 
-    signs, width = True, 1
+    signs, hashed, width, cost = True, False, 1, 1
 
     def __init__(self, vectors: dict, name: str = "x"):
         self.values = np.ascontiguousarray(Values(vectors, name).all())
@@ -195,8 +209,10 @@ class Draws:
     names: tuple[str, ...] = ("x",)
 
 
-def _perform(draws: Draws, vectors: dict, count: int, word: int, skip: int) -> np.ndarray:
+def _perform(draws: Draws, vectors: dict, count: int, word: int, skip: int, first: int = 0) -> np.ndarray:
     form, rng = draws.form(vectors), generator(draws.seed, word)
+    if form.hashed:
+        return np.array([form(draws.seed, first + i) for i in range(count)])
     for lo in range(0, skip, BLOCK):
         rng.integers(0, draws.n, size=min(BLOCK, skip - lo))
     out = np.empty((count, form.width))
@@ -231,18 +247,18 @@ def spread(frame: DataFrame, by: list[str], prepare: Callable, plan: Callable, f
     units, wanted = [], {}
     for vec, each in plans.items():
         for k, d in enumerate(each):
-            parts = min(PARTS, d.times, max(1, -(-d.times * d.n // WORK)))
+            parts = min(PARTS, d.times, max(1, -(-d.times * d.n * d.form.cost // WORK)))
             edges = [d.times * i // parts for i in range(parts + 1)]
             units += [(vec, k, d, lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
-            if not d.form.signs:
+            if not (d.form.signs or d.form.hashed):
                 wanted.setdefault((d.seed, d.n), []).extend(lo * d.n for lo in edges[:-1])
     begin = starts(spark, wanted)
     work, sent, load, part = {}, [], 0, 0
     for i, (vec, k, d, lo, count) in enumerate(units):
-        if load and load + count * d.n > WORK:
+        if load and load + count * d.n * d.form.cost > WORK:
             load, part = 0, part + 1
-        load += count * d.n
-        word, skip = (lo * d.n, 0) if d.form.signs else begin[d.seed, d.n][lo * d.n]
+        load += count * d.n * d.form.cost
+        word, skip = (lo * d.n, 0) if d.form.signs or d.form.hashed else begin[d.seed, d.n][lo * d.n]
         work[i] = (vec, k, d, lo, count, word, skip)
         sent += [(vec, name, i, part) for name in about[vec][1] if name.split(".")[0] in d.names]
     kinds = {vec: k for vec, (_, k) in about.items()}
@@ -258,7 +274,7 @@ def spread(frame: DataFrame, by: list[str], prepare: Callable, plan: Callable, f
             for name, pieces in held.pop(i).items():
                 kind, shape = kinds[vec][name]
                 vectors[name] = np.concatenate([np.frombuffer(p, dtype=np.dtype(kind)) for _, p in sorted(pieces, key=lambda p: p[0])]).reshape(shape)
-            found = _perform(d, vectors, count, word, skip)
+            found = _perform(d, vectors, count, word, skip, lo)
             yield pa.RecordBatch.from_arrays([pa.array([vec]), pa.array([k], pa.int32()), pa.array([lo], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["vec", "k", "lo", "data"])
 
     found: dict[tuple[str, int], list] = {}
