@@ -3,6 +3,7 @@ balance as score, are written as files of each format and read back by ``sources
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +23,22 @@ def _cells(data: EvalFrames) -> DataFrame:
     return data.cells.select("metric", "example_id", "model", *r6("score"))
 
 
-def _document(spark, sf, name: str, element: str, before: str = "[", after: str = "]") -> str:
-    """One JSON document with an element per customer; such a document is a single record."""
-    path = f"{folder(spark, name)}/{name}.json"
+def _document(spark, sf, name: str, element: str, before: str = "[", after: str = "]", suffix: str = "json") -> str:
+    """One JSON document with an element per customer; such a document is a single record.
+    One task writes it, a line an element, and never holds more than some of them."""
+    path = f"{folder(spark, name)}/{name}.{suffix}"
+
+    def lines(batches):
+        first = True
+        yield pa.RecordBatch.from_arrays([pa.array([before])], names=["t"])
+        for b in batches:
+            texts = b["e"].to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([t if first and i == 0 else f",{t}" for i, t in enumerate(texts)], pa.string())], names=["t"])
+            first = first and not texts
+        yield pa.RecordBatch.from_arrays([pa.array([after])], names=["t"])
+
     rows = _customers(spark, sf).selectExpr("c_custkey AS k", f"to_json({element}) AS e")
-    text = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]), ",").alias("t"))
-    text.select(F.concat(F.lit(before), "t", F.lit(after))).coalesce(1).write.text(path)
+    rows.repartition(1).sortWithinPartitions("k", "e").select("e").mapInArrow(lines, "t string").write.text(path)
     return path
 
 
@@ -94,9 +105,7 @@ def load_json_records(spark, sf):
 @query("load_misnamed_array", f"SELECT 'score' AS metric, {_LONG}")
 def load_misnamed_array(spark, sf):
     """A JSON array in a file named as JSON lines."""
-    path = f"{folder(spark, 'array')}/array.jsonl"
-    _customers(spark, sf).agg(F.to_json(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.expr(_MODEL).alias("model"), F.col("c_acctbal").alias("score")))).alias("t")).write.text(path)
-    return _cells(load.load_suite(spark, path))
+    return _cells(load.load_suite(spark, _document(spark, sf, "array", f"named_struct('id', c_custkey, 'model', {_MODEL}, 'score', c_acctbal)", suffix="jsonl")))
 
 
 @query("load_preferences", "SELECT CAST(c_custkey AS VARCHAR) AS example_id, 'default' AS judge, CASE c_nationkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS winner, c_nationkey % 3 = 2 AS is_tie FROM customer")

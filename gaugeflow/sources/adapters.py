@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import coerce_score
 from .roles import extract
-from .rows import LIST_WRAPPERS, elements
+from .rows import LIST_WRAPPERS, elements, settled
 
 RAW = ["metric", "example_id", "model", "judge", "raw", "row_ord", "counted"]
 
@@ -43,8 +43,9 @@ def _place() -> Column:
 
 def _mean_of(texts: Column) -> Column:
     """Mean of the readable scores of an array of texts; null without any."""
-    good = F.filter(F.transform(texts, coerce_score), lambda x: x.isNotNull())
-    return F.when(F.size(good) > 0, F.aggregate(good, F.lit(0.0), lambda a, x: a + x) / F.size(good))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    add = lambda a, x: F.when(x.isNull(), a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")))
+    return F.aggregate(F.transform(texts, coerce_score), start, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,8 @@ RAGAS_METRICS = tuple(sorted(
 
 
 def ragas(doc: DataFrame) -> DataFrame:
-    return _raw(elements(doc), F.lit("score"), _place(), F.lit("model"), _mean_of(F.array(*[at(f"$.{m}") for m in RAGAS_METRICS])))
+    fields = elements(doc).select("row_ord", F.json_tuple("row", *RAGAS_METRICS).alias(*RAGAS_METRICS))  # an element is parsed once
+    return _raw(fields, F.lit("score"), _place(), F.lit("model"), _mean_of(F.array(*RAGAS_METRICS)))
 
 
 HELM_BOOKKEEPING = tuple("num_completions num_instances num_output_tokens num_prompt_tokens num_references num_train_instances num_trials prompt_truncated".split())
@@ -192,7 +194,8 @@ def _mlflow_columns(raw) -> list[str]:
 def mlflow(doc: DataFrame) -> DataFrame:
     inner = doc.select(F.coalesce(F.get_json_object("value", "$.eval_results_table"), F.col("value")).alias("value"))
     table = inner.select(F.from_json(F.get_json_object("value", "$.columns"), "array<string>").alias("c"), F.from_json(F.get_json_object("value", "$.data"), "array<array<string>>").alias("d"))
-    split = table.where("c IS NOT NULL").select("c", F.posexplode("d").alias("row_ord", "v")).select(F.col("row_ord").cast("long").alias("row_ord"), F.inline(F.arrays_zip(F.col("c").alias("c"), F.col("v").alias("v"))))
+    split = settled(table.where("c IS NOT NULL").select("c", F.posexplode("d").alias("row_ord", "v")).withColumn("row_ord", F.col("row_ord").cast("long")))
+    split = split.select("row_ord", F.inline(F.arrays_zip(F.col("c").alias("c"), F.col("v").alias("v"))))
     listed = elements(inner).select("row_ord", F.explode(F.map_entries(F.from_json("row", "map<string,string>"))).alias("e")).select("row_ord", F.col("e.key").alias("c"), F.col("e.value").alias("v"))
     cells = split.unionByName(listed)
     metric = F.when(F.col("c").rlike("^.+/score$"), F.regexp_extract("c", "^(.+)/score$", 1)).when(F.col("c").isin("token_count", "latency"), F.col("c"))
@@ -227,16 +230,23 @@ def lighteval(doc: DataFrame) -> DataFrame:
 
 
 def native(doc: DataFrame) -> DataFrame:
+    return native_scores(native_examples(doc))
+
+
+def native_examples(doc: DataFrame) -> DataFrame:
+    return _of(doc, "examples")
+
+
+def native_scores(rows: DataFrame) -> DataFrame:
     """Plain scores; runs, judges, preferences, attributes and groups come from ``native_parts``."""
-    rows = _of(doc, "examples")
     one = rows.select("row_ord", F.coalesce(at("$.id"), _place()).alias("e"), F.explode(F.map_entries(F.from_json(at("$.scores"), "map<string,string>"))).alias("s"))
     return _raw(one, F.lit("score"), F.col("e"), F.col("s.key"), F.col("s.value"))
 
 
-def native_parts(doc: DataFrame) -> dict[str, DataFrame]:
+def native_parts(rows: DataFrame) -> dict[str, DataFrame]:
     """Tables of the nested form beside its scores. A run list with one unreadable value is
     left out, of judges only the unreadable cell."""
-    rows = _of(doc, "examples").select("row_ord", F.coalesce(at("$.id"), _place()).alias("example_id"), "row")
+    rows = rows.select("row_ord", F.coalesce(at("$.id"), _place()).alias("example_id"), "row")
     entry = lambda path, kind: F.explode(F.map_entries(F.from_json(at(path), kind)))
     runs = rows.select("example_id", entry("$.runs", "map<string,array<string>>").alias("r")).withColumn("v", F.transform("r.value", coerce_score)).where("forall(v, x -> x IS NOT NULL)")
     runs = runs.select(F.lit("score").alias("metric"), "example_id", F.col("r.key").alias("model"), F.posexplode("v").alias("run_idx", "score"))

@@ -61,14 +61,15 @@ def _document(spark, path, all_metrics):
     found = adapters.detect(rows.peek(doc))
     if found.name == "generic":
         return _frames(*roles.extract(adapters._of(doc, *rows.LIST_WRAPPERS)), "generic", {}, all_metrics)
-    raw = found.parse(doc)
+    examples = adapters.native_examples(doc) if found.name == "native" else None
+    raw = found.parse(doc) if examples is None else adapters.native_scores(examples)
     raw = adapters.quality_only(raw) if found.name == "helm" and all_metrics else raw
     if not all_metrics:
         raw = _primary(raw, found)
-    frames = _frames(raw, None, found.name, {}, True)
-    if found.name != "native":
+    frames = _frames(rows.settled(raw), None, found.name, {}, True)
+    if examples is None:
         return frames
-    parts = adapters.native_parts(doc)
+    parts = adapters.native_parts(examples)
     has = {k: v if v.head(1) else None for k, v in parts.items()}
     declared = doc.select(F.posexplode(F.from_json(F.get_json_object("value", "$.models"), "array<string>")).alias("model_ord", "model")).select(F.lit("score").alias("metric"), "model", "model_ord")
     return replace(frames, models=declared if declared.head(1) else frames.models, **has)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder
+
 LIST_WRAPPERS = tuple("results data rows outputs samples records predictions evaluations".split())
 
 
@@ -22,9 +24,19 @@ def document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """``table`` written once and spread by ``row_ord``: what comes out of a document, which is
+    one record, is read from it once only and worked on by all tasks."""
+    spark = table.sparkSession
+    path = f"{folder(spark, 'elements')}/all"
+    table.repartition(2 * spark.sparkContext.defaultParallelism, "row_ord").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def elements(doc: DataFrame, column: str = "value") -> DataFrame:
     """The elements of a JSON array, each as JSON text."""
-    return doc.select(F.posexplode(F.from_json(column, "array<string>")).alias("row_ord", "row")).select(F.col("row_ord").cast("long").alias("row_ord"), "row")
+    found = doc.select(F.posexplode(F.from_json(column, "array<string>")).alias("row_ord", "row"))
+    return settled(found.select(F.col("row_ord").cast("long").alias("row_ord"), "row"))
 
 
 _BLANK = re.compile(r"[ \t\n\r]*")

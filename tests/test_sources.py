@@ -445,3 +445,22 @@ def test_streamed_totals_equal_the_batch(spark, tmp_path):
     assert key(t.cells()) == key(score_cells(records))
     t.apply(records.limit(0), 99)
     assert key(t.cells()) == key(score_cells(records))
+
+
+def test_documents_are_read_once_and_worked_on_by_all_tasks(spark, write):
+    """After its split, nothing reads the document again, and its elements are in several files."""
+    raw = {"models": ["A", "B"], "examples": [{"id": i, "scores": {"A": i, "B": 1}, "runs": {"A": [i, 1], "B": [1, 1]}, "group_id": "g"} for i in range(200)]}
+    data = load.load_suite(spark, write("one.json", raw))
+    for part in (data.cells, data.runs, data.groups):
+        assert not any("one.json" in f for f in part.inputFiles()) and len(part.inputFiles()) > 1
+    assert data.cells.count() == 400 and data.runs.count() == 800 and data.groups.count() == 200
+
+
+def test_a_document_is_written_line_by_line(spark, tmp_path):
+    from gaugeflow import source_queries
+
+    for n in (0, 1, 30_000):
+        spark.range(n).selectExpr("id AS c_custkey").repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/sf/customer.parquet")
+        path = source_queries._document(spark, f"{tmp_path}/sf", "lines", "named_struct('k', c_custkey)", '{"a": [', "]}")
+        text = spark.read.text(path, wholetext=True).collect()
+        assert len(text) == 1 and json.loads(text[0]["value"]) == {"a": [{"k": i} for i in range(n)]}
