@@ -30,15 +30,16 @@ def _document(spark, sf, name: str, element: str, before: str = "[", after: str
 
     def lines(batches):
         first = True
-        yield pa.RecordBatch.from_arrays([pa.array([before])], names=["t"])
         for b in batches:
-            texts = b["e"].to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([t if first and i == 0 else f",{t}" for i, t in enumerate(texts)], pa.string())], names=["t"])
-            first = first and not texts
-        yield pa.RecordBatch.from_arrays([pa.array([after])], names=["t"])
-
-    rows = _customers(spark, sf).selectExpr("c_custkey AS k", f"to_json({element}) AS e")
-    rows.repartition(1).sortWithinPartitions("k", "e").select("e").mapInArrow(lines, "t string").write.text(path)
+            out = []
+            for part, text in zip(b["part"].to_pylist(), b["e"].to_pylist()):
+                out.append(text if part != 1 or first else f",{text}")
+                first = first and part != 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
+
+    rows = _customers(spark, sf).selectExpr("1 AS part", "CAST(c_custkey AS bigint) AS k", f"to_json({element}) AS e")
+    ends = spark.createDataFrame([(0, None, before), (2, None, after)], "part int, k bigint, e string")
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("part", "k", "e").select("part", "e").mapInArrow(lines, "t string").write.text(path)
     return path
 
 
